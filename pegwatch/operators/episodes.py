@@ -263,3 +263,14 @@ def concentration(eps: DataFrame, k: int = 5) -> DataFrame:
     total = counts.agg(F.sum("n")).scalar()
     return counts.orderBy(F.desc("n"), "symbol").limit(k).agg(
         F.sum("n").alias("top_episodes"), (F.sum("n") / F.max(total)).alias("top_share"))
+
+
+def report_numbers(eps: DataFrame, rules: Rules, minimum: int) -> DataFrame:
+    """Counts behind the checkpoint report and whether there are enough clean episodes to go on."""
+    good = S.is_clean("suspect") & ~F.col("dropped")
+    split = F.when(F.col("t0") <= rules.train_end, "train").when(F.col("t0") <= rules.valid_end, "valid").otherwise("test")
+    return eps.agg(
+        F.count("*").alias("episodes"), F.count(F.when(~S.is_clean("suspect"), 1)).alias("flagged"),
+        F.count(F.when(F.col("dropped"), 1)).alias("dropped"),
+        *[F.count(F.when(good & (split == s), 1)).alias(s) for s in ("train", "valid", "test")],
+        (F.count(F.when(good, 1)) >= minimum).alias("enough"))

@@ -115,6 +115,18 @@ def interp_ratio(prices: DataFrame, base: DataFrame, reach: int = 2 * HOUR) -> D
         "ratio", F.col("price") / F.col("base_price")).drop("near", "_r", "_l")
 
 
+def aligned_ratio(prices: DataFrame, base: DataFrame, gap: int) -> DataFrame:
+    """Ratio on whole hours after bounded filling of both series, for prices without sample times."""
+    keys = ["source", "symbol"]
+
+    def filled(df: DataFrame) -> DataFrame:
+        return ffill(densify(df.select(*keys, F.col("hour").alias("ts"), "price"), keys), "price", gap, keys)
+
+    right = filled(base).select("source", "ts", F.col("price").alias("base_price"))
+    return filled(prices).join(right, ["source", "ts"]).filter("price is not null and base_price is not null").withColumn(
+        "ratio", F.col("price") / F.col("base_price"))
+
+
 def own_values(prices: DataFrame, registry: DataFrame, base_symbol: str) -> DataFrame:
     """One value per (source, symbol, hour) with a sample of its own: the price, or for an ETH peg quoted in USD
     its ratio to the base asset."""

@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from pegwatch.plans import q_series  # noqa: F401
-from pegwatch.plans.registry import ORACLES, QUERIES
+from pegwatch.plans import q_series, q_trades  # noqa: F401
+from pegwatch.plans.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Plan = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Plan] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -43,7 +43,11 @@ def query(name: str, sql: str | None = None, needs: Sequence[str] = ()) -> Calla
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_blocks(sql, needs)
+            _SQL[name] = (sql, tuple(needs))
         return fn
 
     return add
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_blocks(sql, needs) for name, (sql, needs) in _SQL.items()}

@@ -268,3 +268,160 @@ def clean_episodes(spark: SparkSession, sf: str) -> DataFrame:
 @staged
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     return E.labels(dev(spark, sf), episodes(spark, sf), RULES)
+
+
+# ------------------------------------------------------------------------------------------------ transfers
+FLOORS = {"USD": 1.0, "ETH": 0.0005}
+MINIMUMS = {"USD": 1000.0, "ETH": 0.5}
+
+
+def transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """Goods against money per order line: supplier and customer each pay one token and receive another."""
+    lines = table(spark, sf, "lineitem").join(
+        table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
+    ).join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    supplier, customer = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("c"), F.col("o_custkey"))
+    free = (F.col("l_tax") == 0) & (F.col("l_discount") == 0)
+    goods = F.struct(
+        F.lower("p_brand").alias("address"), supplier.alias("from_address"), customer.alias("to_address"),
+        F.when(free, "n/a").otherwise(F.round(F.col("l_quantity") * 1000).cast("bigint").cast("string")).alias("quantity"))
+    money = F.struct(
+        F.when(F.col("l_linestatus") == "O", "usd").otherwise("eur").alias("address"),
+        F.when(F.col("l_tax") == 0.08, F.lit("0x" + "0" * 40)).otherwise(customer).alias("from_address"),
+        supplier.alias("to_address"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string").alias("quantity"))
+    ts = seconds("l_shipdate") + (F.col("l_orderkey") % 24) * HOUR
+    return lines.select(F.col("l_orderkey").alias("block_number"), F.lit(0).cast("bigint").alias("transaction_index"),
+                        ts.alias("ts"), F.explode(F.array(goods, money)).alias("leg")).select(
+        "block_number", "transaction_index", "ts", "leg.*")
+
+
+block("transfers", """
+SELECT block_number, 0 AS transaction_index, ts, leg.address AS address, leg.f AS from_address, leg.t AS to_address, leg.q AS quantity
+FROM (
+  SELECT l_orderkey AS block_number, epoch_us(l_shipdate) // 1000000 + (l_orderkey % 24) * 3600 AS ts,
+    unnest([
+      {'address': lower(p_brand), 'f': 's' || l_suppkey, 't': 'c' || o_custkey,
+       'q': CASE WHEN l_tax = 0 AND l_discount = 0 THEN 'n/a' ELSE CAST(CAST(round(l_quantity * 1000) AS BIGINT) AS VARCHAR) END},
+      {'address': CASE WHEN l_linestatus = 'O' THEN 'usd' ELSE 'eur' END,
+       'f': CASE WHEN l_tax = 0.08 THEN '0x' || repeat('0', 40) ELSE 'c' || o_custkey END, 't': 's' || l_suppkey,
+       'q': CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)}]) AS leg
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)
+""")
+
+
+@staged
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.trades import token_dimension
+    brands = table(spark, sf, "part").select("p_brand").distinct()
+    n = F.regexp_extract("p_brand", "(\\d+)$", 1).cast("int")
+    assets = brands.select(F.lower("p_brand").alias("address"), F.col("p_brand").alias("symbol"),
+                           F.when(n > 20, "ETH").otherwise("USD").alias("peg"))
+    quotes = spark.createDataFrame([("usd", "USD", "USD"), ("eur", "EUR", "USD")], "address string, symbol string, peg string")
+    onchain = brands.filter(n <= 10).select(F.lower("p_brand").alias("address"), F.lit(3).alias("decimals")).unionByName(
+        quotes.select("address", F.lit(2).alias("decimals")))
+    meta = brands.filter(n <= 24).select(F.lower("p_brand").alias("address"), F.lit(3).alias("decimals"))
+    return token_dimension(assets, quotes, onchain, meta)
+
+
+block("tokens", """
+SELECT lower(p_brand) AS address, p_brand AS symbol, 'asset' AS role, CASE WHEN n <= 24 THEN 3 END AS decimals,
+       CASE WHEN n > 20 THEN 'ETH' ELSE 'USD' END AS peg, n > 24 AS missing
+FROM (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS n FROM part)
+UNION ALL SELECT * FROM (VALUES ('usd', 'USD', 'quote', 2, 'USD', false), ('eur', 'EUR', 'quote', 2, 'USD', false))
+""")
+
+block("swaps", """
+WITH legs AS (
+  SELECT block_number, transaction_index, ts, address, TRY_CAST(quantity AS DOUBLE) AS amount, dir,
+         CASE dir WHEN 'in' THEN to_address ELSE from_address END AS party
+  FROM transfers, (VALUES ('in'), ('out')) d(dir)
+  WHERE TRY_CAST(quantity AS DOUBLE) IS NOT NULL AND address IN (SELECT address FROM tokens)
+    AND from_address <> '0x' || repeat('0', 40) AND to_address <> '0x' || repeat('0', 40)
+), per_party AS (
+  SELECT block_number, transaction_index, party, min(ts) AS ts,
+         count(DISTINCT CASE WHEN dir = 'in' THEN address END) AS n_in, count(DISTINCT CASE WHEN dir = 'out' THEN address END) AS n_out,
+         max(CASE WHEN dir = 'in' THEN address END) AS token_in, max(CASE WHEN dir = 'out' THEN address END) AS token_out,
+         sum(CASE WHEN dir = 'in' THEN amount ELSE 0 END) AS raw_in, sum(CASE WHEN dir = 'out' THEN amount ELSE 0 END) AS raw_out
+  FROM legs GROUP BY ALL
+)
+SELECT block_number, transaction_index, ts, party,
+       CASE WHEN i.role = 'asset' THEN i.symbol ELSE o.symbol END AS symbol, CASE WHEN i.role = 'asset' THEN i.peg ELSE o.peg END AS peg,
+       CASE WHEN i.role = 'asset' THEN o.symbol ELSE i.symbol END AS quote, CASE WHEN i.role = 'asset' THEN o.peg ELSE i.peg END AS quote_peg,
+       CASE WHEN i.role = 'asset' THEN raw_in / pow(10, i.decimals) ELSE raw_out / pow(10, o.decimals) END AS asset_amount,
+       CASE WHEN i.role = 'asset' THEN raw_out / pow(10, o.decimals) ELSE raw_in / pow(10, i.decimals) END AS quote_amount
+FROM per_party JOIN tokens i ON i.address = token_in JOIN tokens o ON o.address = token_out
+WHERE n_in = 1 AND n_out = 1 AND token_in <> token_out AND raw_in > 0 AND raw_out > 0 AND i.role <> o.role
+""", ["transfers", "tokens"])
+
+block("matched", "SELECT * FROM swaps WHERE peg = quote_peg AND quote_amount >= CASE quote_peg WHEN 'USD' THEN 1 ELSE 0.0005 END", ["swaps"])
+
+block("trades", """
+SELECT block_number, transaction_index, symbol, peg, quote, min(ts) AS ts, max(asset_amount) AS asset_amount,
+       max(quote_amount) AS quote_amount, count(DISTINCT party) AS n_parties
+FROM matched GROUP BY ALL
+""", ["matched"])
+
+block("hourly", """
+SELECT symbol, quote, ts // 3600 * 3600 AS ts, any_value(peg) AS unit, count(*) AS n_trades, CAST(sum(n_parties) AS BIGINT) AS n_parties,
+       round(sum(quote_amount), 2) AS volume_quote, sum(quote_amount) / sum(asset_amount) AS vwap,
+       quantile_cont(quote_amount / asset_amount, 0.25) AS p25, quantile_cont(quote_amount / asset_amount, 0.5) AS p50,
+       quantile_cont(quote_amount / asset_amount, 0.75) AS p75
+FROM trades WHERE quote_amount >= CASE peg WHEN 'USD' THEN 1000 ELSE 0.5 END AND asset_amount > 0
+GROUP BY symbol, quote, ts // 3600
+""", ["trades"])
+
+
+def swaps(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.trades import pair_trades, priced_transfers
+    t = tokens(spark, sf)
+    return pair_trades(priced_transfers(transfers(spark, sf), t), t, FLOORS)
+
+
+@staged
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.trades import dedupe_trades
+    return dedupe_trades(swaps(spark, sf))
+
+
+# ------------------------------------------------------------------------------------------------ second source
+@staged
+def second(spark: SparkSession, sf: str) -> DataFrame:
+    """The alternative samples as a trade source: hourly median and upper quartile, both as deviations."""
+    from pegwatch.functions.ranks import exact_quantiles
+    from pegwatch.operators.trades import hour_of
+    alt = samples(spark, sf).filter("source = 'alt'").withColumn("hour", hour_of())
+    q = exact_quantiles(alt, "price", {"mid": 0.5, "high": 0.75}, ["symbol", "hour"])
+    n = alt.groupBy("symbol", "hour").agg(F.count("*").alias("n"))
+    out = None
+    for c in ("mid", "high"):
+        p = q.select(F.lit("alt").alias("source"), "symbol", "hour", F.col("hour").alias("ts"), F.col(c).alias("price"),
+                     F.lit("ETH").alias("unit"))
+        d = X.deviation(p, rates(spark, sf), registry(spark, sf), RULES, BASE).filter("obs and dev is not null").select(
+            "symbol", "category", "theta", "ts", F.col("dev").alias(c))
+        out = d if out is None else out.join(d.drop("category", "theta"), ["symbol", "ts"], "left")
+    return out.join(n.withColumnRenamed("hour", "ts"), ["symbol", "ts"])
+
+
+block("alt_hours", """
+SELECT symbol, ts // 3600 * 3600 AS ts, quantile_cont(price, 0.5) AS mid, quantile_cont(price, 0.75) AS high, count(*) AS n
+FROM samples WHERE source = 'alt' GROUP BY symbol, ts // 3600
+""", ["samples"])
+for _c in ("mid", "high"):
+    block(f"second_{_c}", f"""
+SELECT t.symbol, t.ts, category, v / CASE kind WHEN 'fixed' THEN fv WHEN 'eth_parity' THEN 1
+         WHEN 'rate' THEN coalesce(CASE WHEN t.ts - r.ts <= 259200 THEN rate END, trail) ELSE trail END - 1 AS dev
+FROM (
+  SELECT f.*, category, kind, g.value AS fv, CASE WHEN count(v) OVER w >= 12 THEN quantile_cont(v, 0.5) OVER w END AS trail
+  FROM (SELECT symbol, ts, {_c} IS NOT NULL AS obs,
+               last_value({_c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS v
+        FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), 3600)) AS ts FROM alt_hours GROUP BY symbol)
+        LEFT JOIN alt_hours USING (symbol, ts)) f JOIN registry g USING (symbol)
+  WINDOW w AS (PARTITION BY f.symbol ORDER BY f.ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)
+) t
+ASOF LEFT JOIN (SELECT symbol, ts, rate FROM rates WHERE ok = 1 AND rate BETWEEN 0.01 AND 1000) r ON r.symbol = t.symbol AND t.ts >= r.ts
+WHERE obs
+""", ["alt_hours", "registry", "rates"])
+block("second", """
+SELECT m.symbol, m.category, CAST(0.80014 AS DOUBLE) AS theta, m.ts, m.dev AS mid, h.dev AS high, n
+FROM second_mid m LEFT JOIN second_high h USING (symbol, ts) JOIN alt_hours a USING (symbol, ts) WHERE m.dev IS NOT NULL
+""", ["second_mid", "second_high", "alt_hours"])
