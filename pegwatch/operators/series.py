@@ -108,11 +108,11 @@ def interp_ratio(prices: DataFrame, base: DataFrame, reach: int = 2 * HOUR) -> D
     left = F.array_max(F.filter("near", lambda p: p["at"] < F.col("ts")))
     joined = prices.join(around, ["source", "hour"]).withColumn("_r", right).withColumn("_l", left)
     close = (F.col("ts") - F.col("_l.at") <= reach) & (F.col("_r.at") - F.col("ts") <= reach)
-    share = (F.col("ts") - F.col("_l.at")) / (F.col("_r.at") - F.col("_l.at"))
+    share = F.try_divide(F.col("ts") - F.col("_l.at"), F.col("_r.at") - F.col("_l.at"))
     level = F.when(F.col("_r.at") == F.col("ts"), F.col("_r.px")).when(
         close, F.col("_l.px") + share * (F.col("_r.px") - F.col("_l.px")))
     return joined.withColumn("base_price", level).filter("base_price is not null").withColumn(
-        "ratio", F.col("price") / F.col("base_price")).drop("near", "_r", "_l")
+        "ratio", F.try_divide("price", "base_price")).drop("near", "_r", "_l")
 
 
 def aligned_ratio(prices: DataFrame, base: DataFrame, gap: int) -> DataFrame:
@@ -124,7 +124,7 @@ def aligned_ratio(prices: DataFrame, base: DataFrame, gap: int) -> DataFrame:
 
     right = filled(base).select("source", "ts", F.col("price").alias("base_price"))
     return filled(prices).join(right, ["source", "ts"]).filter("price is not null and base_price is not null").withColumn(
-        "ratio", F.col("price") / F.col("base_price"))
+        "ratio", F.try_divide("price", "base_price"))
 
 
 def own_values(prices: DataFrame, registry: DataFrame, base_symbol: str) -> DataFrame:
@@ -169,7 +169,7 @@ def deviation(prices: DataFrame, rates: DataFrame, registry: DataFrame, rules: R
     theta = F.when(F.col("peg") == "ETH", rules.theta_eth).otherwise(rules.theta_usd)
     return rest.unionByName(by_rate).withColumn("ref", ref).select(
         "source", "symbol", "category", "peg", "kind", "ts", "value", "ref", "obs",
-        (F.col("value") / F.col("ref") - 1.0).alias("dev"), theta.alias("theta"),
+        (F.try_divide("value", "ref") - 1.0).alias("dev"), theta.alias("theta"),
     )
 
 

@@ -425,3 +425,122 @@ block("second", """
 SELECT m.symbol, m.category, CAST(0.80014 AS DOUBLE) AS theta, m.ts, m.dev AS mid, h.dev AS high, n
 FROM second_mid m LEFT JOIN second_high h USING (symbol, ts) JOIN alt_hours a USING (symbol, ts) WHERE m.dev IS NOT NULL
 """, ["second_mid", "second_high", "alt_hours"])
+
+
+# ------------------------------------------------------------------------------------------------ features
+EXPO_USD = ("mm_collateral_usd", "mm_borrow_against_usd", "mm_supply_usd", "family_collateral_usd",
+            "family_borrow_against_usd", "aave_supply_usd")
+EXPO_CHANGE = ("mm_borrow_against_usd", "family_collateral_usd")
+CATEGORIES = ("click", "error", "purchase", "signup", "view")
+
+
+def z(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.features import z_table
+    return z_table(dev(spark, sf))
+
+
+block("z", """
+SELECT symbol, ts, CASE WHEN dev IS NOT NULL THEN greatest(least(dev, 1), -1) / theta END AS z
+FROM (SELECT symbol, unnest(generate_series(a, b, 3600)) AS ts
+      FROM (SELECT DISTINCT symbol FROM dev), (SELECT min(ts) AS a, max(ts) AS b FROM dev))
+LEFT JOIN (SELECT symbol, ts, dev, theta FROM dev) USING (symbol, ts)
+""", ["dev"])
+
+
+@staged
+def exposure_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Dollar measures per asset-hour from the value sampled in the day before; assets numbered 3 have none."""
+    hourly = scanned(spark, sf).filter(~F.col("symbol").endswith("_3")).groupBy(
+        "symbol", (F.floor(F.col("ts") / HOUR) * HOUR).cast("bigint").alias("ts")).agg(F.sum("price").alias("v"))
+    dense = X.densify(hourly, ["symbol"])
+    total = F.round(F.sum("v").over(X.ordered(["symbol"]).rowsBetween(-23, 0)) * 100, 4)
+    own = F.coalesce("total", F.lit(0.0))
+    return dense.select("symbol", "ts", total.alias("total")).select(
+        "symbol", "ts", F.col("total").alias("mm_collateral_usd"), (F.col("total") * 0.6).alias("mm_borrow_against_usd"),
+        F.when(own > 20000, F.col("total") * 0.1).alias("mm_supply_usd"), (own + 2500).alias("family_collateral_usd"),
+        (own * 0.7).alias("family_borrow_against_usd"), F.lit(0.0).alias("aave_supply_usd"))
+
+
+block("expo_raw", """
+SELECT symbol, ts, total AS mm_collateral_usd, total * 0.6 AS mm_borrow_against_usd,
+       CASE WHEN coalesce(total, 0) > 20000 THEN total * 0.1 END AS mm_supply_usd, coalesce(total, 0) + 2500 AS family_collateral_usd,
+       coalesce(total, 0) * 0.7 AS family_borrow_against_usd, CAST(0 AS DOUBLE) AS aave_supply_usd
+FROM (
+  SELECT symbol, ts, round(sum(v) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) * 100, 4) AS total
+  FROM (SELECT symbol, unnest(generate_series(min(h), max(h), 3600)) AS ts FROM hs GROUP BY symbol)
+  LEFT JOIN (SELECT symbol, h AS ts, v FROM hs) USING (symbol, ts))
+""", ["hs"])
+block("hs", "SELECT symbol, ts // 3600 * 3600 AS h, sum(price) AS v FROM scanned WHERE NOT suffix(symbol, '_3') GROUP BY ALL", ["scanned"])
+
+
+def wrapper_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return registry(spark, sf).filter(F.col("symbol").endswith("_1")).select(
+        F.col("symbol").alias("wrapper"), F.concat("category", F.lit("_0")).alias("underlying"))
+
+
+def base_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return prices(spark, sf).filter((F.col("symbol") == BASE) & (F.col("source") == "main")).select("ts", "price")
+
+
+def usd_assets(spark: SparkSession, sf: str) -> DataFrame:
+    return registry(spark, sf).filter("peg = 'USD'")
+
+
+@staged
+def onset(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators import features as FX
+    zz, eps = z(spark, sf), clean_episodes(spark, sf)
+    roll = FX.rolling(zz)
+    return FX.onset_table(
+        labels(spark, sf), roll, FX.history(eps, zz), FX.market(zz, eps, base_prices(spark, sf), usd_assets(spark, sf)),
+        FX.wrapped(roll, wrapper_pairs(spark, sf), ["z_now", "z_min_24h"]),
+        FX.exposure(exposure_table(spark, sf), EXPO_USD, EXPO_CHANGE), CATEGORIES, RULES)
+
+
+# ------------------------------------------------------------------------------------------------ tables
+LANDMARKS = (1, 6, 24)
+
+
+@staged
+def escalation(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.tables import escalation as build
+    eps = episodes(spark, sf).filter("suspect = '' and not dropped")
+    return build(eps, dev(spark, sf), LANDMARKS, RULES)
+
+
+@staged
+def seeds(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.tables import seeds as build
+    return build(clean_episodes(spark, sf), dev(spark, sf), "severe", RULES)
+
+
+@staged
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from pegwatch.operators.tables import candidates
+    return candidates(seeds(spark, sf), clean_episodes(spark, sf), dev(spark, sf))
+
+
+block("severe_ts", """
+SELECT symbol, t0, min(ts) FILTER (greatest(dev_obs, p) <= -0.60007 AND p IS NOT NULL) AS severe_ts
+FROM (SELECT e.symbol, e.t0, d.ts, dev_obs, lag(dev_obs) OVER (PARTITION BY e.symbol, e.t0 ORDER BY d.ts) AS p
+      FROM clean_eps e JOIN dev d ON d.symbol = e.symbol AND d.ts BETWEEN e.t0 AND e.t1 WHERE dev_obs IS NOT NULL)
+GROUP BY symbol, t0
+""", ["clean_eps", "dev"])
+block("seeds", """
+SELECT *, CASE WHEN min(tau) OVER (PARTITION BY cluster) <= 1705881600 THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, CAST(sum(CASE WHEN tau - p <= 259200 THEN 0 ELSE 1 END) OVER (ORDER BY tau, seed) - 1 AS BIGINT) AS cluster
+  FROM (SELECT *, lag(tau) OVER (ORDER BY tau, seed) AS p FROM (
+    SELECT symbol || '@' || t0 AS seed_id, symbol AS seed, t0 AS seed_t0, severity AS seed_severity, category AS seed_category,
+           peg AS seed_peg, greatest(severe_ts, tk) AS tau
+    FROM clean_eps LEFT JOIN severe_ts USING (symbol, t0) WHERE severity IN ('major', 'collapse'))))
+""", ["clean_eps", "severe_ts"])
+block("pairs", """
+SELECT s.*, a.symbol AS cand,
+""" + ", ".join(f"""CASE WHEN tau + {w} * 3600 <= (SELECT max(ts) FROM dev) THEN CAST(EXISTS (
+  SELECT 1 FROM clean_eps e WHERE e.symbol = a.symbol AND e.t0 > tau AND e.t0 <= tau + {w} * 3600) AS INT) END AS y{w}""" for w in (72, 168)) + """
+FROM seeds s, (SELECT DISTINCT symbol FROM dev) a
+WHERE a.symbol <> seed
+  AND EXISTS (SELECT 1 FROM dev d WHERE d.symbol = a.symbol AND dev IS NOT NULL AND d.ts BETWEEN tau - 86400 AND tau)
+  AND NOT EXISTS (SELECT 1 FROM clean_eps e WHERE e.symbol = a.symbol AND e.t0 <= tau AND e.t1 > tau - 86400)
+  AND NOT EXISTS (SELECT 1 FROM clean_eps e WHERE e.symbol = a.symbol AND e.terminal AND e.t0 <= tau)
+""", ["seeds", "clean_eps", "dev"])
