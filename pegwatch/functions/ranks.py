@@ -93,47 +93,28 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", buckets: int = BUCKE
     return run.select(key, (F.col("cum__one") - 1).alias(name), F.col("all__one").alias(f"n_{name}"))
 
 
-def _attach(df: DataFrame, one_per_group: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Adds the struct column ``name`` of a table with one row per group (a scalar subquery without groups)."""
-    if by:
-        return df.join(one_per_group, by, "left")
-    return df.withColumn(name, one_per_group.agg(F.max(name).alias(name)).scalar())
+def ranked(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``rank`` (1 is first) and ``total`` per group. ``order`` lists (column, descending) pairs that together
+    order the rows totally; descending columns must be numbers. The split points cut the whole key, so a score that
+    a third of the rows share is split by the columns after it."""
+    by = list(by)
+    key = F.struct(*[(-F.col(c) if desc else F.col(c)).alias(f"k{i}") for i, (c, desc) in enumerate(order)])
+    rows = df.withColumn("_key", key)
+    picked = rows.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(buckets)
+    points = picked.agg(F.sort_array(F.collect_list("_key")).alias("_points")).scalar()
+    rows = with_bucket(rows, "_key", points)
+    per_bucket = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_b"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*by, "_bucket", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_o"),
+                                F.sum("_b").over(Window.partitionBy(*by)).alias("total"))
+    fine = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key"))
+    return rows.join(offsets, [*by, "_bucket"]).select(*df.columns, (fine + F.col("_o")).alias("rank"), "total")
 
 
 def top_rows(
     df: DataFrame, order: Sequence[tuple[str, bool]], share: float | None = None, k: Column | None = None,
     by: Sequence[str] = (), flag: str = "top",
 ) -> DataFrame:
-    """Marks exactly ``bround(share * N)`` (or ``k``) leading rows of every group.
-
-    ``order`` lists (column, descending) pairs that together order the rows totally. The cut is found one column
-    at a time: everything strictly ahead of the cut value is in, and only ties on it go to the next column.
-    """
-    by = list(by)
-    cut = None
-    for i, (column, desc) in enumerate(order):
-        rows = df
-        if cut is not None:
-            rows = _attach(df, cut, by, "_cut")
-            for c, _ in order[:i]:
-                rows = rows.filter(F.col(c) == F.col(f"_cut.{c}"))
-        counted = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
-        run = running_totals(counted, column, ["_n"], by, descending=desc)
-        if cut is None:
-            left = F.bround(F.lit(float(share)) * F.col("all__n")) if share is not None else k
-            run = run.withColumn("_left", left.cast("bigint"))
-            before = []
-        else:
-            run = _attach(run, cut, by, "_cut").withColumn("_left", F.col("_cut._left"))
-            before = [F.col(f"_cut.{c}").alias(c) for c, _ in order[:i]]
-        ahead = F.col("cum__n") - F.col("_n")
-        here = run.filter((F.col("cum__n") >= F.col("_left")) & (ahead < F.col("_left")))
-        fields = [*before, F.col(column).alias(column), (F.col("_left") - ahead).alias("_left")]
-        cut = here.select(*by, F.struct(*fields).alias("_cut"))
-    out = _attach(df, cut, by, "_cut")
-    ahead, tie = F.lit(False), F.lit(True)
-    for column, desc in order:
-        c, at = F.col(column), F.col(f"_cut.{column}")
-        ahead = ahead | (tie & ((c > at) if desc else (c < at)))
-        tie = tie & (c == at)
-    return out.withColumn(flag, F.coalesce(ahead | tie, F.lit(False))).drop("_cut")
+    """Marks exactly the first ``bround(share * N)`` (or ``k``) rows of every group."""
+    limit = F.bround(F.lit(float(share)) * F.col("total")) if share is not None else k
+    return ranked(df, order, by).select(*df.columns, (F.col("rank") <= limit).alias(flag))

@@ -32,7 +32,9 @@ def with_blocks(select: str, needs: Sequence[str] = ()) -> str:
     if not done:
         return select.strip()
     parts = ",\n".join(f"{name} AS MATERIALIZED (\n{body}\n)" for name, body in done.items())
-    return f"WITH RECURSIVE {parts}\n{select.strip()}"
+    select = select.strip()
+    rest = f",\n{select[5:]}" if select.startswith("WITH ") else f"\n{select}"
+    return f"WITH RECURSIVE {parts}{rest}"
 
 
 def query(name: str, sql: str | None = None, needs: Sequence[str] = ()) -> Callable[[Plan], Plan]:
