@@ -209,14 +209,25 @@ def chi2_tail(x: float, k: int) -> float:
     return max(0.0, 1.0 - total * math.exp(-z + a * math.log(z) - math.lgamma(a)))
 
 
-def robust_cov(rows: DataFrame, cols: Sequence[str], y: str, cluster: str, block: Sequence[str] = (), ridge: float = 1e-4) -> DataFrame:
+INFERENCE = ("feature string, beta double, se double, odds_ratio double, or_low double, or_high double, p double, separation boolean, "
+             "wald double, wald_p double, clusters int")
+
+
+def robust_cov(rows: DataFrame, cols: Sequence[str], y: str, cluster: str, block: Sequence[str] = (), ridge: float = 1e-4,
+               least: int = 5) -> DataFrame:
     """Coefficients of a logistic model per standard deviation with cluster-robust errors and a Wald test of a block.
+    Constant columns are left out; with too few rows of either outcome there is no result.
 
     Spark sums the information matrix and the outer product of the cluster scores (k squared sums each); only these two
     matrices come to the driver.
     """
-    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols], F.count("*").alias("n")).first()
+    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols], F.count("*").alias("n"),
+                     F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)).alias("pos")).first()
+    cols = [c for c in cols if stats[f"s_{c}"] is not None and stats[f"s_{c}"] > 1e-9]
+    block = [c for c in block if c in cols]
     n, k = stats["n"], len(cols)
+    if k == 0 or stats["pos"] < least or n - stats["pos"] < least:
+        return rows.sparkSession.createDataFrame([], INFERENCE)
     std = rows.select(cluster, F.col(y).cast("double").alias("_y"), *[((F.col(c).cast("double") - stats[f"m_{c}"]) / stats[f"s_{c}"]).alias(f"b_{c}") for c in cols])
     names = [f"b_{c}" for c in cols]
     assemble = VectorAssembler(inputCols=names, outputCol="features")
@@ -252,8 +263,7 @@ def robust_cov(rows: DataFrame, cols: Sequence[str], y: str, cluster: str, block
         lim = lambda v: math.exp(max(-50.0, min(50.0, v)))
         out.append((c, float(beta[j]), float(se[j]), lim(beta[j]), lim(beta[j] - 1.96 * se[j]), lim(beta[j] + 1.96 * se[j]),
                     math.erfc(abs(z) / math.sqrt(2)), bool(abs(beta[j]) > 5), wald, chi2_tail(wald, len(idx)) if wald is not None else None, int(g)))
-    return rows.sparkSession.createDataFrame(
-        out, "feature string, beta double, se double, odds_ratio double, or_low double, or_high double, p double, separation boolean, wald double, wald_p double, clusters int")
+    return rows.sparkSession.createDataFrame(out, INFERENCE)
 
 
 def drop_one(rows: DataFrame, cols: Sequence[str], y: str, group: str, block: Sequence[str] = ()) -> DataFrame:

@@ -414,9 +414,10 @@ def b26(spark, sf):
 
 @query("b25_readings", """
 SELECT symbol, ts, CASE WHEN rate > 60 THEN NULL ELSE rate END AS rate, CASE WHEN rate > 60 THEN 0 ELSE 1 END AS ok, coalesce(rate <= 60 AND rate BETWEEN 40 AND 60, false) AS plausible
-FROM (SELECT symbol, ts, round(rate, 2) AS rate FROM rates)""", ["rates"])
+FROM (SELECT symbol, ts, floor(rate * 100) / 100 AS rate FROM rates)""", ["rates"])
 def b25(spark, sf):
-    text = F.when(F.round("rate", 2) > 60, "reverted").otherwise(F.concat(F.round(F.round("rate", 2) * 100).cast("bigint").cast("string"), F.lit("0" * 16)))
+    cents = F.floor(F.col("rate") * 100).cast("bigint")
+    text = F.when(cents > 6000, "reverted").otherwise(F.concat(cents.cast("string"), F.lit("0" * 16)))
     raw = T.rates(spark, sf).select("symbol", "ts", text.alias("raw"))
     return G.check_readings(raw, 40.0, 60.0)
 

@@ -219,10 +219,10 @@ def j15(spark, sf):
 
 
 @query("j16_monitor", """
-WITH a AS (SELECT test.* FROM test JOIN thr USING (model) WHERE model = 'rule' AND score >= thr_1)
-SELECT count(*) AS alerts, max(days) AS days, round(count(*) / max(days), 6) AS alerts_per_day, max(r) AS runs, round(max(r) / max(days), 6) AS runs_per_day, round(max(ad) / max(days), 6) AS assets_per_day
-FROM a, (SELECT count(DISTINCT ts // 86400) AS days FROM test), (SELECT count(DISTINCT (symbol, ts // 86400)) AS ad FROM a),
-  (SELECT count(*) AS r FROM (SELECT DISTINCT symbol, g FROM (SELECT symbol, ts - 3600 * row_number() OVER (PARTITION BY symbol ORDER BY ts) AS g FROM a)))""", ["test", "thr"])
+WITH a AS (SELECT test.* FROM test JOIN thr USING (model) WHERE model = 'rule' AND score >= thr_1),
+c AS (SELECT (SELECT count(*) FROM a) AS n, (SELECT count(DISTINCT ts // 86400) FROM test) AS days, (SELECT count(DISTINCT (symbol, ts // 86400)) FROM a) AS ad,
+  (SELECT count(*) FROM (SELECT DISTINCT symbol, g FROM (SELECT symbol, ts - 3600 * row_number() OVER (PARTITION BY symbol ORDER BY ts) AS g FROM a))) AS r)
+SELECT n AS alerts, days, round(n / days, 6) AS alerts_per_day, r AS runs, round(r / days, 6) AS runs_per_day, round(ad / days, 6) AS assets_per_day FROM c""", ["test", "thr"])
 def j16(spark, sf):
     rows = test_rows(spark, sf).filter("model = 'rule'")
     over = rows.join(budgets(spark, sf), "model").filter("score >= thr_1").select(*rows.columns)
@@ -263,7 +263,7 @@ def stakes(spark, sf):
 
 
 @query("j12_at_stake", """
-SELECT model, count(*) AS episodes, count(*) FILTER (c >= 1e4) AS with_collateral, round(sum(c), 3) AS collateral_total, round(sum(c) FILTER (caught) / sum(c), 6) AS weighted_recall,
+SELECT model, count(*) AS episodes, count(*) FILTER (c >= 1e4) AS with_collateral, round(sum(c), 3) AS collateral_total, round(coalesce(sum(c) FILTER (caught), 0) / sum(c), 6) AS weighted_recall,
  round(avg(CAST(caught AS INT)) FILTER (c >= 1e4), 6) AS recall_with, round(avg(CAST(caught AS INT)) FILTER (c < 1e4), 6) AS recall_without,
  round(coalesce(sum(c) FILTER (caught AND severe), 0) / sum(c) FILTER (severe), 6) AS severe_weighted_recall, round(max(c) / sum(c), 6) AS top1_share,
  round(sum(c) FILTER (r <= 5) / sum(c), 6) AS top5_share

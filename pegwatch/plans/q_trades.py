@@ -54,21 +54,21 @@ def d3(spark, sf):
 
 @query("d4_hourly_prices", """
 SELECT symbol, quote, unit, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:00Z') AS hour, n_trades, n_parties, volume_quote,
-       round(vwap, 6) AS vwap, round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75 FROM hourly
+       round(vwap, 8) AS vwap, round(p25, 8) AS p25, round(p50, 8) AS p50, round(p75, 8) AS p75 FROM hourly
 """, ["hourly"])
 def d4(spark, sf):
     return D.hourly_prices(T.trades(spark, sf), T.MINIMUMS).select(
-        "symbol", "quote", "unit", "hour", "n_trades", "n_parties", "volume_quote", r("vwap"), r("p25"), r("p50"), r("p75"))
+        "symbol", "quote", "unit", "hour", "n_trades", "n_parties", "volume_quote", r("vwap", 8), r("p25", 8), r("p50", 8), r("p75", 8))
 
 
 @query("d5_collapse_quotes", """
-SELECT symbol, ts, round(quantile_cont(p50, 0.5), 6) AS price, round(quantile_cont(p75, 0.5), 6) AS high, min(unit) AS unit,
+SELECT symbol, ts, round(quantile_cont(p50, 0.5), 8) AS price, round(quantile_cont(p75, 0.5), 8) AS high, min(unit) AS unit,
        CAST(sum(n_trades) AS BIGINT) AS n_trades, count(DISTINCT quote) AS n_quotes, round(sum(volume_quote), 2) AS volume_quote
 FROM hourly GROUP BY symbol, ts
 """, ["hourly"])
 def d5(spark, sf):
     return D.collapse_quotes(D.hourly_prices(T.trades(spark, sf), T.MINIMUMS)).select(
-        "symbol", "ts", r("price"), r("high"), "unit", "n_trades", "n_quotes", r("volume_quote", 2))
+        "symbol", "ts", r("price", 8), r("high", 8), "unit", "n_trades", "n_quotes", r("volume_quote", 2))
 
 
 @query("a6_a11_yearly_tables", """
