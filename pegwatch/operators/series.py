@@ -35,14 +35,21 @@ def pick_samples(samples: DataFrame, tolerance: int | None = None, rank: Column
 
 def densify(df: DataFrame, keys: Sequence[str], ts: str = "ts", step: int = HOUR,
             first: Column | None = None, last: Column | None = None) -> DataFrame:
-    """Every grid time from the first to the last row of each key (or between given bounds)."""
+    """Every grid time from the first to the last row of each key (or between given bounds), new rows NULL.
+
+    Rows must lie on the grid, one per key and time. Each row fills the gap up to its successor, so there is no spine
+    to build and join, and the one shuffle on the keys also serves the windows that follow.
+    """
     keys = list(keys)
-    spine = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).select(
-        *keys,
-        F.explode(F.sequence(first if first is not None else F.col("_a"), last if last is not None else F.col("_b"),
-                             F.lit(step).cast("bigint"))).alias(ts),
-    )
-    return spine.join(df, [*keys, ts], "left")
+    w = ordered(keys, ts)
+    nxt, prev = F.lead(ts).over(w), F.lag(ts).over(w)
+    until = F.coalesce(nxt - step, last if last is not None else F.col(ts))
+    since = F.when(prev.isNull(), first).otherwise(F.col(ts)) if first is not None else F.col(ts)
+    grid = F.sequence(since, until, F.lit(step).cast("bigint"))
+    rest = [c for c in df.columns if c not in (*keys, ts)]
+    own = F.col("_at") == F.col(ts)
+    return df.withColumn("_grid", grid).withColumn("_at", F.explode("_grid")).select(
+        *keys, F.col("_at").alias(ts), *[F.when(own, F.col(c)).alias(c) for c in rest])
 
 
 def ffill(df: DataFrame, value: str, limit: int, keys: Sequence[str], ts: str = "ts", out: str | None = None) -> DataFrame:
@@ -138,9 +145,18 @@ def own_values(prices: DataFrame, registry: DataFrame, base_symbol: str) -> Data
 
 
 def trailing_median(value: str, hours: int, least: int, keys: Sequence[str]) -> Column:
-    """Median of the previous ``hours`` rows, the current one excluded, from at least ``least`` values."""
+    """Median of the previous ``hours`` rows, the current one excluded, from at least ``least`` values. A frame holds
+    at most ``hours`` numbers, so sorting them as an array beats an aggregate that counts values in a hash map."""
     frame = ordered(keys).rowsBetween(-hours, -1)
-    return F.when(F.count(value).over(frame) >= least, F.percentile(value, 0.5).over(frame))
+    held = F.sort_array(F.collect_list(value).over(frame))
+
+    def middle(a: Column) -> Column:
+        n = F.size(a)
+        low, high = F.get(a, F.floor((n - 1) / 2).cast("int")), F.get(a, F.floor(n / 2).cast("int"))
+        return F.when(n >= least, low + (high - low) / 2)
+
+    # inside transform the sorted array is bound once, so it is not sorted again for each use
+    return F.get(F.transform(F.array(held), middle), 0)
 
 
 def deviation(prices: DataFrame, rates: DataFrame, registry: DataFrame, rules: Rules, base_symbol: str) -> DataFrame:
@@ -156,10 +172,9 @@ def deviation(prices: DataFrame, rates: DataFrame, registry: DataFrame, rules: R
     filled = filled.withColumn("trailing", trailing_median("value", rules.trailing_hours, rules.trailing_min, keys))
     meta = registry.select("symbol", "peg", "category", "kind", F.col("value").alias("fixed_value"))
     tagged = filled.join(meta, "symbol")
-    by_rate = asof(
-        tagged.filter("kind = 'rate'"), valid_rates(rates, rules), ["rate"], ["symbol"], rules.rate_fill_hours * HOUR,
-    ).drop("ts_matched")
-    rest = tagged.filter("kind <> 'rate'").withColumn("rate", F.lit(None).cast("double"))
+    used = registry.filter("kind = 'rate'").select("symbol")
+    readings = valid_rates(rates, rules).join(used, "symbol", "left_semi")
+    rated = asof(tagged, readings, ["rate"], ["symbol"], rules.rate_fill_hours * HOUR)
     ref = (
         F.when(F.col("kind") == "fixed", F.coalesce("fixed_value", F.lit(1.0)))
         .when(F.col("kind") == "eth_parity", F.lit(1.0))
@@ -167,7 +182,7 @@ def deviation(prices: DataFrame, rates: DataFrame, registry: DataFrame, rules: R
         .otherwise(F.col("trailing"))
     )
     theta = F.when(F.col("peg") == "ETH", rules.theta_eth).otherwise(rules.theta_usd)
-    return rest.unionByName(by_rate).withColumn("ref", ref).select(
+    return rated.withColumn("ref", ref).select(
         "source", "symbol", "category", "peg", "kind", "ts", "value", "ref", "obs",
         (F.try_divide("value", "ref") - 1.0).alias("dev"), theta.alias("theta"),
     )
@@ -182,8 +197,8 @@ def valid_rates(rates: DataFrame, rules: Rules) -> DataFrame:
 def choose_source(dev: DataFrame, order: Sequence[str]) -> DataFrame:
     """Keeps, per symbol, the first source in ``order`` that has any deviation."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
-    first = dev.filter("dev is not null").groupBy("symbol").agg(F.min(rank).alias("_rank"))
-    return dev.withColumn("_rank", rank).join(first, ["symbol", "_rank"]).drop("_rank")
+    best = F.min(F.when(F.col("dev").isNotNull(), rank)).over(Window.partitionBy("symbol"))
+    return dev.withColumn("_rank", rank).withColumn("_best", best).filter("_rank = _best").drop("_rank", "_best")
 
 
 def observed_only(dev: DataFrame) -> DataFrame:
