@@ -27,10 +27,11 @@ def split_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
 
 
 def with_bucket(df: DataFrame, value: str, points: Column) -> DataFrame:
-    """Adds ``_bucket``: how many split points lie at or below the value (monotone in the value)."""
+    """Adds ``_bucket``, the place of the value among the split points (monotone in the value). It is found without a
+    lambda: the optimizer must see which columns the bucket depends on when it infers filters for a join on it."""
     return (
         df.withColumn("_points", points)
-        .withColumn("_bucket", F.expr(f"size(filter(_points, p -> p <= {value}))"))
+        .withColumn("_bucket", F.expr(f"array_position(sort_array(array_append(_points, {value})), {value})"))
         .drop("_points")
     )
 
