@@ -32,7 +32,13 @@ STEP = 30 * DAY
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("events", "lineitem") and df.rdd.getNumPartitions() < cores:
+        # A table of fewer splits than cores (one row group here) would be read and exploded by one task. Tables with
+        # enough splits are left as they are.
+        return df.repartition(cores, df.columns[0])
+    return df
 
 
 def seconds(column: str):
@@ -284,7 +290,7 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
     free = (F.col("l_tax") == 0) & (F.col("l_discount") == 0)
     goods = F.struct(
         F.lower("p_brand").alias("address"), supplier.alias("from_address"), customer.alias("to_address"),
-        F.when(free, "n/a").otherwise(F.round(F.col("l_quantity") * 1000).cast("bigint").cast("string")).alias("quantity"))
+        F.when(free, "n/a").otherwise(F.round(F.col("l_quantity") * 1009).cast("bigint").cast("string")).alias("quantity"))
     money = F.struct(
         F.when(F.col("l_linestatus") == "O", "usd").otherwise("eur").alias("address"),
         F.when(F.col("l_tax") == 0.08, F.lit("0x" + "0" * 40)).otherwise(customer).alias("from_address"),
@@ -301,7 +307,7 @@ FROM (
   SELECT l_orderkey AS block_number, epoch_us(l_shipdate) // 1000000 + (l_orderkey % 24) * 3600 AS ts,
     unnest([
       {'address': lower(p_brand), 'f': 's' || l_suppkey, 't': 'c' || o_custkey,
-       'q': CASE WHEN l_tax = 0 AND l_discount = 0 THEN 'n/a' ELSE CAST(CAST(round(l_quantity * 1000) AS BIGINT) AS VARCHAR) END},
+       'q': CASE WHEN l_tax = 0 AND l_discount = 0 THEN 'n/a' ELSE CAST(CAST(round(l_quantity * 1009) AS BIGINT) AS VARCHAR) END},
       {'address': CASE WHEN l_linestatus = 'O' THEN 'usd' ELSE 'eur' END,
        'f': CASE WHEN l_tax = 0.08 THEN '0x' || repeat('0', 40) ELSE 'c' || o_custkey END, 't': 's' || l_suppkey,
        'q': CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)}]) AS leg
