@@ -162,6 +162,7 @@ def fit_or_mean(train: DataFrame, test: DataFrame, cols: Sequence[str], y: str,
 
 def leave_one_out(df: DataFrame, group: str, cols: Sequence[str], y: str, threads: int = 4) -> DataFrame:
     """Scores every fold from a model of the other folds. There is one fit per fold value; fits share the cluster."""
+    df = cut(df, "folds")
     folds = sorted(r[0] for r in df.select(group).distinct().collect())
 
     def one(value):
@@ -268,6 +269,7 @@ def robust_cov(rows: DataFrame, cols: Sequence[str], y: str, cluster: str, block
 
 def drop_one(rows: DataFrame, cols: Sequence[str], y: str, group: str, block: Sequence[str] = ()) -> DataFrame:
     """The inference once without each group: range of the odds ratios."""
+    rows = cut(rows, "folds")
     out = None
     for value in sorted(r[0] for r in rows.select(group).distinct().collect()):
         part = robust_cov(rows.filter(F.col(group) != value), cols, y, group, block).withColumn("without", F.lit(value))

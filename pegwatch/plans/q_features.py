@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pegwatch.functions import scalars as S
 from pegwatch.operators import features as X
 from pegwatch.operators import tables as B
 from pegwatch.plans import standins as T
 from pegwatch.plans.q_series import r
 from pegwatch.plans.registry import query
-from pegwatch.rules import HOUR
 
 
 def rounded(df, keep, n=6):

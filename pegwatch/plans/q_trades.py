@@ -10,7 +10,6 @@ from pegwatch.operators import trades as D
 from pegwatch.plans import standins as T
 from pegwatch.plans.q_series import r
 from pegwatch.plans.registry import query
-from pegwatch.rules import HOUR
 from pegwatch.session import shared_folder
 from pegwatch.sources import scans, schemas, sinks
 
@@ -82,11 +81,11 @@ def a11(spark, sf):
         F.count("*").alias("trades"), F.round(F.sum("quote_amount"), 2).alias("volume"))
 
 
-@query("a8_flatten_responses", "SELECT sample_id, symbol AS llama_key, ts, price, confidence FROM samples", ["samples"])
+@query("a8_flatten_responses", "SELECT sample_id, symbol AS coin_key, ts, price, confidence FROM samples", ["samples"])
 def a8(spark, sf):
     coin = F.struct("confidence", F.array(F.struct(F.col("ts").alias("timestamp"), "price")).alias("prices"))
     landed = T.samples(spark, sf).select("sample_id", F.to_json(F.struct(F.create_map("symbol", coin).alias("coins"))).alias("body"))
-    return scans.flatten_prices(landed).select("sample_id", "llama_key", "ts", "price", "confidence")
+    return scans.flatten_prices(landed).select("sample_id", "coin_key", "ts", "price", "confidence")
 
 
 @query("a2_optional_columns", """

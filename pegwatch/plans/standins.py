@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.functions import scalars as S
 from pegwatch.operators import episodes as E
 from pegwatch.operators import series as X
 from pegwatch.plans.registry import block

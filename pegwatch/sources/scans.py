@@ -85,7 +85,7 @@ def flatten_prices(landed: DataFrame, body: str = "body") -> DataFrame:
     parsed = F.from_json(F.col(body), f"struct<coins: map<string, {coin}>>")
     rest = [c for c in landed.columns if c != body]
     return (
-        landed.select(*rest, F.explode(parsed["coins"]).alias("llama_key", "coin"))
-        .select(*rest, "llama_key", F.col("coin.confidence").alias("confidence"), F.explode("coin.prices").alias("p"))
-        .select(*rest, "llama_key", "confidence", F.col("p.timestamp").alias("ts"), F.col("p.price").alias("price"))
+        landed.select(*rest, F.explode(parsed["coins"]).alias("coin_key", "coin"))
+        .select(*rest, "coin_key", F.col("coin.confidence").alias("confidence"), F.explode("coin.prices").alias("p"))
+        .select(*rest, "coin_key", "confidence", F.col("p.timestamp").alias("ts"), F.col("p.price").alias("price"))
     )

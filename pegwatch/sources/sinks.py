@@ -30,6 +30,13 @@ def floored_edges(edges: DataFrame, min_usd: float) -> DataFrame:
     return edges.filter(known & keep)
 
 
+def write_edges(edges: DataFrame, path: str, min_usd: float) -> None:
+    """Kept edges, one partition per day, each day spread over as many tasks as it has edge types."""
+    day = F.to_date(F.timestamp_seconds("t"))
+    floored_edges(edges, min_usd).withColumn("day", day).repartition("day", "etype").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def edge_counts(edges: DataFrame, min_usd: float) -> DataFrame:
     """Rows before and after the floor by edge type."""
     known = edges.filter(F.col("usd").isNotNull() | F.col("tokens").isNotNull())
