@@ -31,13 +31,14 @@ STEP = 30 * DAY
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("events", "lineitem") and df.rdd.getNumPartitions() < cores:
-        # A table of fewer splits than cores (one row group here) would be read and exploded by one task. Tables with
-        # enough splits are left as they are.
-        return df.repartition(cores, df.columns[0])
-    return df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer splits than cores (one row group here) would leave all the work on its rows to one task. Scans
+    with enough splits are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def seconds(column: str):
@@ -282,7 +283,7 @@ MINIMUMS = {"USD": 1000.0, "ETH": 0.5}
 
 def transfers(spark: SparkSession, sf: str) -> DataFrame:
     """Goods against money per order line: supplier and customer each pay one token and receive another."""
-    lines = table(spark, sf, "lineitem").join(
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey").join(
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
     ).join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     supplier, customer = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("c"), F.col("o_custkey"))
