@@ -65,11 +65,12 @@ class Bounded(dict):
         return value
 
 
-_WORKER: dict = {}
+_WORKER: dict[str, tuple] = {}
 
 
-def per_worker(key: tuple, make: Callable):
-    """One object per Python worker and key (models, automata), built on first use and kept for later tasks."""
-    if key not in _WORKER:
-        _WORKER[key] = make()
-    return _WORKER[key]
+def per_worker(kind: str, key, make: Callable):
+    """One object per Python worker and kind (a model, a table), kept for later tasks until another key is asked for."""
+    if kind not in _WORKER or _WORKER[kind][0] != key:
+        _WORKER.pop(kind, None)
+        _WORKER[kind] = (key, make())
+    return _WORKER[kind][1]

@@ -179,7 +179,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     rows = keyed_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = per_worker(("piece", model_path), lambda: PieceModel(model_path))
+        model = per_worker("piece", model_path, lambda: PieceModel(model_path))
         for batch in batches:
             for part in slices(batch):
                 ids = [model.encode(t) for t in part.column("text").to_pylist()]
