@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import near_dedup, sentencepiece_codec, token_counts, token_frames
+from pegwatch.llm import decontaminate, line_dedup, near_dedup, sentencepiece_codec, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
 from pegwatch.session import shared_folder
 
@@ -49,3 +49,75 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+SQL["op3_decontaminate"] = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), items AS (
+  SELECT id AS item_id, words, least(len(words), 13) AS size FROM split WHERE kind = 'b' AND len(words) > 0
+), grams AS (
+  SELECT DISTINCT item_id, size, list_slice(words, i, i + size - 1) AS gram FROM items, unnest(range(1, len(words) - size + 2)) AS t(i)
+), places AS (
+  SELECT id AS doc_id, s.size, i, list_slice(words, i, i + s.size - 1) AS gram
+  FROM split, (SELECT DISTINCT size FROM items) s, unnest(range(1, len(words) - s.size + 2)) AS t(i) WHERE kind = 'd'
+), hits AS (
+  SELECT doc_id, i, p.size, item_id FROM places p JOIN grams g ON p.gram = g.gram
+), counted AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, size)) AS u(k) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM split d LEFT JOIN counted c ON c.doc_id = d.id LEFT JOIN listed l ON l.doc_id = d.id WHERE kind = 'd'
+"""
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_removed", "emptied", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op4_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+), worded AS (
+  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM lines WHERE line <> ''
+), placed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM worded
+), ahead AS (
+  SELECT doc_id, pos AS lo, max(pos) OVER w AS hi, list(line) OVER w AS body, sum(words) OVER w AS total FROM placed
+  WINDOW w AS (PARTITION BY doc_id ORDER BY after - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), back AS (
+  SELECT doc_id, min(pos) OVER w AS lo, pos AS hi, list(line) OVER w AS body, sum(words) OVER w AS total FROM placed
+  WINDOW w AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), windows AS (
+  SELECT * FROM ahead WHERE total >= 50 UNION SELECT * FROM back WHERE total >= 50
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(hi) OVER w AS first_hi FROM windows WINDOW w AS (PARTITION BY body ORDER BY doc_id, lo)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM ranked WHERE first_doc <> doc_id OR first_hi < lo
+), marked AS (
+  SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
+), left_over AS (
+  SELECT d.doc_id, coalesce(len(gone), 0) AS lines_removed, text, gone,
+         list_filter(list_zip(string_split(text, chr(10)), range(0, len(string_split(text, chr(10))))), lambda x: NOT list_contains(gone, x[2])) AS kept
+  FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id
+), judged AS (
+  SELECT *, gone IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(kept, lambda x: trim(x[1], ' ' || chr(9) || chr(13)) <> '')), false) AS emptied FROM left_over
+)
+SELECT doc_id, lines_removed, emptied,
+       sha256(CASE WHEN gone IS NULL THEN text WHEN emptied THEN '' ELSE array_to_string(list_transform(kept, lambda x: x[1]), chr(10)) END) AS text_sha256
+FROM judged
+"""
