@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,18 +34,28 @@ from pyspark.sql import functions as F
 from pegwatch.llm.common import Bounded, keyed_text, per_worker, row_key, slices
 
 FRAME_BYTES = 256 << 10
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_200_000
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8"), ("frame", "<u4")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_frames int, n_bytes long"
 
 
+def byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1 stands for itself, the other
+    bytes follow in order from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {b: chr(b) for b in own}
+    return [table.setdefault(b, chr(256 + len(table) - len(own))) for b in range(256)]
+
+
 class Encoder:
     """A byte-level tokenizer of the tokenizers library behind a bounded cache of words. A text is cut before a single
-    space and around a single line break between other characters; no pre-token spans those places."""
+    space and around a single line break between other characters; no pre-token spans those places. A word is kept
+    without its space; one after a line break with the break before it."""
 
-    odd = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
     cuts = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+    foreign = re.compile("[^\0-\u024f]")
+    closing = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,24 +66,33 @@ class Encoder:
         kind = str(tok.pre_tokenizer)
         if tok.normalizer is not None or "ByteLevel" not in kind or "use_regex=True" not in kind or "add_prefix_space=False" not in kind:
             raise ValueError("only byte-level tokenizers with their usual pattern can be cut at spaces")
-        self.words = Bounded(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), CACHED_WORDS)
+        self.tok, self.letters = tok, byte_letters()
+        self.words = Bounded(self._word, CACHED_WORDS)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word[:1] == "\n":
+            return self._whole(word)
+        if not self.foreign.search(word):
+            if word.isalpha():  # one pre-token: straight to the model
+                tokens = self.tok.model.tokenize(self.letters[32] + "".join(map(self.letters.__getitem__, word.encode())))
+                return array("I", [t.id for t in tokens]).tobytes()
+            if word[-1:] in self.closing and word[:-1].isalpha():
+                return self.words[word[:-1]] + self._whole(word[-1])
+        return self._whole(" " + word)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd.search(text):
+        runs = text.count(" ") + text.count("\n")
+        doubled = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        if doubled or len(text.split()) != runs + 1 or text[0] in " \n" or text[-1] in " \n":
             parts = self.cuts.split(text)
-        else:  # the same cuts: each word keeps its space, a line break stands alone
-            first, *rest = text.replace("\n", " \n ").split(" ")
-            parts, spaced = [first], True
-            for word in rest:
-                if word == "\n":
-                    spaced = False
-                    parts.append(word)
-                else:
-                    parts.append(" " + word if spaced else word)
-                    spaced = True
-        return b"".join(map(self.words.__getitem__, parts))
+            return b"".join(self.words[p[1:]] if p[0] == " " and p[1:2] not in ("", "\n") else self._whole(p) for p in parts)
+        first, *rest = text.replace("\n", " \n").split(" ")  # single spaces and line breaks are all its white space
+        return self._whole(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 class ShardWriter:
