@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import decontaminate, line_dedup, near_dedup, sentencepiece_codec, token_counts, token_frames
+from pegwatch.llm import decontaminate, line_dedup, maxscore, near_dedup, sentencepiece_codec, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
 from pegwatch.session import shared_folder
 
@@ -121,3 +121,21 @@ SELECT doc_id, lines_removed, emptied,
        sha256(CASE WHEN gone IS NULL THEN text WHEN emptied THEN '' ELSE array_to_string(list_transform(kept, lambda x: x[1]), chr(10)) END) AS text_sha256
 FROM judged
 """
+
+
+@query
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+SQL["op5_maxscore"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
