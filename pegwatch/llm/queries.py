@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import decontaminate, line_dedup, maxscore, near_dedup, sentencepiece_codec, token_counts, token_frames
+from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, sentencepiece_codec, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
 from pegwatch.session import shared_folder
 
@@ -139,3 +139,10 @@ WITH v AS (
 )
 SELECT * FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "response")
