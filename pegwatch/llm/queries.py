@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, sentencepiece_codec, token_counts, token_frames
+from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, secret_scan, sentencepiece_codec, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
+from pegwatch.llm.spans import counted, joined
 from pegwatch.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +147,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.predict(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "response")
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [counted(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
