@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pegwatch.llm.common import keyed_text, per_worker, ship_code, slices
+from pegwatch.llm.common import per_worker, ship_code, slices
 
 LANDMARKS, PER_LANGUAGE, LANGUAGES = 192, 400, 64
 ALPHABET = 62  # characters of their own; the others share a class each for letters and for the rest
@@ -156,12 +157,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int =
     return KernelModel([r[2] for r in found], [r[1] for r in found]) if found else None
 
 
-def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (of the text), lang_pred, score (0 to 1), response, for every row. One narrow pass."""
+def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1), response, for every row; with ``carry`` the whole row as struct ``row`` instead
+    of its id. One narrow pass."""
     spark = docs.sparkSession
     ship_code(spark)
     made, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
-    rows = keyed_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.col(f"`{id_col}`").alias("doc_id")
+    rows = docs.select(key, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker("language", made, lambda: shared.value)
@@ -174,8 +177,8 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
                     some = asked[at:at + 256]
                     for i, a, b, c in zip(some, *known.predict([texts[i] for i in some]), strict=True):
                         lang[i], score[i], response[i] = a, float(b), float(c)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(response, pa.float64())],
-                                                 names=["doc_id", "h", "lang_pred", "score", "response"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(response, pa.float64())],
+                                                 names=[part.schema.names[0], "lang_pred", "score", "response"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, lang_pred string, score double, response double")
+    schema = T.StructType([rows.schema.fields[0]]).add("lang_pred", "string").add("score", "double").add("response", "double")
+    return rows.mapInArrow(run, schema)

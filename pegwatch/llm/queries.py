@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, secret_scan, sentencepiece_codec, token_counts, token_frames
+from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, pii, secret_scan, sentencepiece_codec, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
 from pegwatch.llm.spans import counted, joined
 from pegwatch.session import shared_folder
@@ -154,3 +154,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     counts = [counted(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
