@@ -45,6 +45,17 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """The whole row as one struct column ``row``: joined columns then can't clash with any of its names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unboxed(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of such rows, those named in ``new`` replaced."""
+    names = docs.schema["row"].dataType.names
+    return [new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in names]
+
+
 def row_key(text: Column) -> Column:
     """Tells rows that share an id apart by their text; rows alike in both are one document for every decision."""
     return F.xxhash64(text)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pegwatch.llm.common import row_key
+from pegwatch.llm.common import boxed, row_key, unboxed
 from pegwatch.session import cut
 
 SIZE = 13
@@ -99,17 +99,19 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    bad = report(docs, benchmark, size, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (row_key(F.col(f"`{text_col}`")) == F.col("_h")), "left_anti")
+    bad = report(docs, benchmark, size, id_col, text_col).where("contaminated").select("doc_id", "h")
+    rows = boxed(docs)
+    left = rows.join(bad, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (row_key(F.col(f"row.`{text_col}`")) == F.col("h")), "left_anti")
+    return left.select(*unboxed(rows))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with every hit word, and the separators before it, taken out of the text."""
-    text = F.col(f"`{text_col}`")
-    hit = hits_of(docs, benchmark, size, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), hit_words(F.col("spans")).alias("_hit"))
-    met = docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (row_key(text) == F.col("_h")), "left")
+    text = F.col(f"row.`{text_col}`")
+    hit = hits_of(docs, benchmark, size, id_col, text_col).where(F.size("spans") > 0).select("doc_id", "h", hit_words(F.col("spans")).alias("hit"))
+    rows = boxed(docs)
+    met = rows.join(hit, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (row_key(text) == F.col("h")), "left")
     upper = SEPARATORS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all(text, F.lit(f"[{upper}]*[^{upper}]+|[{upper}]+$"), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.col("_hit")), lambda i: F.get(pieces, i - 1))
-    out = [F.when(F.col("_hit").isNotNull(), F.array_join(kept, "")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return met.select(*out)
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.col("hit")), lambda i: F.get(pieces, i - 1))
+    return met.select(*unboxed(rows, **{text_col: F.when(F.col("hit").isNotNull(), F.array_join(kept, "")).otherwise(text)}))

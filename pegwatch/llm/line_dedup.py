@@ -3,7 +3,7 @@
 A run is a stretch of consecutive lines; it counts when it holds ``min_words`` words (so one long line is a run). A line
 goes when it lies in a counting run that occurs earlier: in a document with a smaller doc_id, or further up in the same
 document without overlapping. Lines compare without the spaces, tabs and carriage returns around them; blank lines don't
-count, but go with a run that surrounds them. A line has one word more than spaces inside it.
+count and stay. A line has one word more than spaces inside it.
 
 Method: around every line stand two windows, the shortest counting runs that begin and that end with it. Every counting
 run that repeats contains whole windows that repeat, and they cover it. A window's fingerprint is the least line hash in
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pegwatch.llm.common import row_key
+from pegwatch.llm.common import boxed, row_key, unboxed
 from pegwatch.session import cut
 
 MIN_WORDS = 50
@@ -77,16 +77,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their texts after deletion, and ``lines_removed`` and ``emptied`` (no line with words
     is left of a document that had some; its text is then empty)."""
-    text = F.col(f"`{text_col}`")
-    marks = repeated_runs(docs, min_words, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("marks").alias("_marks"))
-    on = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)) == F.col("_doc")) & (row_key(text) == F.col("_h"))
-    met = docs.join(marks.hint("shuffle_hash"), on, "left")
-    gone = F.array_distinct(F.flatten(F.transform("_marks", lambda m: F.sequence(m["lo"], m["hi"]))))
-    met = met.withColumn("_gone", gone).withColumn("_lines", F.when(F.col("_marks").isNotNull(), F.split(text, "\n")))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
-    met = met.withColumn("_left", F.when(F.col("_marks").isNotNull(), left))
-    words = F.exists("_left", lambda x: F.trim(x, F.lit(" \t\r")) != "")
-    emptied = F.coalesce(F.col("_marks").isNotNull() & ~words, F.lit(False))
-    new = F.when(F.col("_marks").isNull(), text).when(emptied, F.lit("")).otherwise(F.array_join("_left", "\n"))
-    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return met.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"), emptied.alias("emptied"))
+    text, rows = F.col(f"row.`{text_col}`"), boxed(docs)
+    marks = repeated_runs(docs, min_words, id_col, text_col)
+    on = (F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(LAST)) == F.col("doc")) & (row_key(text) == F.col("h"))
+    met = rows.join(marks.hint("shuffle_hash"), on, "left")
+    gone = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.sequence(m["lo"], m["hi"]))))
+    met = met.withColumn("lines", F.when(F.col("marks").isNotNull(), F.split(text, "\n")))
+    met = met.withColumn("gone", F.filter(gone, lambda i: F.trim(F.get("lines", i), F.lit(" \t\r")) != ""))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    met = met.withColumn("left", F.when(F.col("marks").isNotNull(), left))
+    words = F.exists("left", lambda x: F.trim(x, F.lit(" \t\r")) != "")
+    emptied = F.coalesce(F.col("marks").isNotNull() & ~words, F.lit(False))
+    new = F.when(F.col("marks").isNull(), text).when(emptied, F.lit("")).otherwise(F.array_join("left", "\n"))
+    return met.select(*unboxed(rows, **{text_col: new}), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"), emptied.alias("emptied"))

@@ -14,8 +14,8 @@ each shard are merged by a grouped ranking that is limited before its shuffle.
 Components become floor(scale * x) (x as double). A vector that is null, or holds a null or non-finite component, takes no
 part, neither as a query nor as a candidate; nor does a row without an id. Shorter vectors count as padded with zeros. Rows
 that repeat an id and its vector count once; rows that share an id are one row's versions: none is a candidate for its
-own id, and the greatest score of a candidate id counts. An empty vector scores 0. Scores that could pass 62 bits are summed as
-unbounded integers and reported clipped to 64 bits. An empty table gives an empty table.
+own id, and the greatest score of a candidate id counts. An empty vector scores 0. Scores beyond what
+doubles hold exactly are summed as unbounded integers and saturate at 64 bits before they are ranked. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def best_of_shard(q: np.ndarray, qid: int, x: np.ndarray, ids: np.ndarray, high:
     exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, len(q)) >= 2.0**52
     if exact:  # beyond what doubles add exactly
         big, vector = x.astype(object), [int(z) for z in q]
-        pool = [(sum(int(a) * b for a, b in zip(row, vector, strict=True)), int(i)) for row, i in zip(big, ids, strict=True) if i != qid]
+        pool = [(_saturated(sum(int(a) * b for a, b in zip(row, vector, strict=True))), int(i)) for row, i in zip(big, ids, strict=True) if i != qid]
         return _top(pool, k)
     gain, loss = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
     order = np.argsort(loss - gain, kind="stable")  # worth most first
@@ -99,6 +99,10 @@ def best_of_shard(q: np.ndarray, qid: int, x: np.ndarray, ids: np.ndarray, high:
     return _top(list(zip(part.astype(np.int64).tolist(), ids[rows].tolist(), strict=True)), k)
 
 
+def _saturated(score: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, score))
+
+
 def _top(pool: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
     best: dict[int, int] = {}
     for score, i in pool:
@@ -146,8 +150,7 @@ def _search(rows: DataFrame, k: int, scale: float) -> DataFrame:
                     top = best_of_shard(vector, qid, body, ids, high, low, k, held[k - 1][0] if len(held) >= k else None)
                     known[qid] = _top(held + top, k)
                     out += [(qid, i, s) for s, i in top]
-                clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([clip(o[2]) for o in out], pa.int64())],
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
                                                  names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -108,7 +108,7 @@ WITH lines AS (
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(hi) OVER w AS first_hi FROM windows WINDOW w AS (PARTITION BY body ORDER BY doc_id, lo)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM ranked WHERE first_doc <> doc_id OR first_hi < lo
+  SELECT DISTINCT r.doc_id, w.pos FROM ranked r JOIN worded w ON w.doc_id = r.doc_id AND w.pos BETWEEN r.lo AND r.hi WHERE first_doc <> r.doc_id OR first_hi < lo
 ), marked AS (
   SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
 ), left_over AS (
