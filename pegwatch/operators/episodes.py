@@ -222,32 +222,40 @@ def coverage(dev: DataFrame, rules: Rules, value: str = "dev_obs") -> DataFrame:
     )
 
 
-def grid(dev: DataFrame, rules: Rules, thetas: Sequence[float], runs: Sequence[int], recoveries: Sequence[int]) -> DataFrame:
-    """Episode counts for every combination of threshold, run length and recovery. The combinations are exploded
-    next to each row and become part of the partition key, so each (combination, asset) is its own small group."""
-    combos = [(t, r, c) for t in thetas for r in runs for c in recoveries]
-    params = F.array(*[F.struct(F.lit(float(t)).alias("g_theta"), F.lit(r).alias("g_run"), F.lit(c).alias("g_rec"))
-                       for t, r, c in combos])
-    flat = coverage(dev, rules).filter("not derived_suspect").select("symbol")
-    rows = dev.join(flat, "symbol", "left_semi").filter("dev_obs is not null").select(
-        "symbol", "ts", "dev_obs", F.explode(params).alias("g")).select("symbol", "ts", "dev_obs", "g.*")
-    keys = ["g_theta", "g_run", "g_rec"]
-    eps = detect(rows, ["symbol", *keys], "dev_obs", "g_theta", F.col("g_run"), rules.severe, rules.band_frac,
-                 F.col("g_rec"), rules.dead_dev)
-    counts = eps.groupBy(*keys).agg(F.count("*").alias("episodes"), F.countDistinct("symbol").alias("assets"))
-    return counts.select(F.col("g_theta").alias("theta"), F.col("g_run").alias("min_run"),
-                         F.col("g_rec").alias("recovery"), "episodes", "assets")
-
-
-def known_events(events: DataFrame, eps: DataFrame, days: int = 3) -> DataFrame:
-    """Episodes near each documented event: how many, the deepest, the first start."""
-    keyed = events.select("symbol", "event_ts", S.hour_keys(
-        F.col("event_ts") - days * DAY, F.col("event_ts") + days * DAY).alias("ts"))
-    starts = eps.select("symbol", F.col("t0").alias("ts"), "min_dev")
-    near = keyed.join(starts, ["symbol", "ts"]).groupBy("symbol", "event_ts").agg(
-        F.count("*").alias("episodes"), F.min("min_dev").alias("deepest"), F.min("ts").alias("first_start"))
-    return events.select("symbol", "event_ts").join(near, ["symbol", "event_ts"], "left").select(
-        "symbol", "event_ts", F.coalesce("episodes", F.lit(0)).alias("episodes"), "deepest", "first_start")
+def grid(dev: DataFrame, rules: Rules, usd: Sequence[float], eth: Sequence[float], runs: Sequence[int]) -> DataFrame:
+    """Episode counts for every (dollar threshold, ether threshold, run length) at the rules' recovery.
+
+    An asset only ever meets the thresholds of its own peg, so a row is copied once per (own threshold, run) and the
+    counts of the two pegs are added per combination afterwards.
+    """
+    def params(thetas: Sequence[float]) -> Column:
+        return F.array(*[F.struct(F.lit(float(t)).alias("g_theta"), F.lit(n).alias("g_run")) for t in thetas for n in runs])
+
+    in_usd = F.col("peg") == "USD"
+    steady = coverage(dev, rules).filter("not derived_suspect").select("symbol")
+    rows = dev.join(steady, "symbol", "left_semi").filter("dev_obs is not null").select(
+        "symbol", "ts", "dev_obs", in_usd.alias("g_usd"), F.explode(F.when(in_usd, params(usd)).otherwise(params(eth))).alias("g"))
+    keys = ["g_usd", "g_theta", "g_run"]
+    eps = detect(rows.select("symbol", "ts", "dev_obs", "g_usd", "g.*"), ["symbol", *keys], "dev_obs", "g_theta", F.col("g_run"),
+                 rules.severe, rules.band_frac, rules.recovery, rules.dead_dev)
+    counts = eps.groupBy(*keys).agg(F.count("*").alias("n"))
+    each = dev.sparkSession.createDataFrame(
+        [(float(u), float(e), n) for u in usd for e in eth for n in runs], "theta_usd double, theta_eth double, min_run int")
+    own = F.when(F.col("g_usd"), F.col("theta_usd")).otherwise(F.col("theta_eth"))
+    met = each.join(counts, (F.col("g_run") == F.col("min_run")) & (F.col("g_theta") == own), "left")
+    return met.groupBy("theta_usd", "theta_eth", "min_run").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("episodes"))
+
+
+def known_events(events: DataFrame, eps: DataFrame, dev: DataFrame, days: int = 3) -> DataFrame:
+    """What is known around each documented event: whether there is data within ``days`` of it, how many episodes
+    that passed the quality rules overlap those days, the deepest of them and the first start."""
+    lo, hi = F.col("event_ts") - days * DAY, F.col("event_ts") + days * DAY
+    key = ["symbol", "event_ts"]
+    over = events.select(*key).join(eps.select("symbol", "t0", "t1", "min_dev"), "symbol").filter((F.col("t0") <= hi) & (F.col("t1") >= lo))
+    found = over.groupBy(*key).agg(F.count("*").alias("episodes"), F.min("min_dev").alias("deepest"), F.min("t0").alias("first_start"))
+    data = events.select(*key, S.hour_keys(lo, hi).alias("ts")).join(dev.filter("dev is not null").select("symbol", "ts"), ["symbol", "ts"])
+    return events.select(*key).join(found, key, "left").join(data.groupBy(*key).agg(F.count("*").alias("_n")), key, "left").select(
+        *key, F.col("_n").isNotNull().alias("data"), F.coalesce("episodes", F.lit(0)).alias("episodes"), "deepest", "first_start")
 
 
 def year_by_category(eps: DataFrame) -> DataFrame:

@@ -38,9 +38,11 @@ def episode_history(eps: DataFrame, severe_level: float) -> DataFrame:
         F.lag("t1").over(Window.partitionBy("symbol").orderBy("t0")).alias("_prev_end"))
 
 
-def escalation(eps: DataFrame, dev: DataFrame, landmarks: Sequence[int], rules: Rules) -> DataFrame:
-    """One row per (episode, landmark): state at the decision hour, run-up, history and both outcomes."""
+def escalation(eps: DataFrame, dev: DataFrame, landmarks: Sequence[int], rules: Rules, under: DataFrame | None = None) -> DataFrame:
+    """One row per (episode, landmark): state at the decision hour, run-up, history and both outcomes. Deviations
+    beyond +-1 count as +-1. ``under`` (symbol, ts, und_z_now) tells whether a wrapper's underlying is below its band."""
     level = rules.severe_level
+    dev = dev.withColumns({c: F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)) for c in ("dev", "dev_obs")})
     first_seen = dev.filter("dev is not null").groupBy("symbol").agg(F.min("ts").alias("_seen"))
     rows = episode_history(eps, level).join(first_seen, "symbol").withColumn(
         "landmark", F.explode(F.array(*[F.lit(x) for x in landmarks])))
@@ -62,6 +64,10 @@ def escalation(eps: DataFrame, dev: DataFrame, landmarks: Sequence[int], rules:
         F.avg(F.when(t < t0, x / F.col("theta"))).alias("pre_z_mean_168h"))
     severe = F.col("severity").isin(*SEVERE)
     dur = (F.col("t1") - F.col("t0")) / HOUR + 1
+    if under is None:
+        rows = rows.withColumn("und_z_now", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(under.select("symbol", "ts", "und_z_now"), ["symbol", "ts"], "left")
     out = rows.join(state, key, "left").withColumn("decided_severe", F.coalesce(F.col("_held") <= -level, F.lit(False)))
     y_severe = F.when(~(F.col("decided_severe") | (F.col("ongoing") & ~severe)), severe.cast("int"))
     y_long = F.when(~((F.col("landmark") >= LONG_HOURS - 1) | (F.col("ongoing") & (dur < LONG_HOURS))), (dur >= LONG_HOURS).cast("int"))
@@ -73,7 +79,8 @@ def escalation(eps: DataFrame, dev: DataFrame, landmarks: Sequence[int], rules:
         F.coalesce("ep_hours_below", F.lit(0)).alias("ep_hours_below"), "ep_back_in_band", "pre_z_min_24h", "pre_z_mean_168h",
         "prior_episodes", "prior_severe", "prior_long", "prior_severe_share", "prior_long_share", "prior_max_depth_frac",
         ((F.col("ts") - F.col("_prev_end")) / HOUR).alias("hours_since_prior_end"), age.alias("asset_age_days"),
-        F.log1p("prior_episodes").alias("log_prior_episodes"), F.log1p(age).alias("log_asset_age_days"))
+        F.log1p("prior_episodes").alias("log_prior_episodes"), F.log1p(F.greatest(age, F.lit(0.0))).alias("log_asset_age_days"),
+        F.coalesce(F.col("und_z_now") <= -1, F.lit(False)).cast("double").alias("und_below"))
 
 
 def severe_hours(eps: DataFrame, dev: DataFrame, level: float) -> DataFrame:

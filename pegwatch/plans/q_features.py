@@ -181,8 +181,11 @@ def e16m(spark, sf):
 
 
 # ------------------------------------------------------------------------------------------------ escalation
+T.block("dev_raw", "SELECT * FROM dev", ["dev"])
 T.block("escalation", """
-WITH hist AS (
+WITH dev AS (
+  SELECT symbol, ts, greatest(least(dev, 1), -1) AS dev, greatest(least(dev_obs, 1), -1) AS dev_obs FROM dev_raw
+), hist AS (
   SELECT *, (t1 - t0) / 3600 + 1 AS dur, severity IN ('major', 'collapse') AS sev, count(*) OVER p AS n,
     coalesce(count(*) FILTER (severity IN ('major', 'collapse')) OVER p, 0) AS n_sev,
     coalesce(count(*) FILTER ((t1 - t0) / 3600 + 1 >= 24) OVER p, 0) AS n_long,
@@ -211,12 +214,13 @@ SELECT symbol || '@' || t0 AS episode_id, symbol, t0, landmark, ts, severity, he
   pmin / 0.80014 AS pre_z_min_24h, pmean / 0.80014 AS pre_z_mean_168h,
   n AS prior_episodes, n_sev AS prior_severe, n_long AS prior_long, (n_sev + 1) / (n + 5) AS prior_severe_share,
   (n_long + 1) / (n + 5) AS prior_long_share, deepest AS prior_max_depth_frac, (ts - prev_end) / 3600 AS hours_since_prior_end,
-  (ts - seen) / 86400 AS asset_age_days, ln(1 + n) AS log_prior_episodes, ln(1 + (ts - seen) / 86400) AS log_asset_age_days
-FROM rows LEFT JOIN state USING (symbol, t0, landmark) LEFT JOIN held USING (symbol, t0, landmark)""", ["clean_eps", "dev"])
+  (ts - seen) / 86400 AS asset_age_days, ln(1 + n) AS log_prior_episodes, ln(1 + (ts - seen) / 86400) AS log_asset_age_days,
+  CASE WHEN suffix(symbol, '_1') AND EXISTS (SELECT 1 FROM z WHERE z.symbol = split_part(rows.symbol, '_', 1) || '_0' AND z.ts = rows.ts AND z.z <= -1) THEN CAST(1 AS DOUBLE) ELSE 0 END AS und_below
+FROM rows LEFT JOIN state USING (symbol, t0, landmark) LEFT JOIN held USING (symbol, t0, landmark)""", ["clean_eps", "dev_raw", "z"])
 ESC_R = ["held_min_dev", "duration_h", "depth_frac", "ep_z_first", "pre_z_min_24h", "pre_z_mean_168h", "prior_severe_share", "prior_long_share",
          "prior_max_depth_frac", "hours_since_prior_end", "asset_age_days", "log_prior_episodes", "log_asset_age_days"]
 ESC_K = ["episode_id", "landmark", "ts", "severity", "ongoing", "decided_severe", "y_severe", "y_long", "ep_hours_below", "ep_back_in_band",
-         "prior_episodes", "prior_severe", "prior_long"]
+         "prior_episodes", "prior_severe", "prior_long", "und_below"]
 
 
 @query("e17_e18_escalation", f"SELECT {', '.join(ESC_K)}, {rounds(ESC_R)} FROM escalation", ["escalation"])

@@ -137,14 +137,16 @@ block("held", asof_sql("finest", ["market_id", "field"]), ["gridt", "finest"])
 @staged
 def token_prices(spark, sf):
     n = F.regexp_extract("p_brand", "(\\d+)$", 1).cast("int")
-    part = T.table(spark, sf, "part").filter(n <= 22).select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+    part = T.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"), (n <= 22).alias("priced"))
+    price = F.sum("l_extendedprice") / F.sum("l_quantity") * 1.0000037
     return T.table(spark, sf, "lineitem").join(part, "l_partkey").groupBy("symbol", bucket().alias("ts")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity") * 1.0000037).alias("price"))
+        F.when(F.bool_and("priced"), price).alias("price"))
 
 
 block("token_prices", f"""
-SELECT p_brand AS symbol, epoch_us(l_shipdate) // 1000000 // {STEP} * {STEP} AS ts, sum(l_extendedprice) / sum(l_quantity) * 1.0000037::DOUBLE AS price
-FROM lineitem JOIN part ON p_partkey = l_partkey WHERE CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) <= 22 GROUP BY ALL""")
+SELECT p_brand AS symbol, epoch_us(l_shipdate) // 1000000 // {STEP} * {STEP} AS ts,
+       CASE WHEN bool_and(CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) <= 22) THEN sum(l_extendedprice) / sum(l_quantity) * 1.0000037::DOUBLE END AS price
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 
 
 @staged

@@ -298,8 +298,11 @@ DRIFT = ("log_family_collateral_usd", "log_family_borrow_against_usd")
 @query("d19_drift", " UNION ALL ".join(f"""
 SELECT symbol, '{c}' AS measure, qb[1] < qa[1] OR qb[1] > qa[3] AS outside, round(abs(qb[1] - qa[2]), 6) AS change FROM (
   SELECT symbol, count(*) FILTER (split = 'train') AS na, count(*) FILTER (split = 'test') AS nb,
+    count({c}) FILTER (split = 'train') AS va, count({c}) FILTER (split = 'test') AS vb,
+    avg(CASE WHEN {c} <> 0 THEN 1 WHEN {c} = 0 THEN 0 END) FILTER (split = 'train') AS za,
+    avg(CASE WHEN {c} <> 0 THEN 1 WHEN {c} = 0 THEN 0 END) FILTER (split = 'test') AS zb,
     quantile_cont({c}, [0.05, 0.5, 0.95]) FILTER (split = 'train') AS qa, quantile_cont({c}, [0.5]) FILTER (split = 'test') AS qb
-  FROM onset WHERE has_exposure > 0 GROUP BY symbol) WHERE na >= 20 AND nb >= 20""" for c in DRIFT), ["onset"])
+  FROM onset WHERE has_exposure > 0 GROUP BY symbol) WHERE na >= 20 AND nb >= 20 AND va >= 10 AND vb >= 10 AND (za >= 0.5 OR zb >= 0.5)""" for c in DRIFT), ["onset"])
 def d19(spark, sf):
     return rounded(M.drift(T.onset(spark, sf), DRIFT, 20, 10), ["symbol", "measure", "outside", "change"])
 

@@ -213,35 +213,44 @@ def d9(spark, sf):
     return E.coverage(T.dev(spark, sf), T.RULES)
 
 
-THETAS, RUNS, RECOVERIES = (0.60014, 0.70014, 0.80014, 0.85014), (1, 2, 3, 4), (3, 6, 12)
+THETAS_USD, THETAS_ETH, RUNS = (0.60014, 0.70014, 0.80014, 0.85014), (0.70014, 0.80014, 0.85014), (1, 2, 3, 4)
+
+
+def doubles(values):
+    return f"[{', '.join(f'{v}::DOUBLE' for v in values)}]"
+
+
 T.block("grid_rows", f"""
-SELECT symbol, ts, dev_obs AS x, g_theta, g_run, g_rec FROM dev,
- (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in THETAS)}]) AS g_theta), (SELECT unnest({list(RUNS)}) AS g_run),
- (SELECT unnest({list(RECOVERIES)}) AS g_rec)
-WHERE dev_obs IS NOT NULL
+SELECT symbol, ts, dev_obs AS x, peg = 'USD' AS g_usd, g_run,
+       unnest(CASE WHEN peg = 'USD' THEN {doubles(THETAS_USD)} ELSE {doubles(THETAS_ETH)} END) AS g_theta
+FROM dev, (SELECT unnest({list(RUNS)}) AS g_run) WHERE dev_obs IS NOT NULL
 """, ["dev"])
-T.islands("grid_eps", "symbol, g_theta, g_run, g_rec", "grid_rows", "g_theta", "0.90017", "g_run", "g_rec", ["grid_rows"])
+T.islands("grid_eps", "symbol, g_usd, g_theta, g_run", "grid_rows", "g_theta", "0.90017", "g_run", "6", ["grid_rows"])
 
 
-@query("d11_sensitivity_grid", """
-SELECT g_theta AS theta, g_run AS min_run, g_rec AS recovery, count(*) AS episodes, count(DISTINCT symbol) AS assets
-FROM grid_eps GROUP BY ALL
+@query("d11_sensitivity_grid", f"""
+SELECT theta_usd, theta_eth, min_run, count(e.symbol) AS episodes
+FROM (SELECT unnest({doubles(THETAS_USD)}) AS theta_usd), (SELECT unnest({doubles(THETAS_ETH)}) AS theta_eth), (SELECT unnest({list(RUNS)}) AS min_run)
+LEFT JOIN grid_eps e ON e.g_run = min_run AND e.g_theta = CASE WHEN e.g_usd THEN theta_usd ELSE theta_eth END
+GROUP BY ALL
 """, ["grid_eps"])
 def d11(spark, sf):
-    return E.grid(T.dev(spark, sf), T.RULES, THETAS, RUNS, RECOVERIES)
+    return E.grid(T.dev(spark, sf), T.RULES, THETAS_USD, THETAS_ETH, RUNS)
 
 
 @query("c10_known_events", """
-SELECT v.symbol, v.event_ts, count(e.t0) AS episodes, round(min(min_dev), 5) AS deepest, min(e.t0) AS first_start
+SELECT v.symbol, v.event_ts,
+       EXISTS (SELECT 1 FROM dev d WHERE d.symbol = v.symbol AND d.dev IS NOT NULL AND d.ts BETWEEN event_ts - 259200 AND event_ts + 259200) AS data,
+       count(e.t0) AS episodes, round(min(min_dev), 5) AS deepest, min(e.t0) AS first_start
 FROM (SELECT symbol, max_by(hour, (price, hour)) AS event_ts FROM prices WHERE source = 'main' GROUP BY symbol) v
-LEFT JOIN raw_eps e ON e.symbol = v.symbol AND e.t0 BETWEEN event_ts - 259200 AND event_ts + 259200
+LEFT JOIN clean_eps e ON e.symbol = v.symbol AND e.t0 <= event_ts + 259200 AND e.t1 >= event_ts - 259200
 GROUP BY v.symbol, v.event_ts
-""", ["prices", "raw_eps"])
+""", ["prices", "clean_eps", "dev"])
 def c10(spark, sf):
     events = T.prices(spark, sf).filter("source = 'main'").groupBy("symbol").agg(
         F.max_by("hour", F.struct("price", "hour")).alias("event_ts"))
-    return E.known_events(events, T.raw_episodes(spark, sf)).select(
-        "symbol", "event_ts", "episodes", r("deepest", 5), "first_start")
+    return E.known_events(events, T.clean_episodes(spark, sf), T.dev(spark, sf)).select(
+        "symbol", "event_ts", "data", "episodes", r("deepest", 5), "first_start")
 
 
 @query("d8_margins", """

@@ -34,13 +34,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A scan of fewer splits than cores (one row group here) would leave all the work on its rows to one task. Scans
-    with enough splits are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def seconds(column: str):
     return F.unix_seconds(F.col(column).cast("timestamp"))
 
@@ -283,7 +276,7 @@ MINIMUMS = {"USD": 1000.0, "ETH": 0.5}
 
 def transfers(spark: SparkSession, sf: str) -> DataFrame:
     """Goods against money per order line: supplier and customer each pay one token and receive another."""
-    lines = spread(table(spark, sf, "lineitem"), "l_orderkey").join(
+    lines = table(spark, sf, "lineitem").repartition("l_orderkey").join(
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
     ).join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     supplier, customer = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("c"), F.col("o_custkey"))
@@ -455,9 +448,10 @@ LEFT JOIN (SELECT symbol, ts, dev, theta FROM dev) USING (symbol, ts)
 
 @staged
 def exposure_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Dollar measures per asset-hour from the value sampled in the day before; assets numbered 3 have none."""
-    hourly = scanned(spark, sf).filter(~F.col("symbol").endswith("_3")).groupBy(
-        "symbol", (F.floor(F.col("ts") / HOUR) * HOUR).cast("bigint").alias("ts")).agg(F.sum("price").alias("v"))
+    """Dollar measures per asset-hour from the value sampled in the day before; those of assets numbered 3 are unknown."""
+    value = F.when(~F.col("symbol").endswith("_3"), F.col("price"))
+    hourly = scanned(spark, sf).groupBy(
+        "symbol", (F.floor(F.col("ts") / HOUR) * HOUR).cast("bigint").alias("ts")).agg(F.sum(value).alias("v"))
     dense = X.densify(hourly, ["symbol"])
     total = F.round(F.sum("v").over(X.ordered(["symbol"]).rowsBetween(-23, 0)) * 100, 4)
     own = F.coalesce("total", F.lit(0.0))
@@ -476,7 +470,7 @@ FROM (
   FROM (SELECT symbol, unnest(generate_series(min(h), max(h), 3600)) AS ts FROM hs GROUP BY symbol)
   LEFT JOIN (SELECT symbol, h AS ts, v FROM hs) USING (symbol, ts))
 """, ["hs"])
-block("hs", "SELECT symbol, ts // 3600 * 3600 AS h, sum(price) AS v FROM scanned WHERE NOT suffix(symbol, '_3') GROUP BY ALL", ["scanned"])
+block("hs", "SELECT symbol, ts // 3600 * 3600 AS h, sum(CASE WHEN NOT suffix(symbol, '_3') THEN price END) AS v FROM scanned GROUP BY ALL", ["scanned"])
 
 
 def wrapper_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,8 +504,9 @@ LANDMARKS = (1, 6, 24)
 @staged
 def escalation(spark: SparkSession, sf: str) -> DataFrame:
     from pegwatch.operators.tables import escalation as build
-    eps = episodes(spark, sf).filter("suspect = '' and not dropped")
-    return build(eps, dev(spark, sf), LANDMARKS, RULES)
+    from pegwatch.operators import features as FX
+    under = FX.wrapped(FX.rolling(z(spark, sf)), wrapper_pairs(spark, sf), ["z_now"])
+    return build(clean_episodes(spark, sf), dev(spark, sf), LANDMARKS, RULES, under)
 
 
 @staged
