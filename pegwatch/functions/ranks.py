@@ -1,10 +1,11 @@
 """Order statistics without a single-task sort.
 
-A window over the whole of a table, or over one hot group, would put it into one task. The functions here cut the
-value range at split points instead: rows are first counted per distinct value (map-side combined), then summed
-per value bucket, the few bucket totals are accumulated, and the fine running sums are taken inside each bucket
-only. Results are exact. The split points are the distinct values with the smallest hashes, a bounded sample that
-every evaluation of the plan finds again, so lost executors and re-runs cannot change them.
+A window over the whole of a table, or over one hot group, would put it into one task. The functions here deal the rows
+out by ranges of the value instead (then of the group, so that a value shared by many groups is split too), as many
+ranges as the session has shuffle partitions, and write them once with the number of their range. The few range totals
+are accumulated, and the fine running sums are taken inside each range only. Results are exact. The written table is
+what every later step reads, so lost executors and re-runs can't change the ranges. NULL groups are groups like any
+other; NULL values come first in ascending and last in descending order.
 """
 
 from __future__ import annotations
@@ -14,38 +15,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from pegwatch.session import cut
 
 
-def split_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """Scalar subquery: sorted array of at most ``buckets`` values that cut the range of ``value``."""
-    picked = (
-        df.select(F.col(value).alias("_v")).filter("_v is not null").distinct()
-        .orderBy(F.xxhash64("_v"), "_v").limit(buckets)
-    )
-    return picked.agg(F.sort_array(F.collect_list("_v")).alias("_points")).scalar()
+def by_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds ``_bucket``, the number of the row's range in the order of the columns."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *order).withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
-def with_bucket(df: DataFrame, value: str, points: Column) -> DataFrame:
-    """Adds ``_bucket``, the place of the value among the split points (monotone in the value). It is found without a
-    lambda: the optimizer must see which columns the bucket depends on when it infers filters for a join on it."""
-    return (
-        df.withColumn("_points", points)
-        .withColumn("_bucket", F.expr(f"array_position(sort_array(array_append(_points, {value})), {value})"))
-        .drop("_points")
-    )
+def _meet(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row with the offsets of its (group, range); NULL groups meet too."""
+    keys = [*by, "_bucket"]
+    named = offsets.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) if k != "_bucket" else F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    return rows.join(named, same)
 
 
-def running_totals(
-    counted: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False,
-    buckets: int = BUCKETS,
-) -> DataFrame:
+def running_totals(counted: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Running sums of ``sums`` in the order of ``value`` inside every ``by`` group.
 
     ``counted`` holds one row per (by, value). Adds ``cum_<s>`` (row included) and ``all_<s>`` (group total).
     """
     by = list(by)
-    rows = with_bucket(counted, value, split_points(counted, value, buckets))
+    rows = by_range(counted, [value, *by])
     per_bucket = rows.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
     order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,21 +53,18 @@ def running_totals(
         .orderBy(F.col(value).desc() if descending else F.col(value).asc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = rows.join(offsets, [*by, "_bucket"])
-    return joined.select(
+    return _meet(rows, offsets, by).select(
         *counted.columns,
         *[(F.sum(s).over(fine) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"all_{s}") for s in sums],
     )
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int = BUCKETS,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group, one column per entry of ``probs``."""
     by = list(by)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    run = running_totals(counted, value, ["_n"], by, buckets=buckets)
+    run = running_totals(counted, value, ["_n"], by)
     picks, outs = [], []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("all__n") - 1)
@@ -87,29 +77,26 @@ def exact_quantiles(
     return run.groupBy(*by).agg(F.max("all__n").alias("_total"), *picks).select(*by, *outs)
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx", buckets: int = BUCKETS) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Distinct keys numbered 0, 1, ... in key order."""
     keys = df.select(key).distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    run = running_totals(keys, key, ["_one"], buckets=buckets)
+    run = running_totals(keys, key, ["_one"])
     return run.select(key, (F.col("cum__one") - 1).alias(name), F.col("all__one").alias(f"n_{name}"))
 
 
-def ranked(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[tuple[str, bool]], by: Sequence[str] = ()) -> DataFrame:
     """Adds ``rank`` (1 is first) and ``total`` per group. ``order`` lists (column, descending) pairs that together
-    order the rows totally; descending columns must be numbers. The split points cut the whole key, so a score that
-    a third of the rows share is split by the columns after it."""
+    order the rows totally; descending columns must be numbers. The ranges cut the whole key, so a score that a third
+    of the rows share is split by the columns after it."""
     by = list(by)
     key = F.struct(*[(-F.col(c) if desc else F.col(c)).alias(f"k{i}") for i, (c, desc) in enumerate(order)])
-    rows = df.withColumn("_key", key)
-    picked = rows.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(buckets)
-    points = picked.agg(F.sort_array(F.collect_list("_key")).alias("_points")).scalar()
-    rows = with_bucket(rows, "_key", points)
+    rows = by_range(df.withColumn("_key", key), ["_key"])
     per_bucket = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_b"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*by, "_bucket", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_o"),
                                 F.sum("_b").over(Window.partitionBy(*by)).alias("total"))
     fine = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key"))
-    return rows.join(offsets, [*by, "_bucket"]).select(*df.columns, (fine + F.col("_o")).alias("rank"), "total")
+    return _meet(rows, offsets, by).select(*df.columns, (fine + F.col("_o")).alias("rank"), "total")
 
 
 def top_rows(

@@ -141,12 +141,11 @@ def select_vaults(allocations: DataFrame, vaults: DataFrame, markets: DataFrame)
         "selected_by is not null").drop("_a", "_b")
 
 
-def select_markets(markets: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
-    """Markets whose collateral or loan asset is a target, largest first; the optional limit is a report size."""
+def select_markets(markets: DataFrame, targets: DataFrame) -> DataFrame:
+    """Markets whose collateral or loan asset is a target."""
     hit = targets.select(F.col("symbol").alias("_s"))
-    out = markets.join(hit, F.col("_s") == F.col("collateral"), "left_semi").unionByName(
+    return markets.join(hit, F.col("_s") == F.col("collateral"), "left_semi").unionByName(
         markets.join(hit, F.col("_s") == F.col("loan"), "left_semi")).dropDuplicates(["market_id"])
-    return out if limit is None else out.orderBy(F.desc("size_usd"), "market_id").limit(limit)
 
 
 def activity(history: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -176,13 +176,12 @@ def leave_one_out(df: DataFrame, group: str, cols: Sequence[str], y: str, thread
     return out
 
 
-def permutation(score: Callable[[DataFrame], DataFrame], rows: DataFrame, cols: Sequence[str], y: str, key: Sequence[str], n: int = 60000,
+def permutation(score: Callable[[DataFrame], DataFrame], rows: DataFrame, cols: Sequence[str], y: str, key: Sequence[str],
                 repeats: int = 3, seed: int = 0) -> DataFrame:
-    """Drop in average precision when one column is shuffled, on all positives and the negatives with the smallest
-    hashes. A shuffle is a join of hash order with natural order, both found without a single-task sort."""
-    u = rows.withColumn("_u", F.when(F.col(y) == 1, -1.0).otherwise(hash_uniform(F.lit(seed), *key)))
-    picked = ranked(u, [("_u", False), *[(k, False) for k in key]]).filter(F.col("rank") <= n)
-    sample = cut(picked.select(*key, y, *cols, F.col("rank").alias("_i")), "importance")
+    """Drop in average precision when one column is shuffled, over all rows. A shuffle is a join of hash order with
+    natural order, both found without a single-task sort."""
+    numbered = ranked(rows.select(*key, y, *cols), [(k, False) for k in key])
+    sample = cut(numbered.select(*key, y, *cols, F.col("rank").alias("_i")), "importance")
     base = average_precision(score(sample), (), y).first()["ap"]
     out = []
     for c in cols:
@@ -299,18 +298,20 @@ def ar1(z: DataFrame, pegs: DataFrame, train_end: int, least: int = 90) -> DataF
 def ewma(resid: DataFrame, train_end: int, lam: float = 0.94) -> DataFrame:
     """Exponentially weighted variance of the residuals; a day without one holds the value.
 
-    The recursion is a running sum scaled by powers of lambda. Its exponents count known days, which doubles carry for
-    more than 30 years of daily data.
+    Written out, the recursion weighs a known day by lambda to the number of known days since. Days whose weight is
+    beyond double precision add nothing, so the sum looks back over a fixed number of known days, however long the series.
     """
     sq = F.col("resid") * F.col("resid")
     train = resid.filter((F.col("ts") <= train_end) & F.col("resid").isNotNull()).withColumn("_sq", sq)
     init = exact_quantiles(train, "_sq", {"m": 0.5}).select("m").scalar()
-    w = ordered(["symbol"]).rowsBetween(Window.unboundedPreceding, 0)
-    k = F.count("resid").over(w)
-    rows = resid.withColumn("_k", k).withColumn("_init", init)
-    term = F.when(F.col("resid").isNotNull(), sq * F.pow(F.lit(lam), -F.col("_k").cast("double")))
-    total = F.coalesce(F.sum(term).over(w), F.lit(0.0))
-    return rows.withColumn("variance", F.pow(F.lit(lam), F.col("_k").cast("double")) * (F.col("_init") + (1 - lam) * total)).drop("_k", "_init")
+    reach = math.ceil(math.log(1e-18) / math.log(lam))
+    rows = resid.withColumn("_k", F.count("resid").over(ordered(["symbol"]).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_init", init)
+    near = Window.partitionBy("symbol").orderBy("_k").rangeBetween(-reach, 0)
+    seen = F.collect_list(F.when(F.col("resid").isNotNull(), F.struct(F.col("_k").alias("k"), sq.alias("sq")))).over(near)
+    rows = rows.withColumn("_seen", seen)
+    weight = lambda days: F.pow(F.lit(lam), days.cast("double"))
+    total = F.aggregate("_seen", F.lit(0.0), lambda acc, x: acc + x["sq"] * weight(F.col("_k") - x["k"]))
+    return rows.withColumn("variance", weight(F.col("_k")) * F.col("_init") + (1 - lam) * total).drop("_k", "_init", "_seen")
 
 
 def tail_fit(rows: DataFrame, train_end: int, tail: float = 0.10) -> tuple[DataFrame, DataFrame]:

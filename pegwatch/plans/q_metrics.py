@@ -15,7 +15,7 @@ from pegwatch.plans.registry import block, query
 from pegwatch.session import staged
 
 UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', {0})), 1, 12) AS BIGINT) / 281474976710656)"
-DRAWS = 50
+DRAWS = 1000
 
 
 @staged
@@ -151,6 +151,16 @@ def hits(spark, sf):
     return M.episode_hits(alerts(spark, sf), T.clean_episodes(spark, sf), 24, ["model"])
 
 
+block("hits72", """
+SELECT model, e.symbol, e.t0, (e.t0 - min(CASE WHEN alert THEN ts END)) / 3600 AS lead_h
+FROM clean_eps e JOIN alerts a ON a.symbol = e.symbol AND a.ts BETWEEN e.t0 - 72 * 3600 AND e.t0 - 3600 GROUP BY model, e.symbol, e.t0""", ["clean_eps", "alerts"])
+
+
+@staged
+def hits72(spark, sf):
+    return M.episode_hits(alerts(spark, sf), T.clean_episodes(spark, sf), 72, ["model"])
+
+
 @query("c7_episode_windows", "SELECT model, symbol, t0, severe, w, caught, lead_h FROM hits", ["hits"])
 def c7(spark, sf):
     return hits.build(spark, sf).select("model", "symbol", "t0", "severe", "w", "caught", "lead_h")
@@ -188,25 +198,25 @@ SELECT draw, count(*) AS runs, CAST(sum(y) AS BIGINT) AS runs_with_start, round(
   SELECT draw, symbol, g, max(y) AS y FROM (
     SELECT *, ts - 3600 * row_number() OVER (PARTITION BY draw, symbol ORDER BY ts) AS g FROM (
       SELECT *, row_number() OVER (PARTITION BY draw ORDER BY {UNIFORM.format("0, draw, symbol, ts")}, ts, symbol) AS rk, count(*) OVER (PARTITION BY draw) AS n
-      FROM test, (SELECT unnest(generate_series(0, 9)) AS draw) WHERE model = 'rule') WHERE rk <= round_even(0.05 * n, 0)) GROUP BY draw, symbol, g),
+      FROM test, (SELECT unnest(generate_series(0, 49)) AS draw) WHERE model = 'rule') WHERE rk <= round_even(0.05 * n, 0)) GROUP BY draw, symbol, g),
   (SELECT count(DISTINCT ts // 86400) AS days FROM test) GROUP BY draw""", ["test"])
 def j13(spark, sf):
-    out = M.random_runs(test_rows(spark, sf).filter("model = 'rule'"), 0.05, 10)
+    out = M.random_runs(test_rows(spark, sf).filter("model = 'rule'"), 0.05, 50)
     return rounded(out, ["draw", "runs", "runs_with_start", "runs_per_day", "run_precision"])
 
 
 @query("j14_lead_curve", """
-SELECT model, k, count(*) AS episodes, round(count(*) FILTER (lead_h >= k) / count(*), 6) AS share FROM hits, (SELECT unnest(generate_series(1, 24)) AS k) GROUP BY model, k""", ["hits"])
+SELECT model, k, count(*) AS episodes, round(count(*) FILTER (lead_h >= k) / count(*), 6) AS share FROM hits72, (SELECT unnest(generate_series(1, 72)) AS k) GROUP BY model, k""", ["hits72"])
 def j14(spark, sf):
-    return rounded(M.lead_curve(hits(spark, sf), ["model"], 24), ["model", "k", "episodes", "share"])
+    return rounded(M.lead_curve(hits72(spark, sf), ["model"], 72), ["model", "k", "episodes", "share"])
 
 
 @query("j14_overtaking_hour", """
-WITH c AS (SELECT model, k, count(*) FILTER (lead_h >= k) / count(*) AS share FROM hits, (SELECT unnest(generate_series(1, 24)) AS k) GROUP BY model, k)
-SELECT 'level' AS ahead, 'rule' AS behind, CASE WHEN k0 <= 24 THEN k0 END AS from_hour
-FROM (SELECT coalesce(max(CASE WHEN a.share <= b.share THEN a.k END), 0) + 1 AS k0 FROM c a JOIN c b ON a.k = b.k AND a.model = 'level' AND b.model = 'rule')""", ["hits"])
+WITH c AS (SELECT model, k, count(*) FILTER (lead_h >= k) / count(*) AS share FROM hits72, (SELECT unnest(generate_series(1, 72)) AS k) GROUP BY model, k)
+SELECT 'level' AS ahead, 'rule' AS behind, CASE WHEN k0 <= 72 THEN k0 END AS from_hour
+FROM (SELECT coalesce(max(CASE WHEN a.share <= b.share THEN a.k END), 0) + 1 AS k0 FROM c a JOIN c b ON a.k = b.k AND a.model = 'level' AND b.model = 'rule')""", ["hits72"])
 def j14o(spark, sf):
-    return M.overtaking_hour(M.lead_curve(hits(spark, sf), ["model"], 24), "level", "rule")
+    return M.overtaking_hour(M.lead_curve(hits72(spark, sf), ["model"], 72), "level", "rule")
 
 
 @query("j15_repeats", """
@@ -370,9 +380,9 @@ def f3(spark, sf):
 
 
 @query("j7_random_baseline", "SELECT seed_id, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in RANK) + " FROM ("
-       + rank_sql(f"(SELECT p.*, draw, {UNIFORM.format('0, draw, seed_id, cand')} AS score FROM spairs p, (SELECT unnest(generate_series(0, 9)) AS draw))", "draw, seed_id") + ") GROUP BY seed_id", ["spairs"])
+       + rank_sql(f"(SELECT p.*, draw, {UNIFORM.format('0, draw, seed_id, cand')} AS score FROM spairs p, (SELECT unnest(generate_series(0, 199)) AS draw))", "draw, seed_id") + ") GROUP BY seed_id", ["spairs"])
 def j7(spark, sf):
-    return rounded(M.random_ranking(scored_pairs(spark, sf), 10), ["seed_id", *RANK])
+    return rounded(M.random_ranking(scored_pairs(spark, sf), 200), ["seed_id", *RANK])
 
 
 @query("f6_case_studies", """
@@ -480,7 +490,7 @@ def j20(spark, sf):
     return rounded(R.label_replicates(rows, F.col("log_vault_overlap") > 0, base, 2.0, 20), ["rep", "gap"])
 
 
-SHIFTS = (-7, -3, 3, 7)
+SHIFTS = (-28, -21, -14, 14, 21, 28)
 block("ppairs", f"""
 SELECT s.cluster, s.shift, a.symbol AS cand, CAST(EXISTS (SELECT 1 FROM clean_eps e WHERE e.symbol = a.symbol AND e.t0 > s.tau AND e.t0 <= s.tau + 604800) AS INT) AS y168,
   NOT EXISTS (SELECT 1 FROM seeds q WHERE q.tau BETWEEN s.tau - 604800 AND s.tau + 604800) AS calm

@@ -14,10 +14,13 @@ _STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set on a local master,
+    as in tests. Executors of a cluster don't share a machine's own folders, so there an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -21,7 +21,7 @@ def skewed(spark):
 
 def test_quantiles_are_exact_under_skew(skewed):
     rows, df = skewed
-    got = {r.g: (r.a, r.b, r.c) for r in exact_quantiles(df, "v", {"a": 0.05, "b": 0.5, "c": 0.99}, ["g"], buckets=16).collect()}
+    got = {r.g: (r.a, r.b, r.c) for r in exact_quantiles(df, "v", {"a": 0.05, "b": 0.5, "c": 0.99}, ["g"]).collect()}
     for g in {r[0] for r in rows}:
         assert got[g] == pytest.approx(np.quantile([r[1] for r in rows if r[0] == g], [0.05, 0.5, 0.99]))
 
@@ -33,12 +33,28 @@ def test_quantile_of_one_value(spark):
 
 def test_running_totals_equal_a_plain_scan(skewed):
     rows, df = skewed
-    run = running_totals(df.groupBy("v").agg(F.count("*").alias("n")), "v", ["n"], descending=True, buckets=7)
+    run = running_totals(df.groupBy("v").agg(F.count("*").alias("n")), "v", ["n"], descending=True)
     got = {r.v: (r.cum_n, r.all_n) for r in run.collect()}
     for v in {r[1] for r in rows}:
         assert got[v] == (sum(r[1] >= v for r in rows), len(rows))
 
 
+def test_null_groups_and_values_stay(spark):
+    rows = [(None, 1.0, 1), (None, None, 2), ("a", 1.0, 3), ("a", 1.0, 4), (None, 5.0, 5)]
+    df = spark.createDataFrame(rows, "g string, v double, i bigint")
+    got = {r.i: (r["rank"], r.total) for r in ranked(df, [("v", False), ("i", False)], ["g"]).collect()}
+    assert got == {2: (1, 3), 1: (2, 3), 5: (3, 3), 3: (1, 2), 4: (2, 2)}
+    run = running_totals(df.groupBy("g", "v").agg(F.count("*").alias("n")), "v", ["n"], ["g"])
+    assert sorted((r.g or "", r.v or 0.0, r.cum_n, r.all_n) for r in run.collect()) == [("", 0.0, 1, 3), ("", 1.0, 2, 3), ("", 5.0, 3, 3), ("a", 1.0, 2, 2)]
+
+
+def test_a_score_shared_by_a_third_of_the_rows(spark):
+    df = spark.range(900).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("v"))
+    rows = [(r.v, r.i) for r in df.collect()]
+    order = {i: k + 1 for k, (v, i) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
+    assert {r.i: r["rank"] for r in ranked(df, [("v", True), ("i", False)]).collect()} == order
+
+
 def test_top_share_breaks_ties_by_the_next_column(skewed):
     rows, df = skewed
     for share in (0.0, 0.05, 0.7, 1.0):
@@ -123,3 +139,25 @@ def test_winsor_keeps_the_range_of_a_rare_feature(spark):
     got = {r.measure: (r.low, r.high) for r in L.column_bounds(df, ["rare", "x"], 0.01, 0.99).collect()}
     assert got["rare"] == (0.0, 1.0) and got["x"] == pytest.approx((2.99, 296.01))
     assert L.drop_collinear(df.withColumn("twice", F.col("x") * 2).withColumn("one", F.lit(1.0)), ["x", "twice", "rare", "one"]) == ["x", "rare"]
+
+
+def test_placebo_hours_far_from_every_seed_are_calm(spark):
+    day = 86400
+    dev = spark.createDataFrame([(s, h * HOUR, -0.1, "USD") for s in ("a", "b") for h in range(24 * 60)], "symbol string, ts bigint, dev double, peg string")
+    seeds = spark.createDataFrame([("a@1", "a", 30 * day, 30 * day, 0, "major", "x", "USD")], "seed_id string, seed string, seed_t0 bigint, tau bigint, cluster bigint, seed_severity string, seed_category string, seed_peg string")
+    eps = spark.createDataFrame([("b", 35 * day, 35 * day + 5 * HOUR, False)], "symbol string, t0 bigint, t1 bigint, terminal boolean")
+    out = {(r["shift"], r.calm, r.y168) for r in R.placebo_pairs(seeds, eps, dev, (-14, -3, 14)).collect()}
+    assert out == {(-14, True, 0), (-3, False, 0), (14, True, 0)}
+
+
+def test_exponential_variance_of_a_long_series(spark):
+    rng = np.random.default_rng(1)
+    resid = rng.normal(0, 1, 12_500)
+    df = spark.createDataFrame([("a", i, float(r)) for i, r in enumerate(resid)], "symbol string, ts bigint, resid double")
+    v = float(np.median(resid[:101] ** 2))
+    want = []
+    for r in resid:
+        v = 0.94 * v + 0.06 * r * r
+        want.append(v)
+    got = [r.variance for r in L.ewma(df, 100).orderBy("ts").select("variance").collect()]
+    assert got == pytest.approx(want, rel=1e-9)
