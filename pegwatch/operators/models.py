@@ -64,16 +64,17 @@ def prepare(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str],
 
 
 def drop_collinear(train: DataFrame, cols: Sequence[str], limit: float = 0.995) -> list[str]:
-    """Columns that vary and are not almost collinear with an earlier kept one."""
-    sds = train.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
-    live = [c for c in cols if sds[c] is not None and sds[c] > 1e-9]
-    rows = VectorAssembler(inputCols=live, outputCol="_v", handleInvalid="skip").transform(train)
-    corr = np.abs(Correlation.corr(rows, "_v").first()[0].toArray())
-    kept: list[int] = []
-    for i in range(len(live)):
-        if all(corr[i, k] < limit for k in kept):
-            kept.append(i)
-    return [live[i] for i in kept]
+    """Columns that vary and are not almost collinear with an earlier kept one: each kept column strikes out the later
+    ones that repeat it."""
+    spread = train.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first().asDict()
+    live = [c for c in cols if (spread[c] or 0.0) > 1e-9]
+    vectors = VectorAssembler(inputCols=live, outputCol="_v", handleInvalid="skip").transform(train)
+    repeats = np.triu(np.abs(Correlation.corr(vectors, "_v").first()[0].toArray()) >= limit, 1)
+    open_ = np.ones(len(live), bool)
+    for i, later in enumerate(repeats):
+        if open_[i]:
+            open_ &= ~later
+    return [c for c, kept in zip(live, open_, strict=True) if kept]
 
 
 # ------------------------------------------------------------------------------------------------ learners
@@ -253,17 +254,15 @@ def robust_cov(rows: DataFrame, cols: Sequence[str], y: str, cluster: str, block
     g = meat["g"]
     V = inv @ Mt @ inv * (g / max(g - 1, 1)) * ((n - 1) / max(n - k - 1, 1))
     se = np.sqrt(np.maximum(np.diag(V), 0.0))
-    idx = [1 + list(cols).index(c) for c in block]
-    wald = None
-    if idx:
-        wald = float(beta[idx] @ np.linalg.pinv(V[np.ix_(idx, idx)]) @ beta[idx])
-    out = []
-    for j, c in enumerate(cols, start=1):
-        z = beta[j] / se[j] if se[j] > 0 else 0.0
-        lim = lambda v: math.exp(max(-50.0, min(50.0, v)))
-        out.append((c, float(beta[j]), float(se[j]), lim(beta[j]), lim(beta[j] - 1.96 * se[j]), lim(beta[j] + 1.96 * se[j]),
-                    math.erfc(abs(z) / math.sqrt(2)), bool(abs(beta[j]) > 5), wald, chi2_tail(wald, len(idx)) if wald is not None else None, int(g)))
-    return rows.sparkSession.createDataFrame(out, INFERENCE)
+    tested = np.flatnonzero([c in block for c in cols]) + 1
+    wald = float(beta[tested] @ np.linalg.pinv(V[np.ix_(tested, tested)]) @ beta[tested]) if len(tested) else None
+    tails = [math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else 1.0 for b, s in zip(beta, se, strict=True)]
+    each = rows.sparkSession.createDataFrame(
+        [(c, float(b), float(s), float(t)) for c, b, s, t in zip(cols, beta[1:], se[1:], tails[1:], strict=True)], "feature string, beta double, se double, p double")
+    odds = [F.exp(clip(F.col("beta") + k * F.col("se"), -50.0, 50.0)).alias(name) for name, k in (("odds_ratio", 0.0), ("or_low", -1.96), ("or_high", 1.96))]
+    return each.select(
+        "feature", "beta", "se", *odds, "p", (F.abs("beta") > 5).alias("separation"), F.lit(wald).cast("double").alias("wald"),
+        F.lit(None if wald is None else chi2_tail(wald, len(tested))).cast("double").alias("wald_p"), F.lit(int(g)).alias("clusters"))
 
 
 def drop_one(rows: DataFrame, cols: Sequence[str], y: str, group: str, block: Sequence[str] = ()) -> DataFrame:

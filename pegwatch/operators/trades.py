@@ -47,42 +47,29 @@ def priced_transfers(transfers: DataFrame, tokens: DataFrame, start: int | None
 def pair_trades(transfers: DataFrame, tokens: DataFrame, floors: Mapping[str, float]) -> DataFrame:
     """Parties that received exactly one token and paid exactly one other in a transaction, as (asset, quote).
 
-    Exactly one token is the same as smallest = largest, so the aggregation needs no distinct and combines map-side.
+    Every transfer is an entry in two accounts. A party's account has a line for each token with what came in and what
+    went out; a swap is an account of two lines, one of an asset and one of a quote, one only in and one only out. The
+    entries are dealt by account once, which serves both aggregations.
     """
-    leg = F.explode(F.array(
-        F.struct(F.lit(1).alias("gets"), F.col("to_address").alias("party")),
-        F.struct(F.lit(0).alias("gets"), F.col("from_address").alias("party")),
-    )).alias("leg")
-    legs = transfers.select("block_number", "transaction_index", "ts", "address", "amount_raw", leg).select(
-        "block_number", "transaction_index", "ts", "amount_raw", "leg.*",
-        F.when(F.col("leg.gets") == 1, F.col("address")).alias("t_in"),
-        F.when(F.col("leg.gets") == 0, F.col("address")).alias("t_out"),
-    )
-    per_party = legs.groupBy("block_number", "transaction_index", "party").agg(
-        F.min("ts").alias("ts"),
-        F.min("t_in").alias("token_in"), F.max("t_in").alias("_in2"),
-        F.min("t_out").alias("token_out"), F.max("t_out").alias("_out2"),
-        F.sum(F.when(F.col("gets") == 1, F.col("amount_raw")).otherwise(0.0)).alias("raw_in"),
-        F.sum(F.when(F.col("gets") == 0, F.col("amount_raw")).otherwise(0.0)).alias("raw_out"),
-    ).filter("token_in = _in2 and token_out = _out2 and token_in <> token_out and raw_in > 0 and raw_out > 0")
-
-    def side(tag: str) -> DataFrame:
-        return tokens.select(F.col("address").alias(f"token_{tag}"),
-                             F.struct("symbol", "role", "decimals", "peg").alias(tag))
-
-    swaps = per_party.join(side("in"), "token_in").join(side("out"), "token_out").filter("in.role <> out.role")
-    buys = F.col("in.role") == "asset"
-    amount_in = F.col("raw_in") / F.pow(F.lit(10.0), F.col("in.decimals"))
-    amount_out = F.col("raw_out") / F.pow(F.lit(10.0), F.col("out.decimals"))
-    asset, quote = F.when(buys, F.col("in")).otherwise(F.col("out")), F.when(buys, F.col("out")).otherwise(F.col("in"))
+    account = ["block_number", "transaction_index", "party"]
+    came = F.struct(F.col("to_address").alias("party"), F.col("amount_raw").alias("came"), F.lit(None).cast("double").alias("went"))
+    went = F.struct(F.col("from_address").alias("party"), F.lit(None).cast("double").alias("came"), F.col("amount_raw").alias("went"))
+    entries = transfers.select("block_number", "transaction_index", "ts", "address", F.explode(F.array(came, went)).alias("e")).select(
+        "block_number", "transaction_index", "ts", "address", "e.*")
+    lines = entries.repartition(*account).groupBy(*account, "address").agg(
+        F.min("ts").alias("ts"), F.sum("came").alias("came"), F.sum("went").alias("went"))
+    unit = F.pow(F.lit(10.0), F.col("decimals"))
+    lines = lines.join(tokens.select("address", "symbol", "role", "decimals", "peg"), "address").withColumn("amount", F.coalesce("came", "went") / unit)
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    swaps = lines.groupBy(*account).agg(
+        F.min("ts").alias("ts"), F.count("*").alias("_lines"), F.count("came").alias("_in"), F.count("went").alias("_out"),
+        F.count(F.when(F.coalesce("came", "went") > 0, 1)).alias("_some"), (F.min("role") != F.max("role")).alias("_roles"),
+        of("asset", "symbol").alias("symbol"), of("asset", "peg").alias("peg"), of("quote", "symbol").alias("quote"), of("quote", "peg").alias("quote_peg"),
+        of("asset", "amount").alias("asset_amount"), of("quote", "amount").alias("quote_amount"),
+    ).filter("_lines = 2 and _in = 1 and _out = 1 and _some = 2 and _roles")
     floor = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))])
-    return swaps.select(
-        "block_number", "transaction_index", "ts", "party",
-        asset["symbol"].alias("symbol"), asset["peg"].alias("peg"), quote["symbol"].alias("quote"),
-        quote["peg"].alias("quote_peg"),
-        F.when(buys, amount_in).otherwise(amount_out).alias("asset_amount"),
-        F.when(buys, amount_out).otherwise(amount_in).alias("quote_amount"),
-    ).filter((F.col("peg") == F.col("quote_peg")) & (F.col("quote_amount") >= F.try_element_at(floor, F.col("quote_peg"))))
+    return swaps.filter((F.col("peg") == F.col("quote_peg")) & (F.col("quote_amount") >= F.try_element_at(floor, F.col("quote_peg")))).select(
+        "block_number", "transaction_index", "ts", "party", "symbol", "peg", "quote", "quote_peg", "asset_amount", "quote_amount")
 
 
 def dedupe_trades(swaps: DataFrame) -> DataFrame:

@@ -329,35 +329,37 @@ FROM (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT
 UNION ALL SELECT * FROM (VALUES ('usd', 'USD', 'quote', 2, 'USD', false), ('eur', 'EUR', 'quote', 2, 'USD', false))
 """)
 
-block("swaps", """
-WITH legs AS (
-  SELECT block_number, transaction_index, ts, address, TRY_CAST(quantity AS DOUBLE) AS amount, dir,
-         CASE dir WHEN 'in' THEN to_address ELSE from_address END AS party
-  FROM transfers, (VALUES ('in'), ('out')) d(dir)
-  WHERE TRY_CAST(quantity AS DOUBLE) IS NOT NULL AND address IN (SELECT address FROM tokens)
-    AND from_address <> '0x' || repeat('0', 40) AND to_address <> '0x' || repeat('0', 40)
-), per_party AS (
-  SELECT block_number, transaction_index, party, min(ts) AS ts,
-         count(DISTINCT CASE WHEN dir = 'in' THEN address END) AS n_in, count(DISTINCT CASE WHEN dir = 'out' THEN address END) AS n_out,
-         max(CASE WHEN dir = 'in' THEN address END) AS token_in, max(CASE WHEN dir = 'out' THEN address END) AS token_out,
-         sum(CASE WHEN dir = 'in' THEN amount ELSE 0 END) AS raw_in, sum(CASE WHEN dir = 'out' THEN amount ELSE 0 END) AS raw_out
-  FROM legs GROUP BY ALL
-)
-SELECT block_number, transaction_index, ts, party,
-       CASE WHEN i.role = 'asset' THEN i.symbol ELSE o.symbol END AS symbol, CASE WHEN i.role = 'asset' THEN i.peg ELSE o.peg END AS peg,
-       CASE WHEN i.role = 'asset' THEN o.symbol ELSE i.symbol END AS quote, CASE WHEN i.role = 'asset' THEN o.peg ELSE i.peg END AS quote_peg,
-       CASE WHEN i.role = 'asset' THEN raw_in / pow(10, i.decimals) ELSE raw_out / pow(10, o.decimals) END AS asset_amount,
-       CASE WHEN i.role = 'asset' THEN raw_out / pow(10, o.decimals) ELSE raw_in / pow(10, i.decimals) END AS quote_amount
-FROM per_party JOIN tokens i ON i.address = token_in JOIN tokens o ON o.address = token_out
-WHERE n_in = 1 AND n_out = 1 AND token_in <> token_out AND raw_in > 0 AND raw_out > 0 AND i.role <> o.role
+block("moves", """
+SELECT block_number, transaction_index, ts, address, from_address, to_address, TRY_CAST(quantity AS DOUBLE) AS amount
+FROM transfers SEMI JOIN tokens USING (address)
+WHERE TRY_CAST(quantity AS DOUBLE) IS NOT NULL AND repeat('0', 40) NOT IN (substr(from_address, 3), substr(to_address, 3))
 """, ["transfers", "tokens"])
 
-block("matched", "SELECT * FROM swaps WHERE peg = quote_peg AND quote_amount >= CASE quote_peg WHEN 'USD' THEN 1 ELSE 0.0005 END", ["swaps"])
+# what a party got and paid in a transaction, where that is one token each
+for _side, _party in (("got", "to_address"), ("paid", "from_address")):
+    block(f"only_{_side}", f"""
+SELECT block_number, transaction_index, {_party} AS party, any_value(address) AS address, sum(amount) AS amount, min(ts) AS ts
+FROM moves GROUP BY block_number, transaction_index, {_party} HAVING min(address) = max(address)
+""", ["moves"])
+
+block("swaps", """
+SELECT block_number, transaction_index, least(g.ts, p.ts) AS ts, party, a.symbol, a.peg, q.symbol AS quote, q.peg AS quote_peg,
+       CASE a.address WHEN g.address THEN g.amount ELSE p.amount END / pow(10, a.decimals) AS asset_amount,
+       CASE q.address WHEN g.address THEN g.amount ELSE p.amount END / pow(10, q.decimals) AS quote_amount
+FROM only_got g JOIN only_paid p USING (block_number, transaction_index, party)
+JOIN tokens a ON a.role = 'asset' AND a.address IN (g.address, p.address)
+JOIN tokens q ON q.role = 'quote' AND q.address IN (g.address, p.address)
+WHERE least(g.amount, p.amount) > 0
+""", ["only_got", "only_paid", "tokens"])
+
+block("matched", """
+SELECT s.* FROM swaps s JOIN (VALUES ('USD', 1.0), ('ETH', 0.0005)) f(unit, least_amount) ON unit = peg AND unit = quote_peg AND quote_amount >= least_amount
+""", ["swaps"])
 
 block("trades", """
-SELECT block_number, transaction_index, symbol, peg, quote, min(ts) AS ts, max(asset_amount) AS asset_amount,
-       max(quote_amount) AS quote_amount, count(DISTINCT party) AS n_parties
-FROM matched GROUP BY ALL
+SELECT block_number, transaction_index, symbol, peg, quote, count(DISTINCT party) AS n_parties, max(quote_amount) AS quote_amount,
+       max(asset_amount) AS asset_amount, min(ts) AS ts
+FROM matched GROUP BY block_number, transaction_index, symbol, peg, quote
 """, ["matched"])
 
 block("hourly", """
