@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pegwatch.functions.ranks import dense_index
+from pegwatch.functions.ranks import by_range, dense_index
 from pegwatch.functions.scalars import hash_uniform, hour_keys
 from pegwatch.operators.metrics import ap_from_counts
 from pegwatch.operators.tables import candidates
@@ -45,13 +47,84 @@ def bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int, seed:
     return point.join(out, list(by)) if by else point.withColumn("_i", out.select(F.struct("*").alias("_i")).scalar()).select("mean", "_i.*")
 
 
-def bootstrap_ap(rows: DataFrame, cluster: str, draws: int, seed: int = 0, by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
-    """Average precision of every draw: rows are counted per (group, cluster, score) once, then weighted."""
-    counts = rows.groupBy(*by, cluster, F.col(score).alias("_s")).agg(F.count("*").alias("_c"), F.sum(y).alias("_p"))
-    w = draw_weights(rows, cluster, draws, seed)
-    weighted = counts.join(w, cluster).groupBy(*by, "draw", "_s").agg(
-        F.sum(F.col("weight") * F.col("_c")).cast("double").alias("_n"), F.sum(F.col("weight") * F.col("_p")).cast("double").alias("_tp"))
-    return ap_from_counts(weighted, [*by, "draw"]).select(*by, "draw", "ap")
+def weight_matrix(rows: DataFrame, cluster: str, draws: int, seed: int, most: int) -> tuple[list, np.ndarray] | None:
+    """The clusters and their weights (clusters by draws), or None if that is more than ``most`` cells."""
+    ids = rows.select(cluster).distinct()
+    if ids.count() * draws > most:
+        return None
+    w = draw_weights(rows, cluster, draws, seed).groupBy(cluster).agg(F.collect_list("draw").alias("d"), F.collect_list("weight").alias("w")).collect()
+    names = sorted(r[0] for r in ids.collect())
+    place = {c: i for i, c in enumerate(names)}
+    out = np.zeros((len(names), draws))
+    for r in w:
+        out[place[r[0]], r["d"]] = r["w"]
+    return names, out
+
+
+def bootstrap_ap(rows: DataFrame, cluster: str, draws: int, seed: int = 0, by: Sequence[str] = (), y: str = "y", score: str = "score",
+                 most: int = 20_000_000) -> DataFrame:
+    """Average precision of every draw: rows are counted per (group, cluster, score) once and dealt by ranges of the score.
+
+    A range keeps one running sum per draw, so rows are never copied for the draws; only the totals of the ranges, one
+    array each, leave a task. Beyond ``most`` weights the counts are joined with the draws instead.
+    """
+    counts = rows.groupBy(*by, cluster, F.col(score).cast("double").alias("_s")).agg(F.count("*").cast("double").alias("_c"), F.sum(y).cast("double").alias("_p"))
+    found = weight_matrix(rows, cluster, draws, seed, most)
+    if found is None:
+        weighted = counts.join(draw_weights(rows, cluster, draws, seed), cluster).groupBy(*by, "draw", "_s").agg(
+            F.sum(F.col("weight") * F.col("_c")).alias("_n"), F.sum(F.col("weight") * F.col("_p")).alias("_tp"))
+        return ap_from_counts(weighted, [*by, "draw"]).select(*by, "draw", "ap")
+    names, matrix = found
+    shared = rows.sparkSession.sparkContext.broadcast(({c: i for i, c in enumerate(names)}, matrix))
+    by = list(by)
+    ranges = by_range(counts, ["_s", *by])
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranges.select(*by).schema.fields) + (", " if by else "")
+    arrays = "n array<double>, p array<double>"
+
+    def weights(part):
+        place, w = shared.value
+        return w[[place[c] for c in part[cluster]]]
+
+    def total(part):
+        w = weights(part)
+        return part[[*by, "_bucket"]].head(1).assign(n=[part["_c"].to_numpy() @ w], p=[part["_p"].to_numpy() @ w])
+
+    def above(part):
+        """What the ranges of greater scores hold, and the positives of all of them."""
+        part = part.sort_values("_bucket", ascending=False)
+        n, p = np.stack(part["n"]), np.stack(part["p"])
+        return part[[*by, "_bucket"]].assign(n=list(np.cumsum(n, 0) - n), p=list(np.cumsum(p, 0) - p), all=[p.sum(0)] * len(part))
+
+    def gain(part, before):
+        """The range's share of the average precision of every draw."""
+        part = part.sort_values("_s", ascending=False)
+        n, p, every = (np.array(before[c].iloc[0]) for c in ("n", "p", "all"))
+        starts = np.flatnonzero(np.r_[True, np.diff(part["_s"].to_numpy()) != 0])
+        area = np.zeros(len(n))
+        for at in np.array_split(starts, max(1, len(part) // 2048)):  # whole scores at a time, so memory is bounded
+            if not len(at):
+                continue
+            end = starts[np.searchsorted(starts, at[-1]) + 1] if at[-1] != starts[-1] else len(part)
+            some = part.iloc[at[0]:end]
+            w = weights(some)
+            cn = n + np.cumsum(np.add.reduceat(some["_c"].to_numpy()[:, None] * w, at - at[0], 0), 0)
+            tp = np.add.reduceat(some["_p"].to_numpy()[:, None] * w, at - at[0], 0)
+            cp = p + np.cumsum(tp, 0)
+            area += (tp * cp / np.maximum(cn, 1e-300)).sum(0)
+            n, p = cn[-1], cp[-1]
+        return part[by].head(1).assign(n=[n], p=[every], area=[area])
+
+    keys = [*by, "_bucket"]
+    offsets = ranges.groupBy(*keys).applyInPandas(total, f"{key}_bucket int, {arrays}").groupBy(*by).applyInPandas(above, f"{key}_bucket int, {arrays}, all array<double>")
+    parts = ranges.groupBy(*keys).cogroup(offsets.groupBy(*keys)).applyInPandas(gain, f"{key}{arrays}, area array<double>")
+
+    def finish(part):
+        n, p, area = np.stack(part["n"]).max(0), part["p"].iloc[0], np.stack(part["area"]).sum(0)
+        drawn = np.flatnonzero(n > 0)
+        ap = [float(area[d] / p[d]) if p[d] > 0 else None for d in drawn]
+        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(drawn) for c in by}, "draw": drawn, "ap": ap})
+
+    return parts.groupBy(*by).applyInPandas(finish, f"{key}draw int, ap double")
 
 
 def paired_ap(a: DataFrame, b: DataFrame, draws: int, seed: int = 0) -> DataFrame:

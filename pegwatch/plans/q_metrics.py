@@ -411,7 +411,7 @@ block("seed_w", weights_sql("seed_ids"), ["seed_ids"])
 block("rank_ids", "SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT cluster AS key FROM rank)", ["rank"])
 block("rank_w", weights_sql("rank_ids"), ["rank_ids"])
 block("asset_ids", "SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT symbol AS key FROM test)", ["test"])
-block("asset_w", weights_sql("asset_ids", 20), ["asset_ids"])
+block("asset_w", weights_sql("asset_ids"), ["asset_ids"])
 
 
 @query("j8_draw_weights", "SELECT draw, key AS cluster, weight FROM seed_w", ["seed_w"])
@@ -433,7 +433,7 @@ block("boot_ap", ap_sql("(SELECT model, draw, score, y, weight FROM test JOIN as
 
 @query("j8_bootstrap_ap", "SELECT model, draw, round(ap, 6) AS ap FROM boot_ap", ["boot_ap"])
 def j8a(spark, sf):
-    return rounded(R.bootstrap_ap(test_rows(spark, sf), "symbol", 20, by=["model"]), ["model", "draw", "ap"])
+    return rounded(R.bootstrap_ap(test_rows(spark, sf), "symbol", DRAWS, by=["model"]), ["model", "draw", "ap"])
 
 
 @query("c18_paired_rows", "SELECT count(*) AS matched, 0 AS only_a, 0 AS only_b, 0 AS repeated FROM test WHERE model = 'rule'", ["test"])
@@ -450,7 +450,7 @@ SELECT rows, positives, round(a, 6) AS ap_a, round(b, 6) AS ap_b, round(a - b, 6
    SELECT draw, max(ap) FILTER (model = 'level') - max(ap) FILTER (model = 'rule') AS d FROM boot_ap GROUP BY draw) WHERE d IS NOT NULL)""", ["ap", "boot_ap"])
 def j8p(spark, sf):
     t = test_rows(spark, sf)
-    out = R.paired_ap(t.filter("model = 'level'"), t.filter("model = 'rule'"), 20)
+    out = R.paired_ap(t.filter("model = 'level'"), t.filter("model = 'rule'"), DRAWS)
     return rounded(out, ["rows", "positives", "ap_a", "ap_b", "diff", "low", "high", "share_above_0", "draws"])
 
 

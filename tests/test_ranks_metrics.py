@@ -161,3 +161,12 @@ def test_exponential_variance_of_a_long_series(spark):
         want.append(v)
     got = [r.variance for r in L.ewma(df, 100).orderBy("ts").select("variance").collect()]
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_bootstrap_by_arrays_equals_the_joined_draws(spark):
+    rng = random.Random(4)
+    rows = [(f"c{rng.randrange(12)}", rng.choice("ab"), int(rng.random() < 0.2), round(rng.random(), 1)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "c string, m string, y int, score double")
+    both = [{(r.m, r.draw): r.ap for r in R.bootstrap_ap(df, "c", 40, by=["m"], most=most).collect()} for most in (10**6, 0)]
+    assert both[0].keys() == both[1].keys()
+    assert list(both[0].values()) == pytest.approx([both[1][k] for k in both[0]])
