@@ -372,7 +372,17 @@ def j6(spark, sf):
     return rounded(ranking.build(spark, sf), ["model", "seed_id", "cluster", "candidates", "followers", *RANK])
 
 
-@query("f3_top_k_jitter")
+# the table of the reflected CRC-32 polynomial, and the sum of a text without other than ASCII characters
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(txt, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INT) + 1])), 4294967295)"
+
+
+@query("f3_top_k_jitter", f"""
+SELECT model, seed_id, cand, CAST(row_number() OVER w AS INTEGER) AS rank FROM (
+  SELECT model, seed_id, cand, raw + {CRC} / 4294967296 * 1e-9 AS score FROM (
+    SELECT unnest(['follow', 'codepeg']) AS model, unnest([round(follow_rate, 9), round(codepeg_share, 9)]) AS raw, seed_id, cand, seed_id || '|' || cand AS txt FROM spairs),
+    (SELECT {CRC_TABLE} AS t))
+WINDOW w AS (PARTITION BY model, seed_id ORDER BY score DESC, cand) QUALIFY rank <= 5""", ["spairs"])
 def f3(spark, sf):
     from pyspark.sql import Window
     rank = F.row_number().over(Window.partitionBy("model", "seed_id").orderBy(F.desc("score"), "cand"))

@@ -37,7 +37,17 @@ def b22(spark, sf):
     return rounded(te, ["symbol", "ts", "x_z_std_24h", "na_z_std_24h"])
 
 
-@query("b23_drop_collinear")
+def sieve_sql(cols: dict[str, str], source: str, limit: float = 0.995) -> str:
+    """Keeps a varying column unless an earlier kept one is almost collinear with it: one flag after another."""
+    names = list(cols)
+    moments = ", ".join([f"coalesce(stddev_samp({c}), 0) AS s_{c}" for c in names] + [f"coalesce(abs(corr({a}, {b})), 0) AS c_{a}_{b}" for i, b in enumerate(names) for a in names[:i]])
+    flags = ", ".join(f"s_{b} > 1e-9" + "".join(f" AND NOT (k_{a} AND c_{a}_{b} >= {limit})" for a in names[:i]) + f" AS k_{b}" for i, b in enumerate(names))
+    shown = ", ".join(f"CASE WHEN k_{c} THEN '{c}' END" for c in names)
+    return f"""SELECT feature FROM (SELECT unnest([{shown}]) AS feature FROM (SELECT {flags} FROM (SELECT {moments} FROM (
+  SELECT {', '.join(f'{x} AS {c}' for c, x in cols.items())} FROM {source})))) WHERE feature IS NOT NULL"""
+
+
+@query("b23_drop_collinear", sieve_sql({**{c: f"coalesce(CAST({c} AS DOUBLE), 0)" for c in P}, "copy": "coalesce(z_now, 0) * 2", "constant": "1.0"}, "onset WHERE split = 'train'"), ["onset"])
 def b23(spark, sf):
     d = T.onset(spark, sf).filter("split = 'train'").fillna(0.0).withColumn("copy", F.col("z_now") * 2).withColumn("constant", F.lit(1.0))
     kept = L.drop_collinear(d, [*P, "copy", "constant"])
@@ -90,9 +100,9 @@ def i7(spark, sf):
 @query("i10_permutation")
 def i10(spark, sf):
     d = T.onset(spark, sf).filter("y24 is not null")
-    (tr, va), names = L.prepare(d.filter("split = 'train'"), [d.filter("split = 'valid'")], P[:3])
+    (tr, va), names = L.prepare(d.filter("split = 'train'"), [d.filter("split = 'valid'")], P)
     score = L.logistic(tr, names, "y24")
-    return rounded(L.permutation(score, va, names, "y24", ["symbol", "ts"], repeats=1), ["feature", "ap_drop", "std"])
+    return rounded(L.permutation(score, va, names, "y24", ["symbol", "ts"], repeats=3), ["feature", "ap_drop", "std"])
 
 
 @query("i11_robust_errors")
