@@ -273,37 +273,37 @@ def token_node(symbol) -> Column:
     return F.concat(F.lit("tok:"), S.col(symbol))
 
 
+def _sides(rows: DataFrame, *sides: tuple[Column, dict[str, Column]]) -> DataFrame:
+    """Every edge that a row stands for, in one pass: a side is its condition and its columns."""
+    made = [F.when(when, F.struct(*[cols.get(c, F.lit(None)).alias(c) for c in EDGE_COLUMNS])) for when, cols in sides]
+    return rows.select(F.explode(F.array_compact(F.array(*made))).alias("e")).select("e.*")
+
+
 def edges(mm: DataFrame, va: DataFrame, aa: DataFrame, markets: DataFrame, vaults: DataFrame) -> DataFrame:
-    """The seven edge types of every snapshot in one table."""
-    m = mm.join(markets.select("market_id", F.col("node").alias("m_node")), "market_id")
-    base = ["t", "lltv", "oracle_class", "flag"]
-    usable = F.coalesce(F.col("collateral"), F.lit("")) != ""
-    parts = [
-        m.filter(usable).select(*base, token_node("collateral").alias("src"), F.col("m_node").alias("dst"),
-                                F.lit("collateral").alias("etype"), F.col("collateralAssetsUsd").alias("usd"),
-                                F.col("collateralAssets").alias("tokens")),
-        m.select(*base, token_node("loan").alias("src"), F.col("m_node").alias("dst"), F.lit("supply").alias("etype"),
-                 F.col("supplyAssetsUsd").alias("usd")),
-        m.select(*base, F.col("m_node").alias("src"), token_node("loan").alias("dst"), F.lit("borrow").alias("etype"),
-                 F.col("borrowAssetsUsd").alias("usd")),
-    ]
-    v = va.join(vaults.select("vault", F.col("node").alias("v_node"), "asset"), "vault")
-    parts.append(v.filter("market_id <> ''").join(markets.select("market_id", F.col("node").alias("m_node")), "market_id").select(
-        "t", F.col("v_node").alias("src"), F.col("m_node").alias("dst"), F.lit("allocation").alias("etype"),
-        F.col("value").alias("usd"), "flag"))
-    parts.append(v.filter("market_id = ''").select(
-        "t", token_node("asset").alias("src"), F.col("v_node").alias("dst"), F.lit("vault_asset").alias("etype"),
-        F.col("value").alias("usd")))
-    pool = F.concat(F.lit("pool:"), "pool")
-    parts.append(aa.select("t", token_node("asset").alias("src"), pool.alias("dst"), F.lit("pool_supply").alias("etype"),
-                           F.col("supply_usd").alias("usd"), F.col("supply").alias("tokens"), "ltv", "liq_threshold", "emode_ltv",
-                           F.col("frozen_any").alias("frozen")))
-    parts.append(aa.select("t", pool.alias("src"), token_node("asset").alias("dst"), F.lit("pool_borrow").alias("etype"),
-                           F.col("debt_usd").alias("usd"), F.col("frozen_any").alias("frozen")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*EDGE_COLUMNS)
+    """The seven edge types of every snapshot in one table; each snapshot table is read once."""
+    c, always = F.col, F.lit(True)
+    node = markets.select("market_id", c("node").alias("m_node"))
+    own = {k: c(k) for k in ("t", "lltv", "oracle_class", "flag")}
+    market = _sides(
+        mm.join(node, "market_id"),
+        (F.coalesce("collateral", F.lit("")) != "", own | {"etype": F.lit("collateral"), "src": token_node("collateral"), "dst": c("m_node"),
+                                                           "usd": c("collateralAssetsUsd"), "tokens": c("collateralAssets")}),
+        (always, own | {"etype": F.lit("supply"), "src": token_node("loan"), "dst": c("m_node"), "usd": c("supplyAssetsUsd")}),
+        (always, own | {"etype": F.lit("borrow"), "src": c("m_node"), "dst": token_node("loan"), "usd": c("borrowAssetsUsd")}))
+    placed = va.join(vaults.select("vault", c("node").alias("v_node"), "asset"), "vault").join(node, "market_id", "left")
+    value = {"t": c("t"), "usd": c("value")}
+    vault = _sides(
+        placed,
+        ((c("market_id") != "") & c("m_node").isNotNull(), value | {"etype": F.lit("allocation"), "src": c("v_node"), "dst": c("m_node"), "flag": c("flag")}),
+        (c("market_id") == "", value | {"etype": F.lit("vault_asset"), "src": token_node("asset"), "dst": c("v_node")}))
+    at, token = F.concat(F.lit("pool:"), "pool"), token_node("asset")
+    held = {"t": c("t"), "frozen": c("frozen_any")}
+    pool = _sides(
+        aa,
+        (always, held | {"etype": F.lit("pool_supply"), "src": token, "dst": at, "usd": c("supply_usd"), "tokens": c("supply"),
+                         **{k: c(k) for k in ("ltv", "liq_threshold", "emode_ltv")}}),
+        (always, held | {"etype": F.lit("pool_borrow"), "src": at, "dst": token, "usd": c("debt_usd")}))
+    return market.unionByName(vault).unionByName(pool)
 
 
 def nodes(registry: DataFrame, markets: DataFrame, vaults: DataFrame, pools: DataFrame) -> DataFrame:
