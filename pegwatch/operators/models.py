@@ -7,6 +7,7 @@ coefficients, k by k matrices.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -23,7 +24,7 @@ from pegwatch.functions.scalars import clip, hash_uniform
 from pegwatch.operators.metrics import average_precision
 from pegwatch.operators.series import ffill, ordered
 from pegwatch.rules import DAY
-from pegwatch.session import cut
+from pegwatch.session import cut, shared_folder
 
 
 # ------------------------------------------------------------------------------------------------ preparation
@@ -161,20 +162,25 @@ def fit_or_mean(train: DataFrame, test: DataFrame, cols: Sequence[str], y: str,
     return logistic(tr, live, y, C)(te).drop(*names)
 
 
-def leave_one_out(df: DataFrame, group: str, cols: Sequence[str], y: str, threads: int = 4) -> DataFrame:
-    """Scores every fold from a model of the other folds. There is one fit per fold value; fits share the cluster."""
-    df = cut(df, "folds")
-    folds = sorted(r[0] for r in df.select(group).distinct().collect())
+def _by_fold(rows: DataFrame, group: str, fold: Callable[[DataFrame, str], DataFrame], threads: int = 4) -> DataFrame:
+    """``fold(rows, value)`` of every value of the group, each written to a folder of its own and all read as one table:
+    the plan that follows doesn't grow with the number of folds. Fits share the cluster."""
+    spark = rows.sparkSession
+    rows = cut(rows, "folds")
+    folder = f"{shared_folder(spark)}/fold-results-{uuid.uuid4().hex}"
+    values = sorted(r[0] for r in rows.select(group).distinct().collect())
 
-    def one(value):
-        return fit_or_mean(df.filter(F.col(group) != value), df.filter(F.col(group) == value), cols, y)
+    def run(k: int) -> None:
+        fold(rows, values[k]).write.parquet(f"{folder}/fold={k}")
 
     with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(one, folds))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        list(pool.map(run, range(len(values))))
+    return spark.read.parquet(folder).drop("fold")
+
+
+def leave_one_out(df: DataFrame, group: str, cols: Sequence[str], y: str, threads: int = 4) -> DataFrame:
+    """Scores every fold from a model of the other folds."""
+    return _by_fold(df, group, lambda rows, v: fit_or_mean(rows.filter(F.col(group) != v), rows.filter(F.col(group) == v), cols, y), threads)
 
 
 def permutation(score: Callable[[DataFrame], DataFrame], rows: DataFrame, cols: Sequence[str], y: str, key: Sequence[str],
@@ -267,11 +273,7 @@ def robust_cov(rows: DataFrame, cols: Sequence[str], y: str, cluster: str, block
 
 def drop_one(rows: DataFrame, cols: Sequence[str], y: str, group: str, block: Sequence[str] = ()) -> DataFrame:
     """The inference once without each group: range of the odds ratios."""
-    rows = cut(rows, "folds")
-    out = None
-    for value in sorted(r[0] for r in rows.select(group).distinct().collect()):
-        part = robust_cov(rows.filter(F.col(group) != value), cols, y, group, block).withColumn("without", F.lit(value))
-        out = part if out is None else out.unionByName(part)
+    out = _by_fold(rows, group, lambda every, v: robust_cov(every.filter(F.col(group) != v), cols, y, group, block))
     return out.groupBy("feature").agg(F.min("odds_ratio").alias("or_min"), F.max("odds_ratio").alias("or_max"), F.max("p").alias("p_max"), F.count("*").alias("fits"))
 
 

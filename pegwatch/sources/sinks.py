@@ -31,9 +31,11 @@ def floored_edges(edges: DataFrame, min_usd: float) -> DataFrame:
 
 
 def write_edges(edges: DataFrame, path: str, min_usd: float) -> None:
-    """Kept edges, one partition per day, each day spread over as many tasks as it has edge types."""
-    day = F.to_date(F.timestamp_seconds("t"))
-    floored_edges(edges, min_usd).withColumn("day", day).repartition("day", "etype").write.mode("overwrite").option(
+    """Kept edges, one partition per day. They are dealt by ranges of (day, type, ends), so a day or a type with most
+    of the edges is written by many tasks, and a day's files stay few."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated = floored_edges(edges, min_usd).withColumn("day", F.to_date(F.timestamp_seconds("t")))
+    dated.repartitionByRange(parts, "day", "etype", "src", "dst").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 

@@ -109,3 +109,14 @@ def test_scans_and_upsert(spark, tmp_path):
     assert {(r.symbol, r.price, r.confidence) for r in back.collect()} == {("a", None, None), ("b", 1.0, None)}
     old, new = spark.createDataFrame([("m", 1), ("k", 2)], "key string, v int"), spark.createDataFrame([("m", 9)], "key string, v int")
     assert {(r.key, r.v) for r in sinks.upsert(old, new, ["key"]).collect()} == {("m", 9), ("k", 2)}
+
+
+def test_edges_are_written_by_day_above_the_floor(spark, tmp_path):
+    from pegwatch.sources.sinks import write_edges
+
+    day = 86400
+    rows = [(d * day + 5, f"s{i}", "m", "supply", float(i), None) for d in range(2) for i in range(5)] + [(9, "s", "m", "borrow", None, 3.0), (9, "s", "m", "borrow", None, 0.0)]
+    df = spark.createDataFrame(rows, "t bigint, src string, dst string, etype string, usd double, tokens double")
+    write_edges(df, f"{tmp_path}/edges", 2.0)
+    back = spark.read.parquet(f"{tmp_path}/edges")
+    assert {(str(r.day), r.src, r.usd) for r in back.collect()} == {(f"1970-01-0{d + 1}", f"s{i}", float(i)) for d in range(2) for i in (2, 3, 4)} | {("1970-01-01", "s", None)}
