@@ -12,7 +12,9 @@ No bucket ever gives all its pairs:
   nothing);
 - every class of a bucket is paired with the bucket's smallest class only; verified links make components;
 - buckets whose classes still lie in different components are looked at again, in blocks of ``BLOCK`` classes of like
-  size: only pairs of different components that the registers find plausible are emitted and verified. So no bucket is
+  size: first the likeliest pair of every two components is verified, which joins nearly all that belong together; then
+  every pair of still different components that the registers find plausible. Pairs stay inside a block: its plan lists
+  them as positions, and each text comes to the block once. So no bucket is
   capped, and a link is lost only if a pair shares no band at all (below 2e-6 at the threshold).
 
 Verification goes by pivot: one class's set meets the texts of its candidates, salted so that a pivot with thousands of
@@ -39,8 +41,9 @@ from pegwatch.session import cut
 WORDS, BANDS, ROWS = 5, 50, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.08, 20.0
-MARGIN = 0.16  # five standard errors of the estimate at the threshold
-BLOCK, PER_PIVOT_TASK = 256, 512
+MARGIN = 0.13  # nearly five standard errors of the estimate at the threshold
+BLOCK, BLOCK_HASHES, PER_PIVOT_TASK = 1024, 8_000_000, 512  # a block has no more classes, nor (from 64 classes on) hashes
+BLOCKS = "bucket long, step int, i int, j int, cids array<bigint>, left array<int>, right array<int>"
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -93,12 +96,15 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def _plausible(x, y, nx, ny, percent: int) -> np.ndarray:
+def _likeness(x, y, nx, ny, percent: int) -> np.ndarray:
+    """The estimate of each pair that could reach the threshold by its sizes and registers, -1 for the others."""
     small, large = np.minimum(nx, ny), np.maximum(nx, ny)
-    ok = 100 * small >= percent * large
-    if ok.any():
-        ok[ok] = estimate(x[ok], y[ok], nx[ok].astype(float), ny[ok].astype(float)) >= percent / 100 - MARGIN
-    return ok
+    out = np.full(len(nx), -1.0)
+    ok = np.flatnonzero(100 * small >= percent * large)
+    if len(ok):
+        est = estimate(x[ok], y[ok], nx[ok].astype(float), ny[ok].astype(float))
+        out[ok] = np.where(est >= percent / 100 - MARGIN, est, -1)
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,9 +129,9 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """A row for each class and band: bucket key and class."""
+    """A row for each class and band: band, bucket key and class."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * ROWS + 1, F.lit(ROWS))))
-    return classes.select("cid", F.explode(keys).alias("bucket"))
+    return classes.select("cid", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +141,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok = _plausible(_matrix(batch.column("ra")), _matrix(batch.column("rb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+                ok = _likeness(_matrix(batch.column("ra")), _matrix(batch.column("rb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent) >= 0
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
@@ -174,61 +180,127 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
     return met.mapInArrow(run, "a long, b long")
 
 
-def _between(crowded: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components within a bucket, found in blocks of classes of like size."""
+def _between(crowded: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Plausible pairs of different components within a bucket, found in blocks of classes of like size: all of them, or
+    only the likeliest of every two components in a block. One row for each block that has any: its classes and the
+    pairs as positions among them."""
     spark = crowded.sparkSession
     named = crowded.join(labels.select(F.col("node").alias("cid"), "family"), "cid", "left").withColumn("family", F.coalesce("family", "cid"))
     open_ = named.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("bucket")
     step = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")  # sizes that can link lie in the same or the next step
     rows = (
         named.join(open_, "bucket").join(classes.select("cid", "n", "regs"), "cid")
-        .withColumn("step", F.explode(F.array(step, step + 1)))
+        .withColumn("own", step).withColumn("step", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     )
-    crowd = rows.groupBy("bucket", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("family").alias("lo"), F.max("family").alias("hi"))
+    room = F.greatest(F.lit(64.0), F.least(F.lit(float(BLOCK)), BLOCK_HASHES / F.pow(F.lit(100 / percent), F.col("step"))))
+    crowd = rows.groupBy("bucket", "step").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks"), F.min("family").alias("lo"), F.max("family").alias("hi"))
     rows = rows.join(crowd.where("lo < hi").drop("lo", "hi"), ["bucket", "step"])
     mine = F.pmod(F.xxhash64("cid"), "blocks").cast("int")
-    rows = rows.select("bucket", "step", "cid", "family", "n", "regs", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", "step", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "family", "n", "regs")
+    rows = rows.select("bucket", "step", "band", "own", "cid", "family", "n", "regs", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("bucket", "step", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "family", "n", "own", "band", "regs")
     keys = ["bucket", "step", "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def pairs(key, group) -> tuple[list, list]:
-        mine, cid, family, n = (np.array([g[k] for g in group], np.int64) for k in range(4))
+        """Pairs are emitted in the first band and the larger size step that they share, so once."""
+        mine, cid, family, n, own = (np.array([g[k] for g in group], np.int64) for k in range(5))
         if (family == family[0]).all():
             return [], []
-        regs = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), REGISTERS)
-        a, b = [], []
+        band = group[0][5]
+        regs = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), REGISTERS)
+        a, b, top = [], [], {}
         for x in range(len(group)):
-            y = np.flatnonzero((family != family[x]) & (cid > cid[x]) & ((mine != mine[x]) | (key[2] == key[3])))
-            if len(y):
-                y = y[_plausible(np.repeat(regs[x:x + 1], len(y), 0), regs[y], np.repeat(n[x:x + 1], len(y)), n[y], percent)]
+            y = np.flatnonzero((family != family[x]) & (cid > cid[x]) & ((mine != mine[x]) | (key[2] == key[3])) & (np.maximum(own, own[x]) == key[1]))
+            if not len(y):
+                continue
+            equal = regs[y] == regs[x]
+            some = equal.sum(1) >= (percent / 100 - 0.25) * REGISTERS  # eight standard errors below what the threshold gives
+            y, equal = y[some], equal[some]
+            first = equal.reshape(len(y), BANDS, ROWS).all(2)
+            y = y[first.any(1) & (first.argmax(1) == band)]
+            if not len(y):
+                continue
+            like = _likeness(np.repeat(regs[x:x + 1], len(y), 0), regs[y], np.repeat(n[x:x + 1], len(y)), n[y], percent)
+            y, like = y[like >= 0], like[like >= 0]
+            if not best:
                 a += cid[y].tolist()
                 b += [int(cid[x])] * len(y)
-        return a, b
+                continue
+            for i, e in zip(y.tolist(), like.tolist(), strict=True):
+                two = (min(family[i], family[x]), max(family[i], family[x]))
+                if e > top.get(two, (-1.0,))[0]:
+                    top[two] = (e, int(cid[i]), int(cid[x]))
+        return a + [t[1] for t in top.values()], b + [t[2] for t in top.values()]
+
+    def packed(key, group) -> dict | None:
+        a, b = pairs(key, group)
+        if not a:
+            return None
+        cids, at = np.unique(np.array(a + b, np.int64), return_inverse=True)
+        return dict(zip(keys, key, strict=True)) | {"cids": cids.tolist(), "left": at[:len(a)].tolist(), "right": at[len(a):].tolist()}
+
+    shape = pa.schema([("bucket", pa.int64()), ("step", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cids", pa.list_(pa.int64())), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            found = ([], [])
-            cols = [batch.column(c).to_pylist() for c in (*keys, "mine", "cid", "family", "n", "regs")]
-            for row in zip(*cols, strict=True):
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, "mine", "cid", "family", "n", "own", "band", "regs")), strict=True):
                 if row[:4] != at:
-                    if len(held) > 1:
-                        for out, new in zip(found, pairs(at, held), strict=True):
-                            out += new
+                    found += [packed(at, held)] if len(held) > 1 else []
                     at, held = row[:4], []
                 held.append(row[4:])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(at, held)], names=["a", "b"])
+            yield pa.RecordBatch.from_pylist([f for f in found if f], shape)
+        if len(held) > 1 and (last := packed(at, held)):
+            yield pa.RecordBatch.from_pylist([last], shape)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def _verified_blocks(blocks: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) within the blocks whose full sets reach the threshold. A text comes to a block once, however many
+    pairs it is in."""
+    keys = ["bucket", "step", "i", "j"]
+    members = blocks.select(*keys, F.explode("cids").alias("cid")).join(classes.select("cid", "h"), "cid")
+    texts = rows.select(F.col("doc_id").alias("cid"), "h", "text").join(members.hint("shuffle_hash"), ["cid", "h"])
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cids", "array<bigint>"), ("left", "array<int>"), ("right", "array<int>"))]
+    every = texts.select(*keys, F.lit(1).alias("role"), "cid", "text", *none).unionByName(
+        blocks.select(*keys, F.lit(0).alias("role"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("string").alias("text"), "cids", "left", "right"))
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = every.repartition(parts, *keys).sortWithinPartitions(*keys, "role")
+
+    def linked(plan, sets) -> list[tuple[int, int]]:
+        cids, left, right = plan
+        out = []
+        for x, y in zip(left, right, strict=True):
+            one, two = sets[cids[x]], sets[cids[y]]
+            both = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
+            if 100 * both >= percent * (len(one) + len(two) - both):
+                out.append((cids[x], cids[y]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, sets = None, {}
+        names = ("role", "cid", "text", "cids", "left", "right")
+        for batch in batches:
+            out = []
+            for role, cid, text, *new in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if role == 0:
+                    out += linked(plan, sets) if plan else []
+                    plan, sets = new, {}
+                else:
+                    sets[cid] = shingles(text)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = linked(plan, sets) if plan else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return every.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (hash of the row's text), n_shingles, component_id, kept, for every row."""
-    rows = keyed_text(docs, id_col, text_col).withColumn("h", row_key(F.col("text")))
+    rows = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("text")).alias("h"))
     sketched = cut(sketches(rows), "sketches")
     least = F.min(F.struct("doc_id", "h"))
     classes = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(least.alias("rep"), F.min("n").alias("n"), F.min("regs").alias("regs"))
@@ -240,10 +312,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     likely = cut(_likely(stars, classes, percent), "likely")
     links = cut(_verified(likely, classes, rows, percent), "links")
     labels = _components(links)
-    more = _between(crowded.select("bucket", "cid"), labels, classes, percent).join(likely, ["a", "b"], "left_anti")
-    late = cut(_verified(cut(more, "more"), classes, rows, percent), "late_links")
-    if not late.isEmpty():
-        labels = _components(links.unionByName(late))
+    for best in (True, False):  # most components meet by their likeliest pairs; then nothing is left out
+        blocks = cut(_between(crowded.select("band", "bucket", "cid"), labels, classes, percent, best), "blocks")
+        late = cut(_verified_blocks(blocks, classes, rows, percent), "late_links")
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            labels = _components(links)
     named = classes.join(labels.select(F.col("node").alias("cid"), "family"), "cid", "left").select("digest", F.coalesce("family", "cid").alias("family"))
     out = sketched.select("doc_id", "h", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("family", "doc_id"))
