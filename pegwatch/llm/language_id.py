@@ -143,14 +143,17 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> KernelModel | None:
     """A model from rows with a text and a label; None if there are none. The sample is the rows with the smallest hashes of their ids in each language."""
-    rows = labelled.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 31)) / float(1 << 31)
+    rows = labelled.select(place.alias("h"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not top:
         return None
-    keys = rows.where(F.col("lang").isin(top)).select("lang", "h", "doc_id")
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = keys.withColumn("k", place).where(F.col("k") <= per_language).select("lang", "doc_id").distinct()
+    # hashes are even, so a share of them holds a few times the wanted rows; no language ever meets in one task whole
+    share = F.create_map(*(F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 4.0 * per_language / n))))
+    keys = rows.where(F.col("lang").isin(list(top))).where(F.col("h") <= F.element_at(share, F.col("lang"))).select("lang", "h", "doc_id")
+    order = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = keys.withColumn("k", order).where(F.col("k") <= per_language).select("lang", "doc_id").distinct()
     sample = rows.join(F.broadcast(picked), ["lang", "doc_id"]).limit(2 * per_language * languages)  # bounded: per_language * languages ids
     found = sorted((r["h"], r["lang"], r["text"]) for r in sample.select("h", "lang", "text").collect())
     found = [r for r in found if has_letter(r[2])]
