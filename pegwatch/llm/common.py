@@ -96,12 +96,13 @@ class Bounded(dict):
         return value
 
 
-_WORKER: dict[str, tuple] = {}
+_WORKER: dict[tuple, object] = {}
 
 
 def per_worker(kind: str, key, make: Callable):
-    """One object per Python worker and kind (a model, a table), kept for later tasks until another key is asked for."""
-    if kind not in _WORKER or _WORKER[kind][0] != key:
-        _WORKER.pop(kind, None)
-        _WORKER[kind] = (key, make())
-    return _WORKER[kind][1]
+    """The object of a Python worker (a model with its caches, a table), kept for later tasks. A worker holds one at a
+    time: asking for another lets the last one go, so the stages of a pipeline don't add up in its memory."""
+    if (kind, key) not in _WORKER:
+        _WORKER.clear()
+        _WORKER[kind, key] = make()
+    return _WORKER[kind, key]

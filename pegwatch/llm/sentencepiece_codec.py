@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pegwatch.llm.common import Bounded, keyed_text, per_worker, slices
 
 SPACE = "▁"
-CACHED_WORDS = 800_000
-CACHED_PAIRS = 600_000
+CACHED_WORDS = 600_000
+CACHED_PAIRS = 400_000
 SCHEMA = "doc_id {id}, ids array<int>, decoded string"
 
 
