@@ -7,7 +7,8 @@ matrix. One-versus-rest kernel ridge regression on those features is a linear ma
 
 The model is fitted on the driver on a bounded sample of the labelled rows: at most ``PER_LANGUAGE`` texts of each of at
 most ``LANGUAGES`` languages (the most frequent), picked by a hash of the id. Only text and label are used. Scoring reads
-whole texts: presence in a bounded table of n-grams over the characters that the sample knows.
+whole texts, every character of any script: its distinct n-grams are looked up among those of the landmarks (others only count
+in the cosine's length), so the kernel is exact.
 
 Language and score: the largest response and its softmax share with a temperature fitted on the sample. A null text, or
 one without a letter, is ``und`` with score 0. Without any labelled row every text is ``und``. Repeated rows give repeated
@@ -30,55 +31,55 @@ from pyspark.sql import types as T
 from pegwatch.llm.common import per_worker, ship_code, slices
 
 LANDMARKS, PER_LANGUAGE, LANGUAGES = 192, 400, 64
-ALPHABET = 62  # characters of their own; the others share a class each for letters and for the rest
+CHUNK = 1 << 20  # characters of a text that are packed at once
 RIDGE = 1e-2
 UNKNOWN = "und"
 
 
 class Spectrum:
-    """Presence vectors of 1- to 3-grams over a bounded alphabet, restricted to the n-grams of the landmarks."""
-
-    def __init__(self, alphabet: str, columns: np.ndarray | None = None):
-        self.alphabet = alphabet
-        self.n = len(alphabet) + 2
-        self.classes = np.full(0x110000 + 1, 1, np.int32)
-        for i, c in enumerate(alphabet):
-            self.classes[ord(c)] = i + 2
-        self.codes = self.n + self.n**2 + self.n**3
-        self.columns = columns
-        self.lengths = None
-        if columns is not None:
-            self.lengths = np.searchsorted(np.array([self.n, self.n + self.n**2]), columns, side="right")
-
-    def present(self, text: str) -> np.ndarray:
-        """Codes of the distinct n-grams. A run of characters outside the alphabet counts as one separator."""
-        c = self.classes[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")]
-        c = c[(c != 1) | (np.roll(c, 1) != 1)]
-        seen = np.zeros(self.codes, bool)
-        seen[c] = True
-        if len(c) > 1:
-            two = c[:-1] * self.n + c[1:]
-            seen[self.n + two] = True
-            if len(c) > 2:
-                seen[self.n + self.n**2 + two[:-1] * self.n + c[2:]] = True
-        return seen
-
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Presence in the landmarks' n-grams, and the number of n-grams of each length, of each text."""
-        out, sizes = np.zeros((len(texts), len(self.columns)), np.float32), np.zeros((len(texts), 3), np.float32)
-        cuts = (0, self.n, self.n + self.n**2, self.codes)
+    """The n-grams of lengths 1 to 3 of the landmarks, each packed into 64 bits (21 for a code point), and as bits the landmarks that have it."""
+
+    def __init__(self, landmarks: list[str]):
+        grams = [self.grams(t) for t in landmarks]
+        self.count = len(landmarks)
+        self.sizes = np.array([[len(g) for g in each] for each in grams], np.float64)
+        self.codes, self.owners = [], []
+        for k in range(3):
+            codes, place = np.unique(np.concatenate([g[k] for g in grams]), return_inverse=True)
+            owners = np.zeros((len(codes), -(-self.count // 8)), np.uint8)
+            who = np.repeat(np.arange(self.count), [len(g[k]) for g in grams])
+            np.bitwise_or.at(owners, (place, who // 8), (128 >> (who % 8)).astype(np.uint8))
+            self.codes.append(codes)
+            self.owners.append(owners)
+
+    @staticmethod
+    def grams(text: str) -> list[np.ndarray]:
+        """Sorted distinct n-grams of each length, over every character of the lower-cased text with a blank around it."""
+        text, out = f" {text.lower()} ", [np.zeros(0, np.uint64)] * 3
+        for lo in range(0, max(1, len(text) - 2), CHUNK):
+            c = np.frombuffer(text[lo:lo + CHUNK + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            two = c[:-1] << np.uint64(21) | c[1:]
+            three = two[:-1] << np.uint64(21) | c[2:]
+            out = [np.union1d(o, g) if len(o) else np.unique(g) for o, g in zip(out, (c, two, three), strict=True)]
+        return out
+
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values of each text with the landmarks, and its number of distinct 3-grams."""
+        out, sizes = np.zeros((len(texts), self.count)), np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            seen = self.present(t)
-            out[i] = seen[self.columns]
-            sizes[i] = [max(1, seen[a:b].sum()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for k, g in enumerate(self.grams(t)):
+                sizes[i] = len(g)
+                place = np.minimum(np.searchsorted(self.codes[k], g), len(self.codes[k]) - 1)
+                hits = place[self.codes[k][place] == g]
+                both = np.zeros(self.count)
+                for lo in range(0, len(hits), 1 << 15):
+                    both += np.unpackbits(self.owners[k][hits[lo:lo + (1 << 15)]], axis=1, count=self.count).sum(0, dtype=np.int32)
+                out[i] += both / np.sqrt(max(1, len(g)) * np.maximum(1, self.sizes[:, k]))
         return out, sizes
 
 
 class KernelModel:
     def __init__(self, texts: list[str], labels: list[str], landmarks: int = LANDMARKS):
-        counts = Counter(c for t in texts for c in set(t.lower()) if c.isalpha())
-        alphabet = "".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
-        plain = Spectrum(alphabet)
         self.languages = sorted(set(labels))
         y = np.array([self.languages.index(x) for x in labels])
         seen: Counter = Counter()
@@ -87,17 +88,12 @@ class KernelModel:
             turn.append((seen[label], label, i))
             seen[label] += 1
         chosen = [i for _, _, i in sorted(turn)[:landmarks]]
-        grams = np.zeros(plain.codes, bool)
-        for i in chosen:
-            grams |= plain.present(texts[i])
-        self.spectrum = Spectrum(alphabet, np.flatnonzero(grams))
-        self.base, self.base_sizes = self.spectrum.rows([texts[i] for i in chosen])
-        self.whiten = None
-        k = self.kernel([texts[i] for i in chosen])
-        values, vectors = np.linalg.eigh((k + k.T).astype(np.float64) / 2)
+        self.spectrum = Spectrum([texts[i] for i in chosen])
+        k, _ = self.spectrum.kernel([texts[i] for i in chosen])
+        values, vectors = np.linalg.eigh((k + k.T) / 2)
         good = values > 1e-6 * values.max()
-        self.whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-        features = np.vstack([self.features(texts[i:i + 64]) for i in range(0, len(texts), 64)]).astype(np.float64)
+        self.whiten = vectors[:, good] / np.sqrt(values[good])
+        features = self.features(texts)
         features = np.hstack([features, np.ones((len(features), 1))])
         target = np.where(y[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
         weight = 1.0 / np.maximum(1, np.bincount(y))[y]  # each language counts alike
@@ -109,16 +105,8 @@ class KernelModel:
         loss = [-np.log(np.maximum(self.shares(response, s)[np.arange(len(y)), y], 1e-9)).mean() for s in grid]
         self.sharpness = grid[int(np.argmin(loss))]
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        rows, sizes = self.spectrum.rows(texts)
-        total = 0
-        for k in range(3):
-            cols = self.spectrum.lengths == k
-            total = total + rows[:, cols] @ self.base[:, cols].T / np.sqrt(sizes[:, k:k + 1] * self.base_sizes[:, k][None, :])
-        return total
-
     def features(self, texts: list[str]) -> np.ndarray:
-        return self.kernel(texts) @ self.whiten
+        return self.spectrum.kernel(texts)[0] @ self.whiten
 
     @staticmethod
     def shares(response: np.ndarray, sharpness: float) -> np.ndarray:

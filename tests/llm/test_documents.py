@@ -330,6 +330,25 @@ def test_language_of_held_out_rows(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+SCRIPTS = {"th": 0x0E01, "el": 0x03B1, "ru": 0x0430, "ka": 0x10D0, "ar": 0x0627, "hi": 0x0915}
+
+
+def scripted(rnd, lang, n):
+    """Words of an own half of a script's letters for each language: 'x1' and 'x2' share the script of 'x'."""
+    first = SCRIPTS[lang[:2]] + 12 * (lang[2:] == "2")
+    return " ".join("".join(chr(first + rnd.randrange(12)) for _ in range(rnd.randint(2, 6))) for _ in range(n))
+
+
+def test_letters_of_every_script_count(spark):
+    rnd = random.Random(17)
+    langs = [k + h for k in SCRIPTS for h in "12"]
+    rows = [(i, scripted(rnd, langs[i % len(langs)], 40), langs[i % len(langs)]) for i in range(480)]
+    model = language_id.fit(frame(spark, rows))
+    fresh = [(lang, scripted(rnd, lang, 40)) for lang in langs for _ in range(5)]
+    got = model.predict([t for _, t in fresh])[0]
+    assert sum(a == lang for a, (lang, _) in zip(got, fresh, strict=True)) >= 0.97 * len(fresh)
+
+
 # ---------------------------------------------------------------------------------------------- pipeline
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import sentencepiece
