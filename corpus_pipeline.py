@@ -18,9 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go; a missing ``lang`` is filled in."""
+    """Documents without a letter go, and those whose response is below the model's bound, so in none of the learned
+    languages; without a model only the former. A missing ``lang`` is filled in."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    judged = language_id.predict(docs, model, carry=True).where(F.col("lang_pred") != language_id.UNKNOWN)
+    judged = language_id.predict(docs, model, carry=True).where("accepted")
     return judged.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

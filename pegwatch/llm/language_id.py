@@ -13,6 +13,10 @@ in the cosine's length), so the kernel is exact.
 Language and score: the largest response and its softmax share with a temperature fitted on the sample. A null text, or
 one without a letter, is ``und`` with score 0. Without any labelled row every text is ``und``. Repeated rows give repeated
 results; very long texts are read in whole; an empty table gives an empty table.
+
+A text is accepted as one of the languages if its response lies above ``bound``: halfway from the response of a text that
+shares no letter up to that which ``KEEP`` of the sample's texts reach when judged by a fit without them (landmarks left out if
+others suffice), or the latter if it is lower. Texts of fewer than ``FEW`` distinct 3-grams say too little to be rejected.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from pegwatch.llm.common import per_worker, ship_code, slices
 
 LANDMARKS, PER_LANGUAGE, LANGUAGES = 192, 400, 64
 CHUNK = 1 << 20  # characters of a text that are packed at once
-RIDGE = 1e-2
+RIDGE, KEEP, FEW = 1e-2, 0.999, 24
+FOREIGN = f"{chr(0x10FFFD) * 5} " * 40  # shares blanks with a text, no letter
 UNKNOWN = "und"
 
 
@@ -94,7 +99,8 @@ class KernelModel:
         good = values > 1e-6 * values.max()
         self.whiten = vectors[:, good] / np.sqrt(values[good])
         features = self.features(texts)
-        features = np.hstack([features, np.ones((len(features), 1))])
+        # a constant would answer every text alike if there is one language only
+        features = np.hstack([features, np.full((len(features), 1), float(len(self.languages) > 1))])
         target = np.where(y[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
         weight = 1.0 / np.maximum(1, np.bincount(y))[y]  # each language counts alike
         weight *= len(y) / weight.sum()
@@ -104,6 +110,14 @@ class KernelModel:
         grid = [1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0]
         loss = [-np.log(np.maximum(self.shares(response, s)[np.arange(len(y)), y], 1e-9)).mean() for s in grid]
         self.sharpness = grid[int(np.argmin(loss))]
+        lever = weight * (features * np.linalg.solve(gram, features.T).T).sum(1)
+        alone = (target - (target - response) / np.maximum(1 - lever, 1e-9)[:, None]).max(1)  # each text by a fit without it
+        others = np.setdiff1d(np.arange(len(y)), chosen)
+        alone = np.sort(alone[others] if len(others) >= landmarks else alone)
+        low = float(alone[int((1 - KEEP) * len(alone))])
+        self.bound = -np.inf
+        void = float(self.predict([FOREIGN])[2][0])
+        self.bound = min(low, (low + void) / 2)
 
     def features(self, texts: list[str]) -> np.ndarray:
         return self.spectrum.kernel(texts)[0] @ self.whiten
@@ -113,12 +127,13 @@ class KernelModel:
         e = np.exp(sharpness * (response - response.max(1, keepdims=True)))
         return e / e.sum(1, keepdims=True)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, share and largest response (about 1 for a typical text, near or below 0 for none of the languages)."""
-        response = self.features(texts) @ self.weights[:-1] + self.weights[-1]
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, share, largest response (about 1 for a typical text, near or below 0 for none of the languages), accepted."""
+        kernel, sizes = self.spectrum.kernel(texts)
+        response = kernel @ self.whiten @ self.weights[:-1] + self.weights[-1] * (len(self.languages) > 1)
         best = response.argmax(1)
         share = self.shares(response, self.sharpness)[np.arange(len(texts)), best]
-        return [self.languages[i] for i in best], share, response.max(1)
+        return [self.languages[i] for i in best], share, response.max(1), (response.max(1) > self.bound) | (sizes < FEW)
 
 
 def has_letter(text: str) -> bool:
@@ -149,7 +164,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int =
 
 
 def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), response, for every row; with ``carry`` the whole row as struct ``row`` instead
+    """doc_id, lang_pred, score (0 to 1), response, accepted (has a letter and, given a model, reaches its bound), for every row; with ``carry`` the whole row as struct ``row`` instead
     of its id. One narrow pass."""
     spark = docs.sparkSession
     ship_code(spark)
@@ -163,13 +178,14 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
             for part in slices(batch, 1 << 20):
                 texts = part.column("text").to_pylist()
                 lang, score, response = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                asked = [i for i, t in enumerate(texts) if known is not None and has_letter(t)]
+                accepted = [has_letter(t) for t in texts]
+                asked = [i for i, a in enumerate(accepted) if a and known is not None]
                 for at in range(0, len(asked), 256):
                     some = asked[at:at + 256]
-                    for i, a, b, c in zip(some, *known.predict([texts[i] for i in some]), strict=True):
-                        lang[i], score[i], response[i] = a, float(b), float(c)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(response, pa.float64())],
-                                                 names=[part.schema.names[0], "lang_pred", "score", "response"])
+                    for i, a, b, c, d in zip(some, *known.predict([texts[i] for i in some]), strict=True):
+                        lang[i], score[i], response[i], accepted[i] = a, float(b), float(c), bool(d)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(response, pa.float64()), pa.array(accepted, pa.bool_())],
+                                                 names=[part.schema.names[0], "lang_pred", "score", "response", "accepted"])
 
-    schema = T.StructType([rows.schema.fields[0]]).add("lang_pred", "string").add("score", "double").add("response", "double")
+    schema = T.StructType([rows.schema.fields[0]]).add("lang_pred", "string").add("score", "double").add("response", "double").add("accepted", "boolean")
     return rows.mapInArrow(run, schema)

@@ -349,6 +349,20 @@ def test_letters_of_every_script_count(spark):
     assert sum(a == lang for a, (lang, _) in zip(got, fresh, strict=True)) >= 0.97 * len(fresh)
 
 
+def test_texts_in_no_learned_language_go(spark):
+    import base64
+
+    rnd = random.Random(18)
+    rows = [(i, sentences(rnd, lang, rnd.randint(3, 60)), lang) for i in range(300) for lang in [rnd.choice(["aa", "bb", "cc"])]]
+    odd = [base64.b64encode(rnd.randbytes(n)).decode() for n in (60, 600, 6000)] + [scripted(rnd, "ru1", 50), scripted(rnd, "th2", 9)]
+    docs = frame(spark, rows + [(1000 + i, t, None) for i, t in enumerate(odd)]).select(*corpus_pipeline.COLUMNS)
+    assert {r["doc_id"] for r in corpus_pipeline.identify(spark, docs, "").collect()} == {i for i, _, _ in rows}
+    one = docs.where("lang = 'aa' or lang is null")
+    assert {r["doc_id"] for r in corpus_pipeline.identify(spark, one, "").collect()} == {i for i, _, lang in rows if lang == "aa"}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify(spark, unlabelled, "").count() == docs.count()  # nothing to judge by: letters are enough
+
+
 # ---------------------------------------------------------------------------------------------- pipeline
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import sentencepiece
