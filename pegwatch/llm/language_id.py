@@ -5,8 +5,9 @@ texts sums, over the three lengths, the cosine of their presence vectors. ``LAND
 Nyström landmarks: a text's features are its kernel values with them times the inverse square root of their own kernel
 matrix. One-versus-rest kernel ridge regression on those features is a linear map; scoring a batch is a few matrix products.
 
-The model is fitted on the driver on a bounded sample of the labelled rows: at most ``PER_LANGUAGE`` texts of each of at
-most ``LANGUAGES`` languages (the most frequent), picked by a hash of the id. Only text and label are used. Scoring reads
+The model is fitted on the driver on a bounded sample of the labelled rows: at most ``PER_LANGUAGE`` texts of each
+language, fewer (but ``FEWEST``) where all languages together would pass ``SAMPLE``, picked by a hash of the id. Every language
+that has a labelled text is learned and has a landmark. Only text and label are used. Scoring reads
 whole texts, every character of any script: its distinct n-grams are looked up among those of the landmarks (others only count
 in the cosine's length), so the kernel is exact.
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from pegwatch.llm.common import per_worker, ship_code, slices
 
-LANDMARKS, PER_LANGUAGE, LANGUAGES = 192, 400, 64
+LANDMARKS, PER_LANGUAGE, SAMPLE, FEWEST = 192, 400, 25_600, 8
 CHUNK = 1 << 20  # characters of a text that are packed at once
 RIDGE, KEEP, FEW = 1e-2, 0.999, 24
 FOREIGN = f"{chr(0x10FFFD) * 5} " * 40  # shares blanks with a text, no letter
@@ -92,6 +93,7 @@ class KernelModel:
         for i, label in enumerate(y.tolist()):
             turn.append((seen[label], label, i))
             seen[label] += 1
+        landmarks = max(landmarks, len(self.languages))  # one of each language at least
         chosen = [i for _, _, i in sorted(turn)[:landmarks]]
         self.spectrum = Spectrum([texts[i] for i in chosen])
         k, _ = self.spectrum.kernel([texts[i] for i in chosen])
@@ -144,20 +146,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> KernelModel | None:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> KernelModel | None:
     """A model from rows with a text and a label; None if there are none. The sample is the rows with the smallest hashes of their ids in each language."""
     place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 31)) / float(1 << 31)
     rows = labelled.select(place.alias("h"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not top:
+    every = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not every:
         return None
+    per_language = min(per_language, max(FEWEST, SAMPLE // len(every)))
     # hashes are even, so a share of them holds a few times the wanted rows; no language ever meets in one task whole
-    share = F.create_map(*(F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 4.0 * per_language / n))))
-    keys = rows.where(F.col("lang").isin(list(top))).where(F.col("h") <= F.element_at(share, F.col("lang"))).select("lang", "h", "doc_id")
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * max(per_language, FEWEST) / n)) for lang, n in every.items()], "lang string, share double")
+    keys = rows.join(F.broadcast(shares), "lang").where("h <= share").select("lang", "h", "doc_id")
     order = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     picked = keys.withColumn("k", order).where(F.col("k") <= per_language).select("lang", "doc_id").distinct()
-    sample = rows.join(F.broadcast(picked), ["lang", "doc_id"]).limit(2 * per_language * languages)  # bounded: per_language * languages ids
+    sample = rows.join(F.broadcast(picked), ["lang", "doc_id"]).limit(2 * per_language * len(every))  # bounded: per_language ids of each language
     found = sorted((r["h"], r["lang"], r["text"]) for r in sample.select("h", "lang", "text").collect())
     found = [r for r in found if has_letter(r[2])]
     return KernelModel([r[2] for r in found], [r[1] for r in found]) if found else None

@@ -349,6 +349,16 @@ def test_letters_of_every_script_count(spark):
     assert sum(a == lang for a, (lang, _) in zip(got, fresh, strict=True)) >= 0.97 * len(fresh)
 
 
+def test_every_label_is_learned(spark):
+    rnd = random.Random(19)
+    stems = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for _ in range(80)]
+    text = lambda k: " ".join(rnd.choice(stems[k]) + rnd.choice(stems[k]) for _ in range(20))
+    model = language_id.fit(frame(spark, [(i, text(i % 80), f"l{i % 80}") for i in range(480)]))
+    assert len(model.languages) == 80
+    got = model.predict([text(k) for k in range(80)])[0]
+    assert sum(a == f"l{k}" for k, a in enumerate(got)) >= 76
+
+
 def test_texts_in_no_learned_language_go(spark):
     import base64
 
