@@ -288,6 +288,15 @@ def test_the_network_finds_shapes_it_was_shown():
     assert yes[:50].mean() >= 0.9 and yes[50:].mean() <= 0.1
 
 
+def test_the_threshold_keeps_recall_where_classes_overlap():
+    rnd = random.Random(31)
+    value = lambda: "".join(rnd.choice("abcdef0123456789") for _ in range(16))
+    seen = [(f"some words {x} then more", 11, 27) for x in [value() for _ in range(400)]]
+    net = secret_scan.CharNet(seen, np.array([True] * 200 + [False] * 200))
+    assert net.threshold < 0.5 and net.recall >= secret_scan.RECALL
+    assert net.accepts([(f"other text {x} here", 11, 27) for x in [value() for _ in range(100)]]).mean() >= 0.9
+
+
 def test_the_tagger_learns_spans():
     rnd = random.Random(2)
     texts, tags = [], []
