@@ -314,6 +314,16 @@ def test_the_tagger_learns_spans():
     assert right / total >= 0.8
 
 
+def test_segments_hold_whole_spans_and_spelt_out_addresses(spark):
+    long = f"x {'a' * 45}@{'b' * 40}.example.com y +1 (((((((((((((((((((((((((((( 555 123 4567 z " + "word " * 40
+    for text in (long, "word " * 30 + "jane dot doe at example dot com " + "word " * 30, "word " * 30 + "jane.doe(at)example.com", "9" * 300 + "@" * 9 + "a" * 500):
+        spans = pii.rule_spans(text)
+        found = pii.segments(text, spans)
+        assert found and all(a[1] < b[0] for a, b in zip(found, found[1:]))
+        assert all(any(a <= s and e <= b for a, b in found) for _, s, e in spans)
+        assert all((a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ") for a, b in found)
+
+
 # ---------------------------------------------------------------------------------------------- languages
 def sentences(rnd, lang, n):
     stems = {"aa": ["tha", "ing", "wor", "of"], "bb": ["sch", "ung", "ein", "zu"], "cc": ["eau", "lle", "qué", "ç"]}[lang]
