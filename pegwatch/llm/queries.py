@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, pii, secret_scan, sentencepiece_codec, token_counts, token_frames
+from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, pii, secret_scan, sentencepiece_codec, spelling, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
 from pegwatch.llm.spans import counted, joined
 from pegwatch.session import shared_folder
@@ -161,3 +161,40 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_spelling"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) WHERE length(run) >= 7
+), bytes AS (
+  SELECT id, run, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END)) AS b FROM runs
+), hashed AS (
+  SELECT run, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(b, lambda x: list_prepend(CAST(x AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS h FROM bytes
+), counted AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, count(*) AS n FROM hashed GROUP BY 1
+), words AS (
+  SELECT * FROM counted WHERE n >= 2 AND length(word) >= 7
+), holes AS (
+  SELECT DISTINCT word, n, i, left(word, i - 1) || substr(word, i + 1) AS hole FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), pairs AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM holes x JOIN holes y ON x.i = y.i AND x.hole = y.hole AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON x.hole = y.word
+  UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON x.hole = y.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word
+), path AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT p.word, f.form FROM path p JOIN formed f ON f.word = p.at WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT p.word, p.at AS root FROM path p JOIN formed f ON f.word = p.at WHERE f.form IS NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots r ON r.word = f.word
+"""
