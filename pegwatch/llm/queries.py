@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pegwatch.llm import decontaminate, language_id, line_dedup, maxscore, near_dedup, pii, secret_scan, sentencepiece_codec, spelling, token_counts, token_frames
+from pegwatch.llm import chat, decontaminate, language_id, lexical, line_dedup, maxscore, near_dedup, pii, secret_scan, sentencepiece_codec, spelling, token_counts, token_frames
 from pegwatch.llm.common import table, tokenizer_file
 from pegwatch.llm.spans import counted, joined
-from pegwatch.session import shared_folder
+from pegwatch.session import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -198,3 +198,58 @@ WITH RECURSIVE runs AS (
 )
 SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots r ON r.word = f.word
 """
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_lexical"] = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), asked AS (
+  SELECT item, item_id, term, count(*) AS repeats FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT item_id, text, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY ALL
+), lengths AS (
+  SELECT row, doc_id, CAST(len(words) AS BIGINT) AS n FROM split WHERE len(words) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM lengths
+), tf AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(words) AS term FROM split) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term, docs
+), gains AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l))) AS gain FROM tf JOIN weights USING (term) JOIN lengths USING (row), totals
+), scored AS (
+  SELECT item, item_id, doc_id, CAST(sum(repeats * gain) AS BIGINT) AS score FROM gains JOIN asked USING (term) GROUP BY item, item_id, row, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    formatted = cut(chat.format_chats(given.select("conv_id", "turn", "role", "text").unionByName(own)), "chats")
+    return chat.digests(formatted)
+
+
+SQL["op12_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), marked AS (
+  SELECT *, regexp_replace(regexp_replace(text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') AS escaped,
+         regexp_replace(regexp_replace(role, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') AS named FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + length(named) + 22) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
