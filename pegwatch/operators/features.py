@@ -31,7 +31,7 @@ def z_table(dev: DataFrame) -> DataFrame:
 def since(flag, cap: float, unit: int = HOUR, keys: Sequence[str] = ("symbol",)):
     """Time units since the flag was last true, capped; NULL before the first."""
     last = F.last(F.when(flag, F.col("ts")), True).over(ordered(keys).rowsBetween(Window.unboundedPreceding, 0))
-    return F.least((F.col("ts") - last) / unit, F.lit(float(cap)))
+    return F.when(last.isNotNull(), F.least((F.col("ts") - last) / unit, F.lit(float(cap))))
 
 
 def rolling(z: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def escalation(eps: DataFrame, dev: DataFrame, landmarks: Sequence[int], rules:
     """One row per (episode, landmark): state at the decision hour, run-up, history and both outcomes. Deviations
     beyond +-1 count as +-1. ``under`` (symbol, ts, und_z_now) tells whether a wrapper's underlying is below its band."""
     level = rules.severe_level
-    dev = dev.withColumns({c: F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)) for c in ("dev", "dev_obs")})
+    dev = dev.withColumns({c: S.clip(c, -1.0, 1.0) for c in ("dev", "dev_obs")})
     first_seen = dev.filter("dev is not null").groupBy("symbol").agg(F.min("ts").alias("_seen"))
     rows = episode_history(eps, level).join(first_seen, "symbol").withColumn(
         "landmark", F.explode(F.array(*[F.lit(x) for x in landmarks])))
@@ -195,15 +195,3 @@ def follow(pairs: DataFrame, eps: DataFrame) -> DataFrame:
         *pairs.columns, ((F.col("_k") + a) / (F.col("_n") - F.col("_own") + a + b)).alias("follow_rate"),
         ((F.col("_ks") + a) / (F.col("_ns") + a + b)).alias("codepeg_share"))
 
-
-def pair_corr(pairs: DataFrame, z: DataFrame, hours: int = 720, least: int = 240) -> DataFrame:
-    """Correlation of the hourly deviations of seed and candidate up to tau, NULL below ``least`` joint hours."""
-    known = z.filter("z is not null").select("symbol", "ts", "z")
-    asks = pairs.select("seed", "tau").distinct().select("seed", "tau", S.hour_keys(F.col("tau") - (hours - 1) * HOUR, "tau").alias("ts"))
-    xs = asks.join(known.select(F.col("symbol").alias("seed"), "ts", F.col("z").alias("x")), ["seed", "ts"])
-    joint = pairs.select("seed", "tau", "cand").distinct().join(xs, ["seed", "tau"]).join(
-        known.select(F.col("symbol").alias("cand"), "ts", F.col("z").alias("y")), ["cand", "ts"])
-    stats = joint.groupBy("seed", "tau", "cand").agg(
-        F.count("*").alias("_n"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"), F.covar_pop("x", "y").alias("_c"))
-    ok = (F.col("_n") >= least) & (F.col("_sx") > 0) & (F.col("_sy") > 0)
-    return pairs.join(stats.select("seed", "tau", "cand", F.when(ok, F.try_divide("_c", F.col("_sx") * F.col("_sy"))).alias("dev_corr_30d")), ["seed", "tau", "cand"], "left")

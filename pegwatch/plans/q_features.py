@@ -20,6 +20,11 @@ def frame(n, keys="symbol"):
     return f"(PARTITION BY {keys} ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
+def capped(past: str, cap: int) -> str:
+    """Time since an event up to a cap; unknown before the first (least() alone would skip the NULL)."""
+    return f"CASE WHEN {past} IS NOT NULL THEN least({past}, {cap}) END"
+
+
 ROLL = {"z_now": "z"}
 ROLL |= {f"z_min_{w}h": f"min(z) OVER {frame(w)}" for w in (6, 24, 72, 168)}
 ROLL["z_max_24h"] = f"max(z) OVER {frame(24)}"
@@ -31,7 +36,7 @@ ROLL["z_vs_mean_168h"] = f"z - avg(z) OVER {frame(168)}"
 NEAR = "CASE WHEN z IS NOT NULL THEN CAST(z < -0.5 AS INT) END"
 ROLL["near_miss_168h"] = f"CAST(sum({NEAR}) OVER {frame(168)} AS DOUBLE)"
 ROLL["near_frac_24h"] = f"avg({NEAR}) OVER {frame(24)}"
-ROLL["hours_since_near_miss"] = f"least((ts - max(CASE WHEN z < -0.5 THEN ts END) OVER {frame(10**6)}) / 3600, 2160)"
+ROLL["hours_since_near_miss"] = capped(f"(ts - max(CASE WHEN z < -0.5 THEN ts END) OVER {frame(10**6)}) / 3600", 2160)
 ROLL["missing_frac_24h"] = f"avg(CAST(z IS NULL AS INT)) OVER {frame(24)}"
 T.block("rolling", "SELECT symbol, ts, " + ", ".join(f"{v} AS {k}" for k, v in ROLL.items()) + " FROM z", ["z"])
 
@@ -53,7 +58,7 @@ def e9(spark, sf):
 HIST = [f"episodes_{d}d" for d in (30, 90, 365)]
 T.block("history", "SELECT symbol, ts, " + ", ".join(
     f"CAST(sum(coalesce(n, 0)) OVER {frame(24 * d)} AS BIGINT) AS episodes_{d}d" for d in (30, 90, 365)) + f""",
- least((ts - max(CASE WHEN n > 0 THEN ts END) OVER {frame(10**6)}) / 3600, 8760) AS hours_since_episode
+ {capped(f"(ts - max(CASE WHEN n > 0 THEN ts END) OVER {frame(10**6)}) / 3600", 8760)} AS hours_since_episode
 FROM z LEFT JOIN (SELECT symbol, tk AS ts, count(*) AS n FROM clean_eps GROUP BY ALL) USING (symbol, ts)""", ["z", "clean_eps"])
 
 
@@ -148,8 +153,8 @@ DAILY |= {f"dz_chg_{k}d": f"z - lag(z, {k}) OVER (PARTITION BY symbol ORDER BY t
 DAILY["dz_vs_mean_30d"] = f"z - avg(z) OVER {frame(30)}"
 DAILY["d_near_30d"] = f"CAST(sum({NEAR}) OVER {frame(30)} AS DOUBLE)"
 DAILY |= {f"d_beyond_{w}d": f"CAST(sum(CASE WHEN z IS NOT NULL THEN CAST(z <= -1 AS INT) END) OVER {frame(w)} AS DOUBLE)" for w in (30, 90, 365)}
-DAILY["d_days_since_near"] = f"least((ts - max(CASE WHEN z < -0.5 THEN ts END) OVER {frame(10**6)}) / 86400, 365)"
-DAILY["d_days_since_beyond"] = f"least((ts - max(CASE WHEN z <= -1 THEN ts END) OVER {frame(10**6)}) / 86400, 365)"
+DAILY["d_days_since_near"] = capped(f"(ts - max(CASE WHEN z < -0.5 THEN ts END) OVER {frame(10**6)}) / 86400", 365)
+DAILY["d_days_since_beyond"] = capped(f"(ts - max(CASE WHEN z <= -1 THEN ts END) OVER {frame(10**6)}) / 86400", 365)
 DAILY["d_missing_frac_7d"] = f"avg(CAST(z IS NULL AS INT)) OVER {frame(7)}"
 T.block("zday", """
 SELECT symbol, ts, CASE WHEN dev IS NOT NULL THEN greatest(least(dev, 1), -1) / theta END AS z
@@ -184,7 +189,7 @@ def e16m(spark, sf):
 T.block("dev_raw", "SELECT * FROM dev", ["dev"])
 T.block("escalation", """
 WITH dev AS (
-  SELECT symbol, ts, greatest(least(dev, 1), -1) AS dev, greatest(least(dev_obs, 1), -1) AS dev_obs FROM dev_raw
+  SELECT symbol, ts, CASE WHEN dev IS NOT NULL THEN greatest(least(dev, 1), -1) END AS dev, CASE WHEN dev_obs IS NOT NULL THEN greatest(least(dev_obs, 1), -1) END AS dev_obs FROM dev_raw
 ), hist AS (
   SELECT *, (t1 - t0) / 3600 + 1 AS dur, severity IN ('major', 'collapse') AS sev, count(*) OVER p AS n,
     coalesce(count(*) FILTER (severity IN ('major', 'collapse')) OVER p, 0) AS n_sev,
@@ -300,13 +305,3 @@ SELECT seed_id, cand, tau, (k + 0.5) / (n + 10) AS follow_rate, (ks + 0.5) / (ns
 @query("j22_follow_share", "SELECT seed_id, cand, round(follow_rate, 6) AS follow_rate, round(codepeg_share, 6) AS codepeg_share FROM follow", ["follow"])
 def j22(spark, sf):
     return rounded(B.follow(T.pairs(spark, sf), T.clean_episodes(spark, sf)), ["seed_id", "cand", "follow_rate", "codepeg_share"])
-
-
-@query("j21_pair_correlation", """
-SELECT seed_id, cand, round(CASE WHEN n >= 60 AND sx > 0 AND sy > 0 THEN c END, 6) AS dev_corr_30d
-FROM pairs LEFT JOIN (
-  SELECT seed, tau, cand, count(*) AS n, stddev_pop(x.z) AS sx, stddev_pop(y.z) AS sy, corr(x.z, y.z) AS c
-  FROM (SELECT DISTINCT seed, tau, cand FROM pairs) p JOIN z x ON x.symbol = seed AND x.ts BETWEEN tau - 719 * 3600 AND tau
-  JOIN z y ON y.symbol = cand AND y.ts = x.ts WHERE x.z IS NOT NULL AND y.z IS NOT NULL GROUP BY ALL) USING (seed, tau, cand)""", ["pairs", "z"])
-def j21(spark, sf):
-    return rounded(B.pair_corr(T.pairs(spark, sf), T.z(spark, sf), least=60), ["seed_id", "cand", "dev_corr_30d"])
