@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +79,13 @@ def drop_collinear(train: DataFrame, cols: Sequence[str], limit: float = 0.995)
     return [c for c, kept in zip(live, open_, strict=True) if kept]
 
 
+def id_encoder(train: DataFrame, column: str, out: str = "id_vector") -> PipelineModel:
+    """One place for each value of the training rows, in order, and one for values they lack: sparse vectors."""
+    index = StringIndexer(inputCol=column, outputCol=f"_{out}_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"_{out}_index"], outputCols=[out], dropLast=False, handleInvalid="error")
+    return Pipeline(stages=[index, hot]).fit(train)
+
+
 # ------------------------------------------------------------------------------------------------ learners
 def logistic(train: DataFrame, cols: Sequence[str], y: str, C: float = 1.0) -> Callable[[DataFrame], DataFrame]:
     """L2 logistic regression on standardised columns. The penalty per row is 1 / (C n)."""
@@ -94,48 +102,6 @@ def logistic(train: DataFrame, cols: Sequence[str], y: str, C: float = 1.0) -> C
     return score
 
 
-def trees(train: DataFrame, valid: DataFrame, cols: Sequence[str], y: str, seeds: Sequence[int], rounds: int = 100, every: int = 10,
-          depth: int = 5, leaf: int = 20) -> Callable[[DataFrame], DataFrame]:
-    """Boosted trees: per seed the number of rounds with the best validation average precision, scores averaged.
-    Spark's trees are not a histogram leaf-wise booster and take no missing values, so columns must be prepared."""
-    assemble = VectorAssembler(inputCols=list(cols), outputCol="features")
-    tr = cut(assemble.transform(train).select("features", F.col(y).cast("double").alias(y)), "trees_train")
-    va = cut(assemble.transform(valid).select("features", F.col(y).cast("double").alias(y)), "trees_valid")
-    chosen = []
-    for seed in seeds:
-        gbt = GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=depth, stepSize=0.05, minInstancesPerNode=leaf, subsamplingRate=0.8, seed=seed)
-        model = gbt.fit(tr)
-        parts = list(zip(model.trees, model.treeWeights, strict=True))
-        steps = sorted({*range(every, len(parts) + 1, every), len(parts)})
-        prefixes = F.explode(F.array(*[F.struct(F.lit(s).alias("round"), _margin(s).alias("score")) for s in steps])).alias("p")
-        staged = _with_trees(va, parts).select(y, prefixes).select(y, "p.*")
-        best = average_precision(staged, ["round"], y).orderBy(F.desc("ap"), "round").first()
-        chosen.append(parts[: best["round"] if best else len(parts)])
-
-    def score(df: DataFrame) -> DataFrame:
-        out = assemble.transform(df).withColumn("score", F.lit(0.0))
-        for parts in chosen:
-            out = _with_trees(out, parts)
-            out = out.withColumn("score", F.col("score") + (1.0 / (1.0 + F.exp(-2.0 * _margin(len(parts))))) / len(chosen)).drop("_trees")
-        return out.drop("features")
-
-    score.rounds = [len(p) for p in chosen]
-    return score
-
-
-def _with_trees(df: DataFrame, parts) -> DataFrame:
-    names = []
-    for i, (tree, weight) in enumerate(parts):
-        tree = tree.copy().setPredictionCol(f"_t{i}").setFeaturesCol("features")
-        df = tree.transform(df).withColumn(f"_t{i}", F.col(f"_t{i}") * weight)
-        names.append(f"_t{i}")
-    return df.withColumn("_trees", F.array(*names)).drop(*names)
-
-
-def _margin(first: int) -> Column:
-    return F.aggregate(F.slice("_trees", 1, first), F.lit(0.0), lambda a, x: a + x)
-
-
 # Feature sets of the model ladder, as column-name predicates.
 def feature_set(name: str, price: Sequence[str], exposure: Sequence[str]) -> list[str]:
     dynamic = [c for c in exposure if c.startswith("dlog_") or c.endswith("_to_collateral")]
@@ -178,6 +144,13 @@ def _by_fold(rows: DataFrame, group: str, fold: Callable[[DataFrame, str], DataF
     return spark.read.parquet(folder).drop("fold")
 
 
+def id_set(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str], ids: str) -> tuple[list[DataFrame], list[str]]:
+    """Prepared numeric columns with the id vector beside them."""
+    tables, names = prepare(train, others, cols)
+    encoder = id_encoder(tables[0], ids)
+    return [encoder.transform(t) for t in tables], [*names, "id_vector"]
+
+
 def leave_one_out(df: DataFrame, group: str, cols: Sequence[str], y: str, threads: int = 4) -> DataFrame:
     """Scores every fold from a model of the other folds."""
     return _by_fold(df, group, lambda rows, v: fit_or_mean(rows.filter(F.col(group) != v), rows.filter(F.col(group) == v), cols, y), threads)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pegwatch.operators import features as X
 from pegwatch.operators import models as L
+from pegwatch.operators import trees as TR
 from pegwatch.plans import standins as T
 from pegwatch.plans.q_features import rounded
 from pegwatch.plans.q_graph import links
@@ -63,10 +65,36 @@ def i2(spark, sf):
 
 @query("i3_trees")
 def i3(spark, sf):
+    """Two leaf sizes and seeds over 20 rounds; the operator's defaults are four, five and 300."""
     d = T.onset(spark, sf).filter("y24 is not null")
     (tr, va, te), names = L.prepare(d.filter("split = 'train'"), [d.filter("split = 'valid'"), d.filter("split = 'test'")], P)
-    score = L.trees(tr, va, names, "y24", seeds=(0, 1), rounds=12, every=4, depth=3)
-    return rounded(score(te), ["symbol", "ts", "y24", "score"])
+    score = TR.boosted(tr, va, names, "y24", seeds=(0, 1), leaves=(20, 50), rounds=20, every=10, depth=3)
+    return rounded(score(te, ["symbol", "ts", "y24"]), ["symbol", "ts", "y24", "score"])
+
+
+@query("b10_id_one_hots", """
+SELECT o.symbol, ts, coalesce(k, (SELECT count(DISTINCT symbol) FROM onset WHERE split = 'train')) AS slot, CAST(1 AS DOUBLE) AS value
+FROM onset o LEFT JOIN (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS k FROM (SELECT DISTINCT symbol FROM onset WHERE split = 'train')) s ON s.symbol = o.symbol""", ["onset"])
+def b10i(spark, sf):
+    """The non-zero entries of the id vectors; assets that training lacks share the last place."""
+    d = T.onset(spark, sf)
+    hot = vector_to_array(F.col("id_vector"))
+    rows = L.id_encoder(d.filter("split = 'train'"), "symbol").transform(d).select("symbol", "ts", F.posexplode(hot).alias("slot", "value")).filter("value <> 0")
+    return rows.withColumn("slot", F.col("slot").cast("bigint"))
+
+
+@query("i2_i4_fit_equations", """
+SELECT model, count(*) AS rows_fit, CAST(sum(y24) AS BIGINT) AS positives, CAST(sum(y24) AS BIGINT) AS expected
+FROM onset, (SELECT unnest(['P', 'PE', 'P_id']) AS model) WHERE split = 'train' AND y24 IS NOT NULL GROUP BY model""", ["onset"])
+def i24(spark, sf):
+    """A logistic model with a free intercept expects as many positives as it was trained on."""
+    tr = T.onset(spark, sf).filter("y24 is not null and split = 'train'")
+    out = None
+    for name in ("P", "PE", "P_id"):
+        (t,), cols = L.id_set(tr, [], P, "symbol") if name == "P_id" else L.prepare(tr, [], L.feature_set(name, P, E))
+        one = L.logistic(t, cols, "y24")(t).agg(F.lit(name).alias("model"), F.count("*").alias("rows_fit"), F.sum(F.col("y24").cast("bigint")).alias("positives"), F.round(F.sum("score")).cast("bigint").alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("i4_i6_feature_sets")
