@@ -6,13 +6,15 @@ fixed rule that gives the corpus spelling errors of known shape).
 
 Method: a word is the binary vector of its letters' occurrences (the second "e" is a place of its own). One replaced letter
 changes two places, one inserted or deleted letter changes one, so near words have Hamming distance two at most. The places
-are dealt into ``PARTS`` parts; vectors of one length at distance two agree exactly on all but two parts, vectors of neighbouring
-lengths at distance one on all but one. Each choice of the agreeing parts is a signature, near words share one at least, and
-an equi-join of the signatures followed by the edit distance finds exactly the near pairs.
+are dealt into parts; of vectors of one length at distance two one of three parts agrees exactly, of vectors of
+neighbouring lengths at distance one one of two parts. Which part, its content, the length and one half of the word (near words
+share a half) are a signature; near words share one at least, and an equi-join of the signatures followed by the edit distance
+finds exactly the near pairs.
 
-A signature that more than ``CROWD`` words share is refined before the join: by every place of the word and the word without that
-letter, on which near words agree for one place at least. Such a key is shared by no more words than there are letters (times
-the length, where a letter was inserted), so no group of pairs grows with the data, and nothing is dropped.
+A signature that more than ``CROWD`` words share is refined before the join by every place of the word and the word without it.
+Such a key is shared by no more words than there are letters (times the length, where a letter was inserted), so no group of
+pairs grows with the data, and nothing is dropped. Words of a crowded signature are counted by partial sums; what they are
+joined with is one row for each signature.
 
 A word's form is its near word of the largest count (ties: smallest in code-point order) where that count is ten times its own or more;
 its root is what its forms lead to. Counts grow tenfold a step, so the path is short and is followed by doubling.
@@ -24,7 +26,6 @@ are not read.
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from pegwatch.session import cut
 
 LEAST, OFTEN, EVERY, TIMES = 7, 2, 31, 10
-PARTS, CROWD = 6, 64
+PARTS, CROWD = 3, 64
+FREQUENT = "esiantrolducmpgvhfbqyxjkwz"  # neighbours in this order lie in different parts
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SAME, SHORTER, LONGER = 0, 1, 2
 
@@ -58,39 +60,55 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """word, n, sig, role: what a word contributes for partners of its own length, longer and shorter ones."""
+    """word, n, key, role: what a word contributes for partners of its own length, longer and shorter ones."""
     letters = words.withColumn("letters", F.array_sort(F.filter(F.split("word", ""), lambda c: c != "")))
-    places = letters.withColumn("places", F.transform("letters", lambda c, i: F.xxhash64(c, i - F.array_position("letters", c))))
 
-    def part(p: int) -> Column:
-        return F.xxhash64(F.filter("places", lambda x: F.pmod(x, F.lit(PARTS)) == p)).alias(f"p{p}")
+    def place(c: Column, i: Column) -> Column:
+        again = i - F.array_position("letters", c) + 1
+        rank = F.instr(F.lit(FREQUENT), c)
+        return F.struct((F.when(rank > 0, rank).otherwise(F.ascii(c)) + again).alias("turn"), F.xxhash64(c, again).alias("h"))
 
-    parts = places.select("word", "n", F.length("word").alias("size"), *map(part, range(PARTS)))
+    placed = letters.withColumn("places", F.transform("letters", place))
 
-    def chosen(agreeing: int, size: Column, role: int) -> list[Column]:
-        return [F.struct(F.xxhash64(F.lit(agreeing), size, F.lit(k), *(f"p{p}" for p in some)).alias("sig"), F.lit(role).alias("role"))
-                for k, some in enumerate(combinations(range(PARTS), agreeing))]
+    def part(p: int, of: int) -> Column:
+        return F.xxhash64(F.transform(F.filter("places", lambda x: F.pmod(x["turn"], F.lit(of)) == p), lambda x: x["h"])).alias(f"p{of}{p}")
+
+    parts = placed.select("word", "n", F.length("word").alias("size"), *(part(p, of) for of in (PARTS, PARTS - 1) for p in range(of)))
+
+    def chosen(of: int, size: Column, gap: int, role: int) -> list[Column]:
+        """Each part with each half of the word; a longer word's halves lie beside the letter that its partner lacks."""
+        half = F.floor(size / 2).cast("int")
+        one, two = F.substring("word", F.lit(1), half), F.substring("word", half + gap + 1, F.length("word"))
+        return [F.struct(F.xxhash64(F.lit(10 * of + p), size, f"p{of}{p}", F.lit(k), half_word).alias("key"), F.lit(role).cast("byte").alias("role"))
+                for p in range(of) for k, half_word in enumerate((one, two))]
 
     size = F.col("size")
-    every = chosen(PARTS - 2, size, SAME) + chosen(PARTS - 1, size, SHORTER) + chosen(PARTS - 1, size - 1, LONGER)
-    return parts.select("word", "n", F.explode(F.array(*every)).alias("s")).select("word", "n", "s.sig", "s.role")
+    every = chosen(PARTS, size, 0, SAME) + chosen(PARTS - 1, size, 0, SHORTER) + chosen(PARTS - 1, size - 1, 1, LONGER)
+    return parts.select("word", "n", F.explode(F.array(*every)).alias("s")).select("word", "n", "s.key", "s.role")
+
+
+def holes() -> Column:
+    """Keys of the word without each of its letters; of a shorter word its own."""
+    where = F.when(F.col("role") == SAME, F.lit(1)).otherwise(F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.xxhash64("key", i * where, without(F.col("word"), i)))
+    return F.when(F.col("role") == SHORTER, F.array(F.xxhash64("key", F.lit(0), "word"))).otherwise(F.array_distinct(each))
 
 
 def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """a, na, b, nb: each pair of words one inserted, deleted or replaced code point apart, once."""
-    signed = cut(signatures(words), "spelling-signatures")
-    kinds = F.count_if(F.col("role") == SAME), F.count_if(F.col("role") == SHORTER), F.count_if(F.col("role") == LONGER)
-    sizes = signed.groupBy("sig").agg(*(k.alias(c) for k, c in zip(kinds, ("same", "shorter", "longer"), strict=True)))
-    sizes = sizes.where("same > 1 or shorter > 0 and longer > 0").select("sig", (F.col("same") + F.col("shorter") + F.col("longer")).alias("size"))
-    met = signed.join(sizes, "sig")
-    holes = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.xxhash64("sig", F.when(F.col("role") == SAME, i).otherwise(-1), without(F.col("word"), i)))
-    refined = F.when(F.col("role") == SHORTER, F.array(F.xxhash64("sig", F.lit(-1), "word"))).otherwise(F.array_distinct(holes))
-    keyed = met.select("word", "n", "role", F.explode(F.when(F.col("size") <= crowd, F.array("sig")).otherwise(refined)).alias("key"))
+    keyed = signatures(words)
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd)
+    judged = keyed.join(crowded, "key", "left")
+    refined = judged.where("size is not null").select("word", "n", "role", F.explode(holes()).alias("key"))
+    return met(judged.where("size is null")).unionByName(met(refined)).distinct()
+
+
+def met(keyed: DataFrame) -> DataFrame:
+    """The near pairs among words with the same key."""
     one = keyed.where(F.col("role") != LONGER).select("key", F.col("role").alias("ra"), F.col("word").alias("a"), F.col("n").alias("na"))
     two = keyed.where(F.col("role") != SHORTER).select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("ra") == SHORTER) | (F.col("a") < F.col("b"))
-    found = one.join(two, "key").where(near & (F.levenshtein("a", "b", 1) == 1))
-    return found.select("a", "na", "b", "nb").distinct()
+    first = (F.col("ra") == SHORTER) | (F.col("a") < F.col("b"))
+    return one.join(two, "key").where(first & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", times: int = TIMES) -> DataFrame:
