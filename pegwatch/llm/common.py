@@ -24,10 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES = 8 << 20  # of an Arrow batch; every batch in flight exists in the JVM and in a worker
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds the bytes of Arrow batches
+    of long texts (a setting of the session; a smaller one stays)."""
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(most).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(most, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -64,37 +69,55 @@ def row_key(text: Column) -> Column:
 def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most_bytes`` of text each (one row at least), so that a task's Python memory does
     not depend on how many long documents meet in one batch."""
+    for part, _ in sliced(batch, batch.column(text), most_bytes):
+        yield part
+
+
+def sliced(batch: pa.RecordBatch, texts: pa.Array, most_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The same with the texts beside the rows, which may hold them inside a struct."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most_bytes:
-            yield batch.slice(start, i - start)
+            yield batch.slice(start, i - start), texts.slice(start, i - start)
             start, held = i, 0
         held += size
     if start < len(sizes):
-        yield batch.slice(start)
+        yield batch.slice(start), texts.slice(start)
 
 
 class Bounded(dict):
-    """A worker's cache of at most ``most`` answers in two generations: when the younger half is full it becomes the
-    older one, and what is still asked for moves back. Memory is bounded and answers never depend on what it holds."""
+    """A worker's cache of answers of about ``most`` bytes in two generations: when the younger half is full it becomes the
+    older one, and what is still asked for moves back. Memory is bounded by the size of keys and answers, not by
+    their number (a key too long to keep is answered and forgotten), and answers never depend on what it holds."""
+
+    ENTRY = 200  # bytes of an entry besides the characters and bytes that it holds
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.half, self.older = make, most // 2, {}
+        self.make, self.half, self.older, self.held = make, most // 2, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.half:
+        size = self.ENTRY + (len(key) if isinstance(key, str) else 0) + (len(value) if isinstance(value, bytes) else 0)
+        if size > self.half >> 6:
+            return value
+        if self.held + size > self.half:
             self.older = dict(self)
             self.clear()
+            self.held = 0
+        self.held += size
         self[key] = value
         return value
 
+    def rest(self) -> None:
+        """Between two tasks only the younger half is kept."""
+        self.older = {}
+
 
 _WORKER: dict[tuple, object] = {}
 

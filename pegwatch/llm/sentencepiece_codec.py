@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pegwatch.llm.common import Bounded, keyed_text, per_worker, slices
 
 SPACE = "▁"
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 400_000
+CACHED_BYTES, PAIR_BYTES = 64 << 20, 32 << 20
 SCHEMA = "doc_id {id}, ids array<int>, decoded string"
 
 
@@ -61,14 +60,14 @@ class PieceModel:
         self.line_cuts = self.space_cuts and not any("\n" in s for s in self.piece_id)
         self.chunks = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.line_cuts else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.shared = {-s for s, n in Counter(self.score.values()).items() if n > 1}  # merge times of several pieces
-        self.spines = Bounded(self._spines, 4 * len(self.piece))
+        self.spines = Bounded(self._spines, 4 * Bounded.ENTRY * len(self.piece))
         self.automaton = ahocorasick.Automaton()
         for s, i in self.piece_id.items():
             if self.merged(s) == [s]:  # other pieces never come out of an encoding
                 self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.alone = Bounded(self._pair_fits, CACHED_PAIRS)
-        self.words = Bounded(self._word, CACHED_WORDS)
+        self.alone = Bounded(self._pair_fits, PAIR_BYTES)
+        self.words = Bounded(self._word, CACHED_BYTES)
 
     def merged(self, text: str) -> list[str]:
         """The definition, for texts of two pieces at most: join the best-scored neighbours, leftmost on ties."""
@@ -188,5 +187,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([model.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"])
+        model.words.rest()
+        model.alone.rest()
 
     return rows.mapInArrow(run, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()))

@@ -25,7 +25,7 @@ from pegwatch.llm.common import Bounded, keyed_text, per_worker, slices
 
 SAMPLE_ROWS = 2_000
 TABLE_WORDS = 65_536
-CACHED_WORDS = 600_000
+CACHED_BYTES = 96 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -72,7 +72,7 @@ class TwoTier(dict):
 
     def __init__(self, words: list[str], lengths: np.ndarray, count):
         super().__init__(zip(words, lengths.tolist(), strict=True))
-        self.cache = Bounded(count, CACHED_WORDS)
+        self.cache = Bounded(count, CACHED_BYTES)
 
     def __missing__(self, word: str) -> int:
         return self.cache[word]
@@ -93,11 +93,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         return TwoTier(blob.split("\n") if blob else [], np.frombuffer(sizes, "<u2"), word_counter(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = per_worker("counts", (tokenizer_path, made), tiers).__getitem__
+        counts = per_worker("counts", (tokenizer_path, made), tiers)
+        lookup = counts.__getitem__
         for batch in batches:
             for part in slices(batch):
                 n = [sum(map(lookup, words_of(t))) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        counts.cache.rest()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pegwatch.llm.common import Bounded, keyed_text, per_worker, row_key, slices
 
 FRAME_BYTES = 256 << 10
-CACHED_WORDS = 1_200_000
+CACHED_BYTES = 256 << 20
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8"), ("frame", "<u4")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_frames int, n_bytes long"
@@ -67,21 +67,28 @@ class Encoder:
         if tok.normalizer is not None or "ByteLevel" not in kind or "use_regex=True" not in kind or "add_prefix_space=False" not in kind:
             raise ValueError("only byte-level tokenizers with their usual pattern can be cut at spaces")
         self.tok, self.letters = tok, byte_letters()
-        self.words = Bounded(self._word, CACHED_WORDS)
+        self.space, self.newline = self.letters[32], self._whole("\n")
+        self.marks = {c: self._whole(c) for c in self.closing}
+        self.words = Bounded(self._word, CACHED_BYTES)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str, before: str = "") -> bytes:
+        """Letters only are one pre-token: straight to the model. ASCII letters stand for themselves."""
+        written = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.tok.model.tokenize(before + written)]).tobytes()
+
     def _word(self, word: str) -> bytes:
-        if word[:1] == "\n":
-            return self._whole(word)
-        if not self.foreign.search(word):
-            if word.isalpha():  # one pre-token: straight to the model
-                tokens = self.tok.model.tokenize(self.letters[32] + "".join(map(self.letters.__getitem__, word.encode())))
-                return array("I", [t.id for t in tokens]).tobytes()
-            if word[-1:] in self.closing and word[:-1].isalpha():
-                return self.words[word[:-1]] + self._whole(word[-1])
-        return self._whole(" " + word)
+        broken = word[:1] == "\n"
+        body = word[1:] if broken else word
+        if body and not self.foreign.search(body):
+            if body.isalpha():
+                return self.newline + self._letters(body) if broken else self._letters(body, self.space)
+            mark = self.marks.get(body[-1])
+            if mark is not None and body[:-1].isalpha():
+                return self.words[word[:-1]] + mark
+        return self._whole(word if broken else " " + word)
 
     def __call__(self, text: str) -> bytes:
         if not text:
