@@ -196,36 +196,46 @@ def vault_snapshots(history: DataFrame, vaults: DataFrame, prices: DataFrame, ma
     return asof_grid(finest(rows, keys), keys, max_stale, start, step, end).filter("value > 0").select("t", *keys, "value")
 
 
+def insolvency_runs(markets: DataFrame, min_debt: float) -> DataFrame:
+    """market_id, t, began, supply_then, debt_then: the snapshots at which the last known collateral covers less than half of a
+    debt above ``min_debt``, each with the start of its unbroken run of such snapshots and the levels there."""
+    by_time = Window.partitionBy("market_id").orderBy("t")
+    thin = F.col("collateralAssetsUsd") < F.col("borrowAssetsUsd") / 2
+    placed = markets.select(
+        "market_id", "t", "supplyAssetsUsd", "borrowAssetsUsd", F.row_number().over(by_time).alias("place"),
+        F.last(thin, ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)).alias("thin"))
+    insolvent = placed.filter(F.col("thin") & (F.col("borrowAssetsUsd") > min_debt))
+    numbered = insolvent.withColumn("run", F.col("place") - F.row_number().over(by_time))  # the same along a run
+    runs = numbered.groupBy("market_id", "run").agg(
+        F.min("t").alias("began"), F.min_by("supplyAssetsUsd", "t").alias("supply_then"), F.min_by("borrowAssetsUsd", "t").alias("debt_then"))
+    return numbered.select("market_id", "run", "t").join(runs, ["market_id", "run"]).drop("run")
+
+
+def unverifiable_snapshots(markets: DataFrame, big_supply: float, patience: int) -> DataFrame:
+    """market_id, t: snapshots of markets that have been large for ``patience``, never showed collateral and were nearly always lent out."""
+    so_far = Window.partitionBy("market_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    large = F.col("supplyAssetsUsd") > big_supply
+    drained = large & (F.col("borrowAssetsUsd") >= F.col("supplyAssetsUsd") * 0.999)
+    tally = markets.select(
+        "market_id", "t", F.min(F.when(large, F.col("t"))).over(so_far).alias("large_since"), F.count(F.when(large, 1)).over(so_far).alias("large"),
+        F.count(F.when(drained, 1)).over(so_far).alias("drained"), F.count(F.when(F.col("collateralAssetsUsd") > 0, 1)).over(so_far).alias("backed"))
+    return tally.filter((F.col("t") - F.col("large_since") >= patience) & (F.col("backed") == 0) & (F.col("drained") >= 0.9 * F.col("large"))).select("market_id", "t")
+
+
 def clean_markets(mm: DataFrame, min_debt: float = 1e5, hold: int = 48 * HOUR, big_supply: float = 1e6,
                   unverifiable: int = 2 * DAY) -> DataFrame:
-    """Bad-debt freeze and unverifiable markets; every decision at t uses snapshots up to t. Adds ``flag``, ``frozen_from``
-    and the raw borrow."""
-    w = Window.partitionBy("market_id").orderBy("t")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    col, bor, sup = F.col("collateralAssetsUsd"), F.col("borrowAssetsUsd"), F.col("supplyAssetsUsd")
-    state = F.when(col.isNotNull() & bor.isNotNull(), (col < 0.5 * bor).cast("int"))
-    rows = mm.withColumn("_state", F.last(state, True).over(past)).withColumn(
-        "_ins", F.coalesce((F.col("_state") == 1) & (bor > min_debt), F.lit(False)))
-    opens = F.col("_ins") & ~F.coalesce(F.lag("_ins").over(w), F.lit(False))
-    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(past))
-    start = F.struct(F.col("t").alias("t"), sup.alias("s"), bor.alias("b"))
-    rows = rows.withColumn("_first", F.last(F.when(opens, start), True).over(past))
-    frozen = F.col("_ins") & (F.col("t") - F.col("_first.t") >= hold)
-    big = sup > big_supply
-    count = lambda flag: F.sum(F.coalesce(flag.cast("int"), F.lit(0))).over(past)
-    c_big = count(big)
-    unver = (
-        (F.col("t") - F.min(F.when(big, F.col("t"))).over(past) >= unverifiable) & (count(col > 0) == 0)
-        & (c_big > 0) & (count(big & (bor >= 0.999 * sup)) >= 0.9 * c_big)
-    )
-    rows = rows.withColumn("_frozen", frozen).withColumn("_unver", F.coalesce(unver, F.lit(False)))
-    kept = lambda c, first: F.when(~F.col("_unver"), F.when(F.col("_frozen"), F.least(c, first)).otherwise(c))
-    return rows.select(
+    """Market snapshots with their verdict. A debt insolvent for ``hold`` is frozen at no more than its level when that began; what
+    can't be verified is unknown. Every verdict at t uses snapshots up to t. Adds ``flag``, ``frozen_from`` and the raw borrow."""
+    frozen = insolvency_runs(mm, min_debt).filter(F.col("t") - F.col("began") >= hold)
+    doubtful = unverifiable_snapshots(mm, big_supply, unverifiable).withColumn("doubtful", F.lit(True))
+    judged = mm.join(frozen, ["market_id", "t"], "left").join(doubtful, ["market_id", "t"], "left")
+    known = F.col("doubtful").isNull()
+    return judged.select(
         "t", "market_id", "collateral", "loan", "lltv", "oracle_class", "collateralAssets",
-        kept(sup, F.col("_first.s")).alias("supplyAssetsUsd"), kept(bor, F.col("_first.b")).alias("borrowAssetsUsd"),
-        F.when(~F.col("_unver"), col).alias("collateralAssetsUsd"), bor.alias("raw_borrow"),
-        F.when(F.col("_unver"), "unverifiable").when(F.col("_frozen"), "bad_debt_freeze").otherwise("").alias("flag"),
-        F.when(F.col("_frozen"), F.col("_first.t")).alias("frozen_from"))
+        F.when(known, F.least("supplyAssetsUsd", "supply_then")).alias("supplyAssetsUsd"),  # least() passes over what no freeze limits
+        F.when(known, F.least("borrowAssetsUsd", "debt_then")).alias("borrowAssetsUsd"),
+        F.when(known, F.col("collateralAssetsUsd")).alias("collateralAssetsUsd"), F.col("borrowAssetsUsd").alias("raw_borrow"),
+        F.when(~known, "unverifiable").when(F.col("began").isNotNull(), "bad_debt_freeze").otherwise("").alias("flag"), F.col("began").alias("frozen_from"))
 
 
 def market_flags(mm: DataFrame) -> DataFrame:
@@ -234,18 +244,26 @@ def market_flags(mm: DataFrame) -> DataFrame:
         F.max("raw_borrow").alias("max_raw_borrow"), F.max("borrowAssetsUsd").alias("max_kept_borrow"))
 
 
+def flagged_allocations(va: DataFrame, mm: DataFrame) -> DataFrame:
+    """vault, market_id, t, flag, allowed, excess: allocations to flagged markets and what of each still counts: nothing where the
+    market can't be verified, no more than at the start of a freeze."""
+    verdicts = mm.filter("flag <> ''").select("market_id", "t", "flag", "frozen_from")
+    before = va.select("vault", "market_id", F.col("t").alias("frozen_from"), F.col("value").alias("value_then"))
+    met = va.join(verdicts, ["market_id", "t"]).join(before, ["vault", "market_id", "frozen_from"], "left")
+    allowed = F.when(F.col("flag") == "unverifiable", 0.0).otherwise(F.least("value", "value_then"))
+    return met.select("vault", "market_id", "t", "flag", allowed.alias("allowed"), (F.col("value") - allowed).alias("excess"))
+
+
 def clean_vaults(va: DataFrame, mm: DataFrame) -> DataFrame:
-    """Holds allocations to frozen markets at their level when the freeze began, zeroes those to unverifiable ones and
-    takes the excess off the vault's total."""
-    hit = mm.filter("flag <> ''").select("market_id", "t", "flag", F.col("frozen_from").alias("t0"))
-    base = va.select("vault", "market_id", F.col("t").alias("t0"), F.col("value").alias("_v0"))
-    rows = va.join(hit, ["market_id", "t"], "left").join(base, ["vault", "market_id", "t0"], "left")
-    kept = F.when(F.col("flag") == "unverifiable", 0.0).when(F.col("flag").isNotNull(), F.least("value", "_v0")).otherwise(F.col("value"))
-    rows = rows.withColumn("_kept", kept)
-    excess = rows.filter("flag is not null").groupBy("vault", "t").agg(F.sum(F.col("value") - F.col("_kept")).alias("_x"))
-    rows = rows.join(excess, ["vault", "t"], "left")
-    value = F.when(F.col("market_id") == "", F.col("_kept") - F.coalesce("_x", F.lit(0.0))).otherwise(F.col("_kept"))
-    return rows.select("t", "vault", "market_id", "field", value.alias("value"), F.coalesce("flag", F.lit("")).alias("flag")).filter("value > 0")
+    """Allocations as far as they count, and the vaults' totals (rows without a market) less the excess of their flagged allocations."""
+    flagged = flagged_allocations(va, mm)
+    excess = flagged.groupBy("vault", "t").agg(F.sum("excess").alias("excess"))
+    is_total = F.coalesce(F.col("market_id") == "", F.lit(False))
+    totals = va.filter(is_total).join(excess, ["vault", "t"], "left").select(
+        "t", "vault", "market_id", "field", (F.col("value") - F.coalesce("excess", F.lit(0.0))).alias("value"), F.lit("").alias("flag"))
+    parts = va.filter(~is_total).join(flagged.drop("excess"), ["vault", "market_id", "t"], "left").select(
+        "t", "vault", "market_id", "field", F.coalesce("allowed", "value").alias("value"), F.coalesce("flag", F.lit("")).alias("flag"))
+    return totals.unionByName(parts).filter("value > 0")
 
 
 def emode_ltv(reserves: DataFrame, categories: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def token_dimension(assets: DataFrame, quotes: DataFrame, onchain: DataFrame, me
     )
 
 
+def require_decimals(tokens: DataFrame) -> DataFrame:
+    """The dimension with an assertion in the plan: the job that reads a token without decimals fails, naming it. No pass of its own."""
+    lacking = F.raise_error(F.concat(F.lit("no decimals for token "), F.coalesce("symbol", "address", F.lit("?"))))
+    return tokens.withColumn("decimals", F.coalesce("decimals", lacking.cast("int"))).drop("missing")
+
+
 def priced_transfers(transfers: DataFrame, tokens: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Transfers of listed tokens in the time range, no mints or burns, with a readable amount."""
     zero = F.lit(ZERO_ADDRESS)
@@ -96,6 +102,26 @@ def hourly_prices(trades: DataFrame, minimums: Mapping[str, float]) -> DataFrame
     return stats.join(quartiles, keys).withColumn("hour", iso_hour("ts")).withColumn("source", F.lit("trades"))
 
 
+SKETCH_SIZE = 400  # of a quantile sketch: rank error about 0.7 percent at 99 percent confidence, exact up to as many values
+
+
+def price_sketches(trades: DataFrame, minimums: Mapping[str, float], size: int = SKETCH_SIZE) -> DataFrame:
+    """A mergeable quantile sketch of the trade prices per (asset, quote, hour), bounded in size, combined map-side: the approximate
+    form of ``hourly_prices`` without ranges of values."""
+    least = F.create_map(*[x for k, v in minimums.items() for x in (F.lit(k), F.lit(float(v)))])
+    rows = trades.filter((F.col("quote_amount") >= F.try_element_at(least, F.col("peg"))) & (F.col("asset_amount") > 0))
+    price = F.col("quote_amount") / F.col("asset_amount")
+    return rows.groupBy("symbol", "quote", hour_of().alias("ts")).agg(F.kll_sketch_agg_double(price, size).alias("sketch"))
+
+
+def merged_quartiles(sketches: DataFrame, step: int = 24 * HOUR) -> DataFrame:
+    """Hourly sketches merged to longer spans without the trades: count and quartiles per (asset, quote, span)."""
+    span = (F.floor(F.col("ts") / step) * step).cast("bigint")
+    merged = sketches.groupBy("symbol", "quote", span.alias("ts")).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    q = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+    return merged.select("symbol", "quote", "ts", F.kll_sketch_get_n_double("sketch").alias("n_trades"), *q)
+
+
 def collapse_quotes(hourly: DataFrame) -> DataFrame:
     """One price per asset-hour: the median across quote tokens of the hourly medians and upper quartiles. Tables
     that already have one price per asset-hour pass through with high = price."""

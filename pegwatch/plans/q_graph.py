@@ -6,6 +6,8 @@ Markets are suppliers, vaults are customers, pools are supplier groups, tokens a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pegwatch.operators import graph as G
@@ -15,7 +17,7 @@ from pegwatch.plans.q_features import rounded, rounds
 from pegwatch.plans.q_series import r
 from pegwatch.plans.registry import block, query
 from pegwatch.rules import DAY, HOUR
-from pegwatch.session import staged
+from pegwatch.session import shared_folder, staged
 from pegwatch.sources import scans, sinks
 
 STEP, STALE, LAG = T.STEP, 40 * DAY, HOUR
@@ -525,6 +527,20 @@ def a12(spark, sf):
     return sinks.edge_counts(edges(spark, sf), 1e4)
 
 
+@query("a12_edge_sink", """
+SELECT e.etype, before, after, in_day FROM (
+  SELECT etype, count(*) AS before, count(*) FILTER (usd >= 10000 OR (usd IS NULL AND coalesce(tokens, 0) > 0)) AS after FROM edges WHERE usd IS NOT NULL OR tokens IS NOT NULL GROUP BY etype) e
+LEFT JOIN (SELECT etype, count(*) AS in_day FROM edges WHERE (usd >= 10000 OR (usd IS NULL AND tokens > 0)) AND t // 86400 = (
+  SELECT min(t // 86400) FROM edges WHERE usd >= 10000 OR (usd IS NULL AND tokens > 0)) GROUP BY etype) d USING (etype)""", ["edges"])
+def a12s(spark, sf):
+    """Writes the snapshot and reads one day of it back."""
+    path = f"{shared_folder(spark)}/tables/edges-{uuid.uuid4().hex}"
+    counts = sinks.write_edges(edges(spark, sf), path, 1e4)
+    written = spark.read.parquet(path)
+    first = written.agg(F.min("day")).scalar()
+    return counts.join(written.where(F.col("day") == first).groupBy("etype").agg(F.count("*").alias("in_day")), "etype", "left")
+
+
 @query("h2_nodes", """
 SELECT 'tok:' || symbol AS node_id, 'token' AS ntype, symbol FROM (SELECT symbol FROM pegs UNION SELECT collateral FROM markets UNION SELECT loan FROM markets UNION SELECT asset FROM vaults)
 UNION ALL SELECT node, 'market', collateral || '/' || loan FROM markets UNION ALL SELECT node, 'vault', vault FROM vaults

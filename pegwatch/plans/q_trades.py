@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pegwatch.functions import scalars as S
@@ -27,6 +29,12 @@ def a15(spark, sf):
     return T.tokens.build(spark, sf)
 
 
+@query("a15_checked_tokens", "SELECT address, symbol, role, decimals, peg FROM tokens WHERE NOT missing", ["tokens"])
+def a15c(spark, sf):
+    """Tokens with decimals pass the assertion; a plan over the others would fail."""
+    return D.require_decimals(T.tokens(spark, sf).filter("not missing"))
+
+
 @query("b1_transfer_filter", """
 SELECT address, count(*) AS transfers, round(sum(TRY_CAST(quantity AS DOUBLE)), 2) AS raw FROM transfers
 WHERE TRY_CAST(quantity AS DOUBLE) IS NOT NULL AND from_address <> '0x' || repeat('0', 40) GROUP BY address
@@ -60,6 +68,27 @@ def d4(spark, sf):
         "symbol", "quote", "unit", "hour", "n_trades", "n_parties", "volume_quote", r("vwap"), r("p25"), r("p50"), r("p75"))
 
 
+@query("d4_sketch_days", """
+SELECT symbol, quote, ts // 86400 * 86400 AS ts, count(*) AS n_trades, true AS inside
+FROM trades WHERE quote_amount >= CASE peg WHEN 'USD' THEN 1000 ELSE 0.5 END AND asset_amount > 0 GROUP BY ALL""", ["trades"])
+def d4s(spark, sf):
+    """Daily quartiles from merged hourly sketches: each lies within two percent of its rank (one row at least) of the day's prices."""
+    day = (F.floor(F.col("ts") / 86400) * 86400).cast("bigint")
+    trades = T.trades(spark, sf)
+    approx = D.merged_quartiles(D.price_sketches(trades, T.MINIMUMS))
+    least = F.create_map(*[x for k, v in T.MINIMUMS.items() for x in (F.lit(k), F.lit(float(v)))])
+    prices = trades.filter((F.col("quote_amount") >= F.try_element_at(least, F.col("peg"))) & (F.col("asset_amount") > 0)).select(
+        "symbol", "quote", day.alias("ts"), (F.col("quote_amount") / F.col("asset_amount")).alias("price"))
+    ranks = prices.join(approx, ["symbol", "quote", "ts"]).groupBy("symbol", "quote", "ts").agg(
+        F.first("n_trades").alias("n_trades"), *[F.count_if(F.col("price") < F.col(c)).alias(f"{c}_below") for c in ("p25", "p50", "p75")],
+        *[F.count_if(F.col("price") <= F.col(c)).alias(f"{c}_upto") for c in ("p25", "p50", "p75")])
+    slack = F.greatest(F.lit(1.0), F.col("n_trades") * 0.02)
+    inside = F.lit(True)
+    for c, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        inside = inside & (F.col(f"{c}_below") - slack <= F.col("n_trades") * p) & (F.col(f"{c}_upto") + slack >= F.col("n_trades") * p)
+    return ranks.select("symbol", "quote", "ts", "n_trades", inside.alias("inside"))
+
+
 @query("d5_collapse_quotes", """
 SELECT symbol, ts, round(quantile_cont(p50, 0.5), 6) AS price, round(quantile_cont(p75, 0.5), 6) AS high, min(unit) AS unit,
        CAST(sum(n_trades) AS BIGINT) AS n_trades, count(DISTINCT quote) AS n_quotes, round(sum(volume_quote), 2) AS volume_quote
@@ -74,7 +103,6 @@ def d5(spark, sf):
 SELECT year(to_timestamp(ts) AT TIME ZONE 'UTC') AS year, count(*) AS trades, round(sum(quote_amount), 2) AS volume FROM trades GROUP BY 1
 """, ["trades"])
 def a11(spark, sf):
-    import uuid
     path = f"{shared_folder(spark)}/tables/trades-{uuid.uuid4().hex}"
     sinks.write_by_year(T.trades(spark, sf), path)
     return spark.read.parquet(path).groupBy("year").agg(
@@ -100,7 +128,6 @@ def a2(spark, sf):
 
 @query("a1_csv_round_trip", "SELECT symbol, hour, ts, round(price, 4) AS price FROM prices", ["prices"])
 def a1(spark, sf):
-    import uuid
     path = f"{shared_folder(spark)}/csv/prices-{uuid.uuid4().hex}"
     sinks.write_csv(T.prices(spark, sf).select("symbol", "hour", "ts", "price"), path)
     return scans.read_csv(spark, path, schemas.PRICES, ["symbol", "hour", "ts", "price"]).select("symbol", "hour", "ts", r("price", 4))
@@ -108,13 +135,11 @@ def a1(spark, sf):
 
 @query("a7_registry_scan", "SELECT symbol, category, peg, kind, round(value, 4) AS value FROM registry WHERE peg = 'USD'", ["registry"])
 def a7(spark, sf):
-    import uuid
     path = f"{shared_folder(spark)}/json/registry-{uuid.uuid4().hex}"
     T.registry(spark, sf).select(
         "symbol", F.lit("").alias("address"), "category", "peg", (F.col("peg") == "USD").alias("in_scope"),
         F.struct("kind", "value").alias("reference")).write.json(path)
-    one = spark.read.schema(schemas.REGISTRY).json(path)
-    return one.filter("in_scope").select("symbol", "category", "peg", "reference.kind", F.round("reference.value", 4).alias("value"))
+    return scans.registry(spark, path, in_scope_only=True, multi_line=False).select("symbol", "category", "peg", "reference.kind", F.round("reference.value", 4).alias("value"))
 
 
 @query("b5_round_to_hour", """
@@ -283,6 +308,33 @@ def a13(spark, sf):
     return sinks.upsert(old, new, ["symbol"])
 
 
+@query("a13_stored_upsert", """
+SELECT symbol, status, CAST(n AS BIGINT) AS n FROM (
+  SELECT symbol, 'old' AS status, count(*) AS n FROM raw_eps WHERE symbol NOT IN (SELECT symbol FROM checks) GROUP BY symbol
+  UNION ALL SELECT symbol, status, count(*) FROM checks GROUP BY symbol, status)""", ["raw_eps", "checks"])
+def a13s(spark, sf):
+    """The same upsert through the stored table, the second write twice."""
+    path = f"{shared_folder(spark)}/tables/results-{uuid.uuid4().hex}"
+    shape = schemas.schema(symbol="string", status="string", n="bigint")
+    sinks.upsert_stored(T.raw_episodes(spark, sf).groupBy("symbol").agg(F.lit("old").alias("status"), F.count("*").alias("n")), path, ["symbol"], shape)
+    for _ in range(2):
+        sinks.upsert_stored(checks(spark, sf).groupBy("symbol", "status").agg(F.count("*").alias("n")), path, ["symbol"], shape)
+    return sinks.read_stored(spark, path, shape).select("symbol", "status", "n")
+
+
+@query("a3_a6_price_files", """
+SELECT source, symbol, count(*) AS n, round(sum(price), 4) AS total FROM prices WHERE year(to_timestamp(ts)) = 2024 GROUP BY ALL""", ["prices"])
+def a3f(spark, sf):
+    """One reader over the files of all sources, the source from the file's folder, only the folders of a year."""
+    base = f"{shared_folder(spark)}/tables/sources-{uuid.uuid4().hex}"
+    p = T.prices(spark, sf).select("symbol", "hour", "ts", "price", "source").withColumn("year", F.year(F.timestamp_seconds("ts")))
+    names = sorted(r[0] for r in p.select("source").distinct().collect())  # a handful of sources
+    for name in names:
+        p.filter(F.col("source") == name).drop("source").write.partitionBy("year").parquet(f"{base}/{name}")
+    rows = scans.price_files(spark, [f"{base}/{n}" for n in names], 0.0, first_year=2024, last_year=2024)
+    return rows.groupBy("source", "symbol").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("total"))
+
+
 @query("a14_markdown_report", """
 SELECT -2 AS sort_key, '| category | confirmed |' AS line UNION ALL SELECT -1, '|---|---|'
 UNION ALL SELECT 0, '| ' || category || ' | ' || count(*) FILTER (status = 'confirmed') || ' |' FROM checks GROUP BY category""", ["checks"])

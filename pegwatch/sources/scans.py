@@ -26,14 +26,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         else F.col(f.name) for f in df.schema.fields])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
     """A table by name or path (globs included); an empty typed one where the path does not exist."""
     reader = spark.read.format(fmt)
     try:
         if fmt == "csv":
             df = reader.option("header", True).option("enforceSchema", False).load(path)
         elif fmt == "json":
-            df = reader.option("multiLine", True).load(path)
+            df = reader.option("multiLine", multi_line).load(path)
         else:
             df = reader.load(path)
     except AnalysisException as e:
@@ -63,9 +63,25 @@ def price_scan(parts: Sequence[tuple[str, DataFrame]], min_confidence: float) ->
     return out
 
 
-def registry(spark: SparkSession, path: str, in_scope_only: bool = False, include_controls: bool = True) -> DataFrame:
-    """Asset registry from landed JSON."""
-    df = read_table(spark, path, schemas.REGISTRY, "json")
+def price_files(spark: SparkSession, paths: Sequence[str], min_confidence: float, fmt: str = "parquet", first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """Price tables of several sources in one scan: files named by their source, in folders by year or not. A row's source is its own tag or
+    the folder that its file lies in (``.../<source>/year=.../file``), taken from the file's metadata; columns that a file
+    lacks are NULL. With years given only their folders are read."""
+    known = schemas.PRICES.add("year", "integer") if "year" not in schemas.PRICES.names else schemas.PRICES
+    years = range(first_year, last_year + 1) if first_year is not None else None
+    asked = list(paths) if years is None else [f"{p}/year={y}" for p in paths for y in years]
+    df = spark.read.format(fmt).schema(T.StructType([f for f in known.fields if f.name != "year"])).option("recursiveFileLookup", True)
+    if fmt == "csv":
+        df = df.option("header", True).option("enforceSchema", False)
+    df = df.load(asked).select("*", "_metadata.file_path")
+    folder = F.regexp_extract("file_path", r"([^/]+)/(?:year=\d+/)?[^/]+$", 1)
+    df = nan_to_null(df.withColumn("source", F.coalesce("source", folder)).drop("file_path"))
+    return price_scan([("", df)], min_confidence)
+
+
+def registry(spark: SparkSession, path: str, in_scope_only: bool = False, include_controls: bool = True, multi_line: bool = True) -> DataFrame:
+    """Asset registry from landed JSON, one document a file or one a line."""
+    df = read_table(spark, path, schemas.REGISTRY, "json", multi_line)
     if in_scope_only:
         df = df.filter("in_scope")
     return df if include_controls else df.filter("coalesce(category, '') <> 'control'")
