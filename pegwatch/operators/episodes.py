@@ -259,10 +259,10 @@ def known_events(events: DataFrame, eps: DataFrame, dev: DataFrame, days: int =
 
 
 def year_by_category(eps: DataFrame) -> DataFrame:
-    """Counts by period and category with both margins."""
-    day = F.date_format(F.timestamp_seconds("t0"), "yyyy-MM-dd")
-    return eps.select(day.alias("day"), "category").cube("day", "category").agg(F.count("*").alias("episodes")).select(
-        F.coalesce("day", F.lit("total")).alias("day"), F.coalesce("category", F.lit("total")).alias("category"), "episodes")
+    """Counts by year and category with both margins."""
+    year = F.date_format(F.timestamp_seconds("t0"), "yyyy")
+    return eps.select(year.alias("year"), "category").cube("year", "category").agg(F.count("*").alias("episodes")).select(
+        F.coalesce("year", F.lit("total")).alias("year"), F.coalesce("category", F.lit("total")).alias("category"), "episodes")
 
 
 def concentration(eps: DataFrame, k: int = 5) -> DataFrame:

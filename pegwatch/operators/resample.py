@@ -197,12 +197,3 @@ def placebo_rates(actual: DataFrame, placebo: DataFrame, draws: int, y: str = "y
         "subset", "placebo_pairs", "placebo_followers", "follow_rate", rate.alias("placebo_rate"), (F.col("follow_rate") - rate).alias("diff"),
         F.try_divide(F.col("follow_rate"), rate).alias("ratio"), F.element_at("_d", 1).alias("diff_low"), F.element_at("_d", 2).alias("diff_high"),
         F.element_at("_r", 1).alias("ratio_low"), F.element_at("_r", 2).alias("ratio_high"), "share_le_0")
-
-
-def label_replicates(pairs: DataFrame, linked: Column, base: Column, relative_risk: float, replicates: int, seed: int = 0) -> DataFrame:
-    """Linked-rate gap under labels drawn at the base rate, raised by the relative risk for linked pairs."""
-    rows = pairs.select("seed_id", "cand", linked.alias("_l"), base.alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    p = F.least(F.col("_p") * F.when(F.col("_l"), relative_risk).otherwise(1.0), F.lit(1.0))
-    y = (hash_uniform(F.lit(seed), "rep", "seed_id", "cand") < p).cast("double")
-    return rows.withColumn("_y", y).groupBy("rep").agg(
-        (F.avg(F.when(F.col("_l"), F.col("_y"))) - F.avg(F.when(~F.col("_l"), F.col("_y")))).alias("gap"))

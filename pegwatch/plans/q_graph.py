@@ -209,10 +209,7 @@ def b14(spark, sf):
 
 @query("f5_a5_priority_history", "SELECT market_id, field, avail_ts, value FROM finest", ["finest"])
 def f5(spark, sf):
-    h = market_history(spark, sf).drop("avail_ts", "prio")
-    both = market_history(spark, sf).select("market_id", "ts", "field", "value", "prio")
-    known = scans.history(both.drop("prio"), raw_markets(spark, sf), "market_id", LAG, 0).select(*h.columns, "avail_ts")
-    rows = known.join(both, h.columns, "inner").distinct()
+    rows = scans.history(market_history(spark, sf).select("market_id", "ts", "field", "value", "prio"), raw_markets(spark, sf), "market_id", LAG)
     return G.finest(rows, ["market_id", "field"]).select("market_id", "field", "avail_ts", "value")
 
 

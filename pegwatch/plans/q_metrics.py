@@ -490,16 +490,6 @@ def j23(spark, sf):
     return M.feature_follows(linked_pairs(spark, sf), ["log_vault_overlap", "log_pool_overlap", "log_lend_cand_vs_seed", "shared_vaults"])
 
 
-@query("j20_label_replicates", f"""
-SELECT rep, round(avg(y) FILTER (l) - avg(y) FILTER (NOT l), 6) AS gap FROM (
-  SELECT rep, log_vault_overlap > 0 AS l, CAST({UNIFORM.format("0, rep, seed_id, cand")} < least(pb * CASE WHEN log_vault_overlap > 0 THEN 2.0 ELSE 1.0 END, 1) AS INT) AS y
-  FROM lpairs, (SELECT avg(y168) AS pb FROM lpairs), (SELECT unnest(generate_series(0, 19)) AS rep)) GROUP BY rep""", ["lpairs"])
-def j20(spark, sf):
-    rows = linked_pairs(spark, sf)
-    base = rows.agg(F.avg(F.col("y168").cast("double"))).scalar()
-    return rounded(R.label_replicates(rows, F.col("log_vault_overlap") > 0, base, 2.0, 20), ["rep", "gap"])
-
-
 SHIFTS = (-28, -21, -14, 14, 21, 28)
 block("ppairs", f"""
 SELECT s.cluster, s.shift, a.symbol AS cand, CAST(EXISTS (SELECT 1 FROM clean_eps e WHERE e.symbol = a.symbol AND e.t0 > s.tau AND e.t0 <= s.tau + 604800) AS INT) AS y168,

@@ -15,7 +15,7 @@ from pegwatch.plans.q_features import rounded
 from pegwatch.plans.q_graph import links
 from pegwatch.plans.q_metrics import scored_pairs
 from pegwatch.plans.registry import block, query
-from pegwatch.session import shared_folder
+from pegwatch.session import shared_folder, staged
 from pegwatch.streaming import live
 
 P = ["z_now", "z_min_24h", "z_mean_24h", "z_std_24h", "near_frac_24h", "hours_since_near_miss", "mkt_stress_frac", "episodes_30d"]
@@ -200,29 +200,43 @@ def i9(spark, sf):
 
 
 # ------------------------------------------------------------------------------------------------ streams
-def stream(spark, sf, df, name):
-    """A table of the batch side written in three time slices and read back as a stream, one slice at a time."""
-    path = f"{shared_folder(spark)}/slices/{name}-{uuid.uuid4().hex}"
-    for i, part in enumerate(("ts < 1704844800", "ts >= 1704844800 and ts < 1705708800", "ts >= 1705708800")):
-        df.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/part={i}")
-    rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
-    return rows.withColumn("time", F.timestamp_seconds("ts"))
+def streamed(spark, df, name, build, slices=3):
+    """A table of the batch side arriving in time slices: each is written, then the stream goes on from where it stopped. Returns the
+    table that ``build`` of the stream wrote."""
+    path, base, out = f"{shared_folder(spark)}/slices/{name}-{uuid.uuid4().hex}", live.new_base(spark, name), None
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(slices):
+        lo, hi = first + (last - first) * i // slices, first + (last - first) * (i + 1) // slices
+        df.filter((F.col("ts") >= lo) & ((F.col("ts") < hi) | F.lit(i == slices - 1))).write.mode("append").parquet(path)
+        rows = spark.readStream.schema(df.schema).parquet(path).withColumn("time", F.timestamp_seconds("ts"))
+        out = live.run_to_table(build(rows), name, base)
+    return out
 
 
 @query("l1_stream_hourly", """
 SELECT symbol, ts // 3600 * 3600 AS ts, round(quantile_cont(price, 0.5), 6) AS price, count(*) AS n FROM samples
 WHERE ts // 3600 * 3600 + 3600 <= (SELECT max(ts) FROM samples) - 7200 GROUP BY symbol, ts // 3600""", ["samples"])
 def l1(spark, sf):
-    rows = stream(spark, sf, T.samples(spark, sf).select("symbol", "ts", "price"), "samples")
-    return rounded(live.run_to_table(live.hourly(rows), "hourly"), ["symbol", "ts", "price", "n"])
+    return rounded(streamed(spark, T.samples(spark, sf).select("symbol", "ts", "price"), "hourly", live.hourly), ["symbol", "ts", "price", "n"])
+
+
+@staged
+def monitored(spark, sf):
+    known = T.dev(spark, sf).filter("dev_obs is not null").select("symbol", "ts", "dev_obs", "theta")
+    return streamed(spark, known, "monitor", lambda rows: live.monitor(rows, T.RULES))
 
 
 @query("l2_stream_monitor", """
 SELECT symbol, t0, t1, confirmed_at, hours_below, round(min_dev, 5) AS min_dev FROM detected WHERE NOT ongoing""", ["detected"])
 def l2(spark, sf):
-    known = T.dev(spark, sf).filter("dev_obs is not null").select("symbol", "ts", "dev_obs", "theta")
-    out = live.run_to_table(live.monitor(stream(spark, sf, known, "dev"), T.RULES), "monitor")
-    return rounded(out.filter("kind = 'close'"), ["symbol", "t0", "t1", "confirmed_at", "hours_below", "min_dev"], 5)
+    return rounded(monitored.build(spark, sf).filter("kind = 'close'"), ["symbol", "t0", "t1", "confirmed_at", "hours_below", "min_dev"], 5)
+
+
+@query("l2_stream_open", """
+SELECT symbol, t0, t1, confirmed_at, hours_below, round(min_dev, 5) AS min_dev FROM detected WHERE ongoing""", ["detected"])
+def l2o(spark, sf):
+    """Episodes that the end of the stream leaves open."""
+    return rounded(live.open_episodes(monitored(spark, sf)), ["symbol", "t0", "t1", "confirmed_at", "hours_below", "min_dev"], 5)
 
 
 @query("l3_stream_sessions", """
@@ -231,4 +245,4 @@ WITH b AS (SELECT symbol, ts FROM dev WHERE dev_obs <= -0.40007), g AS (
 SELECT symbol, min(ts) AS start, count(*) AS hours, 1 AS y FROM g GROUP BY symbol, k HAVING max(ts) + 3600 <= (SELECT max(ts) FROM b) - 7200""", ["dev"])
 def l3(spark, sf):
     rows = T.dev(spark, sf).filter("dev_obs <= -0.40007").select("symbol", "ts", F.lit(1).alias("y"))
-    return live.run_to_table(live.sessions(stream(spark, sf, rows, "bad")), "sessions").select("symbol", "start", "hours", "y")
+    return streamed(spark, rows, "sessions", live.sessions).select("symbol", "start", "hours", "y")

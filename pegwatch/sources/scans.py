@@ -87,11 +87,11 @@ def registry(spark: SparkSession, path: str, in_scope_only: bool = False, includ
     return df if include_controls else df.filter("coalesce(category, '') <> 'control'")
 
 
-def history(df: DataFrame, ids: DataFrame, id_column: str, lag: int, priority: int) -> DataFrame:
-    """Entity-attribute-value rows of listed ids with the time they may be used from."""
+def history(df: DataFrame, ids: DataFrame, id_column: str, lag: int, priority: int = 0) -> DataFrame:
+    """Entity-attribute-value rows of listed ids with the time they may be used from. Rows keep a priority of their own."""
     return (
         df.join(ids.select(id_column).distinct(), id_column, "left_semi")
-        .withColumn("avail_ts", F.col("ts") + lag).withColumn("prio", F.lit(priority))
+        .withColumn("avail_ts", F.col("ts") + lag).withColumn("prio", F.col("prio") if "prio" in df.columns else F.lit(priority))
     )
 
 
