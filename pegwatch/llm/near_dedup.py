@@ -8,8 +8,8 @@ on the full sets.
 
 No bucket ever gives all its pairs:
 
-- documents with the same set are one class, named by its smallest doc_id (map-side minima, so thousands of copies cost
-  nothing);
+- documents with the same set are one class (map-side minima, so thousands of copies cost nothing) with a number of its
+  own, given once when the classes are written; ids of documents come back at the end, so a shared id joins nothing;
 - every class of a bucket is paired with the bucket's smallest class only; verified links make components;
 - buckets whose classes still lie in different components are looked at again, in blocks of ``BLOCK`` classes of like
   size: first the likeliest pair of every two components is verified, which joins nearly all that belong together; then
@@ -21,7 +21,8 @@ Verification goes by pivot: one class's set meets the texts of its candidates, s
 candidates is spread over many tasks.
 
 A null text, or one without words, has an empty set: it is its own component and is kept. A document with fewer words
-than a shingle has its whole word sequence as its one shingle. Rows that share an id are judged by their own texts; a row
+than a shingle has its whole word sequence as its one shingle. Rows that share an id are judged by their own texts, each a class of its own
+(such a row is kept if its component's smallest id is its id); a row
 with a null id has a null component, takes part in nothing and is kept. An empty table gives an empty table.
 """
 
@@ -35,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pegwatch.llm.common import keyed_text, row_key, slices
-from pegwatch.operators.graph import components
+from pegwatch.llm.components import components
 from pegwatch.session import cut
 
 WORDS, BANDS, ROWS = 5, 50, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.08, 20.0
 MARGIN = 0.13  # nearly five standard errors of the estimate at the threshold
-BLOCK, BLOCK_HASHES, PER_PIVOT_TASK = 1024, 8_000_000, 512  # a block has no more classes, nor (from 64 classes on) hashes
+BLOCK, BLOCK_HASHES, PER_PIVOT_TASK, SPREAD = 1024, 8_000_000, 512, 8  # a block has no more classes, nor (from 64 classes on) hashes
 BLOCKS = "bucket long, step int, i int, j int, cids array<bigint>, left array<int>, right array<int>"
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,12 +152,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
     """The pairs (a, b) whose full sets reach the threshold. ``b`` is the pivot."""
     spark = pairs.sparkSession
     tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_PIVOT_TASK).cast("int").alias("salts"))
-    asked = pairs.join(tasks, "b").select(F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("cid"))
+    # a pivot's pairs meet its row in SPREAD places
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("a", F.lit(1)), F.lit(SPREAD)))
+    copies = tasks.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    asked = dealt.join(copies, ["b", "deal"]).select(F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("cid"))
     pivots = tasks.select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("b").alias("cid"))
-    wanted = asked.unionByName(pivots).join(classes.select("cid", "h"), "cid")
-    texts = rows.select(F.col("doc_id").alias("cid"), "h", "text")
+    wanted = asked.unionByName(pivots).join(classes.select("cid", "doc_id", "h"), "cid")
+    texts = rows.select("doc_id", "h", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = texts.join(wanted.hint("shuffle_hash"), ["cid", "h"]).select("pivot", "salt", "role", "cid", "text")
+    met = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("pivot", "salt", "role", "cid", "text")
     met = met.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +266,8 @@ def _verified_blocks(blocks: DataFrame, classes: DataFrame, rows: DataFrame, per
     """The pairs (a, b) within the blocks whose full sets reach the threshold. A text comes to a block once, however many
     pairs it is in."""
     keys = ["bucket", "step", "i", "j"]
-    members = blocks.select(*keys, F.explode("cids").alias("cid")).join(classes.select("cid", "h"), "cid")
-    texts = rows.select(F.col("doc_id").alias("cid"), "h", "text").join(members.hint("shuffle_hash"), ["cid", "h"])
+    members = blocks.select(*keys, F.explode("cids").alias("cid")).join(classes.select("cid", "doc_id", "h"), "cid")
+    texts = rows.select("doc_id", "h", "text").join(members.hint("shuffle_hash"), ["doc_id", "h"])
     none = [F.lit(None).cast(t).alias(c) for c, t in (("cids", "array<bigint>"), ("left", "array<int>"), ("right", "array<int>"))]
     every = texts.select(*keys, F.lit(1).alias("role"), "cid", "text", *none).unionByName(
         blocks.select(*keys, F.lit(0).alias("role"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("string").alias("text"), "cids", "left", "right"))
@@ -304,26 +308,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sketched = cut(sketches(rows), "sketches")
     least = F.min(F.struct("doc_id", "h"))
     classes = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(least.alias("rep"), F.min("n").alias("n"), F.min("regs").alias("regs"))
-    classes = cut(classes.select(F.col("rep.doc_id").alias("cid"), F.col("rep.h").alias("h"), "n", "digest", "regs"), "classes")
+    # the numbers are unique in whatever run of the write is kept, and fixed from then on
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "rep.doc_id", "rep.h", "n", "digest", "regs"), "classes")
     bands = _bands(classes)
     pivots = bands.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
     crowded = cut(bands.join(pivots, "bucket"), "crowded")
     stars = crowded.where("cid > pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
     likely = cut(_likely(stars, classes, percent), "likely")
     links = cut(_verified(likely, classes, rows, percent), "links")
-    labels = _components(links)
+    labels = components(links)
     for best in (True, False):  # most components meet by their likeliest pairs; then nothing is left out
         blocks = cut(_between(crowded.select("band", "bucket", "cid"), labels, classes, percent, best), "blocks")
         late = cut(_verified_blocks(blocks, classes, rows, percent), "late_links")
         if not late.isEmpty():
             links = links.unionByName(late)
-            labels = _components(links)
-    named = classes.join(labels.select(F.col("node").alias("cid"), "family"), "cid", "left").select("digest", F.coalesce("family", "cid").alias("family"))
+            labels = components(links)
+    # a class holds its smallest doc_id; only classes with links are named anew
+    linked = cut(classes.select("cid", "doc_id", "digest").join(labels.withColumnRenamed("node", "cid"), "cid"), "linked_classes")
+    least = linked.groupBy("family").agg(F.min("doc_id").alias("least"))
+    named = classes.select("digest", "doc_id").join(linked.join(least, "family").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "doc_id").alias("component"))
     out = sketched.select("doc_id", "h", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("family", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _components(links: DataFrame) -> DataFrame:
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return components(edges, edges.select(F.col("src").alias("node_id")).limit(0))
