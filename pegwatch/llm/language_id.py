@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pegwatch.llm.common import per_worker, ship_code, slices
+from pegwatch.llm.common import boxed, per_worker, ship_code, sliced
 
 LANDMARKS, PER_LANGUAGE, SAMPLE, FEWEST = 192, 400, 25_600, 8
 CHUNK = 1 << 20  # characters of a text that are packed at once
@@ -172,14 +172,15 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     spark = docs.sparkSession
     ship_code(spark)
     made, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
-    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.col(f"`{id_col}`").alias("doc_id")
-    rows = docs.select(key, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    rows = boxed(docs) if carry else docs.select(F.col(f"`{id_col}`").alias("doc_id"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker("language", made, lambda: shared.value)
         for batch in batches:
-            for part in slices(batch, 1 << 20):
-                texts = part.column("text").to_pylist()
+            held = batch.column(0).field(text_col) if carry else batch.column(1)  # a carried text crosses once, inside its row
+            for part, own in sliced(batch.select([0]), held, 1 << 20):
+                texts = own.fill_null("").to_pylist()
                 lang, score, response = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
                 accepted = [has_letter(t) for t in texts]
                 asked = [i for i, a in enumerate(accepted) if a and known is not None]
