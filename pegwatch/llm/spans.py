@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from pegwatch.llm.common import ship_code
+
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -18,6 +24,18 @@ def counted(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def fit_in_task(spark: SparkSession, make: Callable, *sample):
+    """``make(*sample)`` for a bounded sample in one task: a worker does numpy's small products in one thread, which the
+    driver's many threads only slow down; a lost task is run again and gives the same model."""
+    ship_code(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"model": [pickle.dumps(make(*pickle.loads(s))) for s in frame["sample"]]})
+
+    return pickle.loads(spark.createDataFrame([(pickle.dumps(sample),)], "sample binary").mapInPandas(run, "model binary").first()[0])
+
+
 class Adam:
     """Adam steps over a dict of arrays."""
 
