@@ -96,11 +96,11 @@ def one_hot(column: str, values: Sequence[str], prefix: str) -> list:
     return [(F.col(column) == v).cast("double").alias(f"{prefix}{v}") for v in values]
 
 
-def exposure(table: DataFrame, usd: Sequence[str], changes: Sequence[str]) -> DataFrame:
-    """Log levels, log changes over 24, 72 and 168 rows, guarded ratios and the exposure flag."""
+def exposure(table: DataFrame, usd: Sequence[str], changes: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:
+    """Log levels, raw measures, log changes over 24, 72 and 168 rows, guarded ratios and the exposure flag."""
     w = ordered(["symbol"])
     logs = table.select("*", *[S.log_level(c).alias(f"log_{c}") for c in usd])
-    out = [F.col(f"log_{c}") for c in usd]
+    out = [F.col(f"log_{c}") for c in usd] + [F.col(c) for c in raw]
     out += [(F.col(f"log_{c}") - F.lag(f"log_{c}", k).over(w)).alias(f"dlog_{c}_{k}h") for c in changes for k in (24, 72, 168)]
     out.append(S.guarded_ratio("mm_borrow_against_usd", "mm_collateral_usd").alias("borrow_to_collateral"))
     out.append(S.guarded_ratio("family_borrow_against_usd", "family_collateral_usd").alias("family_borrow_to_collateral"))

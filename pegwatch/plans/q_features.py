@@ -102,10 +102,10 @@ def c17(spark, sf):
                    ["symbol", "ts", "und_z_now", "und_z_min_24h"])
 
 
-EXPO = [f"log_{c}" for c in T.EXPO_USD] + [f"dlog_{c}_{k}h" for c in T.EXPO_CHANGE for k in (24, 72, 168)] + [
+EXPO = [f"log_{c}" for c in T.EXPO_USD] + list(T.EXPO_RAW) + [f"dlog_{c}_{k}h" for c in T.EXPO_CHANGE for k in (24, 72, 168)] + [
     "borrow_to_collateral", "family_borrow_to_collateral", "has_exposure"]
 T.block("expo", "SELECT symbol, ts, " + ", ".join(
-    [f"ln(1 + greatest({c}, 0) * CASE WHEN {c} IS NULL THEN NULL ELSE 1 END) AS log_{c}" for c in T.EXPO_USD]
+    [f"ln(1 + greatest({c}, 0) * CASE WHEN {c} IS NULL THEN NULL ELSE 1 END) AS log_{c}" for c in T.EXPO_USD] + list(T.EXPO_RAW)
     + [f"ln(1 + {c}) - lag(ln(1 + {c}), {k}) OVER (PARTITION BY symbol ORDER BY ts) AS dlog_{c}_{k}h" for c in T.EXPO_CHANGE for k in (24, 72, 168)]
     + ["CASE WHEN mm_collateral_usd >= 1e4 THEN mm_borrow_against_usd / mm_collateral_usd END AS borrow_to_collateral",
        "CASE WHEN family_collateral_usd >= 1e4 THEN family_borrow_against_usd / family_collateral_usd END AS family_borrow_to_collateral",
@@ -115,7 +115,7 @@ T.block("expo", "SELECT symbol, ts, " + ", ".join(
 
 @query("b7_b9_exposure", f"SELECT symbol, ts, {rounds(EXPO)} FROM expo", ["expo"])
 def b7(spark, sf):
-    return rounded(X.exposure(T.exposure_table(spark, sf), T.EXPO_USD, T.EXPO_CHANGE), ["symbol", "ts", *EXPO])
+    return rounded(X.exposure(T.exposure_table(spark, sf), T.EXPO_USD, T.EXPO_CHANGE, T.EXPO_RAW), ["symbol", "ts", *EXPO])
 
 
 CATS = [f"cat_{c}" for c in T.CATEGORIES]

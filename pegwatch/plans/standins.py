@@ -429,9 +429,19 @@ FROM second_mid m LEFT JOIN second_high h USING (symbol, ts) JOIN alt_hours a US
 
 
 # ------------------------------------------------------------------------------------------------ features
-EXPO_USD = ("mm_collateral_usd", "mm_borrow_against_usd", "mm_supply_usd", "family_collateral_usd",
-            "family_borrow_against_usd", "aave_supply_usd")
-EXPO_CHANGE = ("mm_borrow_against_usd", "family_collateral_usd")
+# The exposure measures by kind.
+EXPO_USD = ("mm_collateral_usd", "mm_borrow_against_usd", "mm_pegged_loop_usd", "mm_supply_usd", "mm_borrowed_usd", "vault_exposure_usd", "family_collateral_usd",
+            "family_vault_exposure_usd", "family_borrow_against_usd", "aave_supply_usd", "aave_collateral_usd", "aave_borrow_usd")
+EXPO_RAW = ("mm_n_markets", "mm_lltv_wavg", "mm_blind_oracle_share", "mm_custom_oracle_share", "vault_n", "aave_ltv_max", "aave_frozen", "aave_supply_cap_use", "aave_oracle_gap")
+EXPO_CHANGE = ("mm_borrow_against_usd", "mm_supply_usd", "vault_exposure_usd", "family_collateral_usd", "family_borrow_against_usd", "aave_supply_usd", "aave_borrow_usd")
+# The stand-in's measures as shares of the value sampled in the day before: "total" may be unknown, "own" is then 0.
+EXPO_SQL = {
+    "mm_collateral_usd": "total", "mm_borrow_against_usd": "total * 0.6", "mm_pegged_loop_usd": "total * 0.2", "mm_supply_usd": "CASE WHEN own > 20000 THEN total * 0.1 END",
+    "mm_borrowed_usd": "total * 0.05", "vault_exposure_usd": "own * 0.3", "family_collateral_usd": "own + 2500", "family_vault_exposure_usd": "own * 0.4 + 100",
+    "family_borrow_against_usd": "own * 0.7", "aave_supply_usd": "CAST(0 AS DOUBLE)", "aave_collateral_usd": "total * 0.15", "aave_borrow_usd": "own * 0.08",
+    "mm_n_markets": "floor(own / 5000)", "mm_lltv_wavg": "CASE WHEN own > 0 THEN 0.5 + own / (own + 100000) * 0.4 END", "mm_blind_oracle_share": "total / (total + 30000)",
+    "mm_custom_oracle_share": "total / (total + 60000)", "vault_n": "floor(own / 9000)", "aave_ltv_max": "CASE WHEN own > 15000 THEN 0.75 ELSE 0.0 END",
+    "aave_frozen": "CASE WHEN own > 40000 THEN 1.0 ELSE 0.0 END", "aave_supply_cap_use": "least(own / 50000, 1.0)", "aave_oracle_gap": "total / 1000000"}
 CATEGORIES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -456,21 +466,15 @@ def exposure_table(spark: SparkSession, sf: str) -> DataFrame:
         "symbol", (F.floor(F.col("ts") / HOUR) * HOUR).cast("bigint").alias("ts")).agg(F.sum(value).alias("v"))
     dense = X.densify(hourly, ["symbol"])
     total = F.round(F.sum("v").over(X.ordered(["symbol"]).rowsBetween(-23, 0)) * 100, 4)
-    own = F.coalesce("total", F.lit(0.0))
-    return dense.select("symbol", "ts", total.alias("total")).select(
-        "symbol", "ts", F.col("total").alias("mm_collateral_usd"), (F.col("total") * 0.6).alias("mm_borrow_against_usd"),
-        F.when(own > 20000, F.col("total") * 0.1).alias("mm_supply_usd"), (own + 2500).alias("family_collateral_usd"),
-        (own * 0.7).alias("family_borrow_against_usd"), F.lit(0.0).alias("aave_supply_usd"))
+    summed = dense.select("symbol", "ts", total.alias("total")).withColumn("own", F.coalesce("total", F.lit(0.0)))
+    return summed.select("symbol", "ts", *[F.expr(x).cast("double").alias(c) for c, x in EXPO_SQL.items()])
 
 
-block("expo_raw", """
-SELECT symbol, ts, total AS mm_collateral_usd, total * 0.6 AS mm_borrow_against_usd,
-       CASE WHEN coalesce(total, 0) > 20000 THEN total * 0.1 END AS mm_supply_usd, coalesce(total, 0) + 2500 AS family_collateral_usd,
-       coalesce(total, 0) * 0.7 AS family_borrow_against_usd, CAST(0 AS DOUBLE) AS aave_supply_usd
-FROM (
+block("expo_raw", "SELECT symbol, ts, " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in EXPO_SQL.items()) + """
+FROM (SELECT *, coalesce(total, 0) AS own FROM (
   SELECT symbol, ts, round(sum(v) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) * 100, 4) AS total
   FROM (SELECT symbol, unnest(generate_series(min(h), max(h), 3600)) AS ts FROM hs GROUP BY symbol)
-  LEFT JOIN (SELECT symbol, h AS ts, v FROM hs) USING (symbol, ts))
+  LEFT JOIN (SELECT symbol, h AS ts, v FROM hs) USING (symbol, ts)))
 """, ["hs"])
 block("hs", "SELECT symbol, ts // 3600 * 3600 AS h, sum(CASE WHEN NOT suffix(symbol, '_3') THEN price END) AS v FROM scanned GROUP BY ALL", ["scanned"])
 
@@ -496,7 +500,7 @@ def onset(spark: SparkSession, sf: str) -> DataFrame:
     return FX.onset_table(
         labels(spark, sf), roll, FX.history(eps, zz), FX.market(zz, eps, base_prices(spark, sf), usd_assets(spark, sf)),
         FX.wrapped(roll, wrapper_pairs(spark, sf), ["z_now", "z_min_24h"]),
-        FX.exposure(exposure_table(spark, sf), EXPO_USD, EXPO_CHANGE), CATEGORIES, RULES)
+        FX.exposure(exposure_table(spark, sf), EXPO_USD, EXPO_CHANGE, EXPO_RAW), CATEGORIES, RULES)
 
 
 # ------------------------------------------------------------------------------------------------ tables
