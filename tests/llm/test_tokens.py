@@ -98,3 +98,32 @@ def test_empty_tables(spark, tmp_path):
     assert token_counts.count_tokens(none, tokenizer_file("word_bpe_49k.json")).count() == 0
     token_frames.write_shards(none, f"{tmp_path}/none", tokenizer_file("byte_bpe_50k.json"), 2)
     assert token_frames.read_shards(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_the_queries_digests(spark, tmp_path):
+    """The columns that the named queries derive, from the libraries alone."""
+    import hashlib
+    import zlib
+
+    from pegwatch.llm import queries
+
+    rows = texts(9, 60)
+    spark.createDataFrame([(7 * i, t) for i, t in enumerate(rows)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    piece = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    got = {r["doc_id"]: tuple(r)[1:4] for r in queries.op1_sentencepiece(spark, str(tmp_path)).collect()}
+    ids = [piece.encode(t or "") for t in rows]
+    assert got == {7 * i: (len(x), sha(",".join(map(str, x))), sha(piece.decode(x))) for i, x in enumerate(ids)}
+    byte = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    got = {r["doc_id"]: tuple(r)[1:4] for r in queries.op2_token_frames(spark, str(tmp_path)).collect()}
+    start, want = 0, {}
+    for i, t in enumerate(rows):
+        x = byte.encode(t or "", add_special_tokens=False).ids + [2]
+        want[7 * i] = (start, len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x)))
+        start += len(x)
+    assert got == want
+    word = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    word.no_truncation()
+    got = {r["doc_id"]: tuple(r)[1:4] for r in queries.op10_token_counts(spark, str(tmp_path)).collect()}
+    counts = [len(word.encode(t or "", add_special_tokens=False).ids) for t in rows]
+    assert got == {7 * i: (len((t or "").encode()), n, n > 2048) for i, (t, n) in enumerate(zip(rows, counts, strict=True))}
