@@ -259,10 +259,12 @@ def known_events(events: DataFrame, eps: DataFrame, dev: DataFrame, days: int =
 
 
 def year_by_category(eps: DataFrame) -> DataFrame:
-    """Counts by year and category with both margins."""
-    year = F.date_format(F.timestamp_seconds("t0"), "yyyy")
-    return eps.select(year.alias("year"), "category").cube("year", "category").agg(F.count("*").alias("episodes")).select(
-        F.coalesce("year", F.lit("total")).alias("year"), F.coalesce("category", F.lit("total")).alias("category"), "episodes")
+    """Counts by year, by the days inside it and by category, with every margin."""
+    at = F.timestamp_seconds("t0")
+    dated = eps.select(F.date_format(at, "yyyy").alias("year"), F.date_format(at, "yyyy-MM-dd").alias("day"), "category")
+    y, d, c = F.col("year"), F.col("day"), F.col("category")
+    return dated.groupingSets([[y, d, c], [y, d], [y, c], [y], [c], []], y, d, c).agg(F.count("*").alias("episodes")).select(
+        *[F.coalesce(k, F.lit("total")).alias(k) for k in ("year", "day", "category")], "episodes")
 
 
 def concentration(eps: DataFrame, k: int = 5) -> DataFrame:

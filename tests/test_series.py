@@ -161,3 +161,10 @@ def test_scalar_rules(spark):
     assert (r.even, r.odd, r.far) == (7200, 7200, None)
     assert r.p == pytest.approx(1 - (8 * 7 * 6) / (10 * 9 * 8)) and r.sure == 1.0
     assert r.big == 800.0 and r.b4 and not r.b3 and r.k == 7200
+
+
+def test_margins_by_year_day_and_category(spark):
+    eps = spark.createDataFrame([(0, "a"), (3600, "b"), (86400, "a"), (366 * 86400, "a")], "t0 bigint, category string")
+    got = {(r.year, r.day, r.category): r.episodes for r in E.year_by_category(eps).collect()}
+    assert got[("1970", "1970-01-01", "a")] == 1 and got[("1970", "1970-01-01", "total")] == 2 and got[("1970", "total", "a")] == 2
+    assert got[("1970", "total", "total")] == 3 and got[("total", "total", "a")] == 3 and got[("total", "total", "total")] == 4 and len(got) == 15
