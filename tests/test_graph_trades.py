@@ -134,3 +134,11 @@ def test_allocations_are_moved_by_vault_and_by_market_once(spark):
     made = Q.edges.build(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in made and "HashJoin" not in made
     assert held.filter("market_id <> '' and not listed").isEmpty() and held.filter("market_id <> ''").join(market, ["market_id", "t"], "left_anti").isEmpty()
+
+
+def test_transfers_are_moved_by_block_once(spark):
+    """A constant in the account key hid how the entries were dealt, so they were moved four times."""
+    from pegwatch.plans import standins as T
+
+    plan = T.trades.build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(l_orderkey" in plan
