@@ -302,6 +302,13 @@ def _verified_blocks(blocks: DataFrame, classes: DataFrame, rows: DataFrame, per
     return every.mapInArrow(run, "a long, b long")
 
 
+def _stars(crowded: DataFrame) -> DataFrame:
+    """(a, b): every class with the pivot that it shares most buckets with, the smaller one on ties. One pair a class, however many bands
+    a group of near copies shares; whatever they leave apart comes to the blocks, as does every other bucket of different components."""
+    shared = crowded.where("cid > pivot").repartition("cid").groupBy("cid", "pivot").agg(F.count("*").alias("bands"))
+    return shared.groupBy(F.col("cid").alias("a")).agg(F.min_by("pivot", F.struct(-F.col("bands"), "pivot")).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (hash of the row's text), n_shingles, component_id, kept, for every row."""
     rows = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(F.col("text")).alias("h"))
@@ -313,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     bands = _bands(classes)
     pivots = bands.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
     crowded = cut(bands.join(pivots, "bucket"), "crowded")
-    stars = crowded.where("cid > pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = _stars(crowded)
     likely = cut(_likely(stars, classes, percent), "likely")
     links = cut(_verified(likely, classes, rows, percent), "links")
     labels = components(links)

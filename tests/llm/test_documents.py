@@ -541,3 +541,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     got = {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: hashlib.md5(str(v).encode()).hexdigest() for i, v in got.items()} == {i: hashlib.md5(str((lib.encode(t), lib.decode(lib.encode(t)))).encode()).hexdigest() for i, t, _ in left}
+
+
+def test_near_copies_get_one_star_link_a_class(spark):
+    """A group of near copies made a link for every pivot of its many bands."""
+    rows = [(cid, pivot, band) for cid in range(1, 40) for band, pivot in enumerate([0] * 4 + [cid // 2] * 4 + [cid // 3, cid])]
+    crowded = spark.createDataFrame(rows, "cid long, pivot long, band int")
+    stars = near_dedup._stars(crowded).collect()
+    assert len(stars) == 39 and {r["a"]: r["b"] for r in stars} == dict.fromkeys(range(1, 40), 0) | {3: 1}
