@@ -14,7 +14,8 @@ No bucket ever gives all its pairs:
 - buckets whose classes still lie in different components are looked at again, in blocks of ``BLOCK`` classes of like
   size: first the likeliest pair of every two components is verified, which joins nearly all that belong together; then
   every pair of still different components that the registers find plausible. Pairs stay inside a block: its plan lists
-  them as positions, and each text comes to the block once. So no bucket is
+  them as positions, and each text comes to the block once. A pair that links already found in its block join isn't verified
+  again, and a block gives one link for each component that it joins to a smaller one, never one for each pair. So no bucket is
   capped, and a link is lost only if a pair shares no band at all (below 2e-6 at the threshold).
 
 Verification goes by pivot: one class's set meets the texts of its candidates, salted so that a pivot with thousands of
@@ -44,7 +45,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.08, 20.0
 MARGIN = 0.13  # nearly five standard errors of the estimate at the threshold
 BLOCK, BLOCK_HASHES, PER_PIVOT_TASK, SPREAD = 1024, 8_000_000, 512, 8  # a block has no more classes, nor (from 64 classes on) hashes
-BLOCKS = "bucket long, step int, i int, j int, cids array<bigint>, left array<int>, right array<int>"
+BLOCKS = "bucket long, step int, i int, j int, cids array<bigint>, families array<bigint>, left array<int>, right array<int>"
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -235,16 +236,18 @@ def _between(crowded: DataFrame, labels: DataFrame, classes: DataFrame, percent:
                 two = (min(family[i], family[x]), max(family[i], family[x]))
                 if e > top.get(two, (-1.0,))[0]:
                     top[two] = (e, int(cid[i]), int(cid[x]))
-        return a + [t[1] for t in top.values()], b + [t[2] for t in top.values()]
+        likeliest = sorted(top.values(), key=lambda t: (-t[0], t[1:]))
+        return a + [t[1] for t in likeliest], b + [t[2] for t in likeliest]
 
     def packed(key, group) -> dict | None:
         a, b = pairs(key, group)
         if not a:
             return None
         cids, at = np.unique(np.array(a + b, np.int64), return_inverse=True)
-        return dict(zip(keys, key, strict=True)) | {"cids": cids.tolist(), "left": at[:len(a)].tolist(), "right": at[len(a):].tolist()}
+        family = {g[1]: g[2] for g in group}
+        return dict(zip(keys, key, strict=True)) | {"cids": cids.tolist(), "families": [family[c] for c in cids.tolist()], "left": at[:len(a)].tolist(), "right": at[len(a):].tolist()}
 
-    shape = pa.schema([("bucket", pa.int64()), ("step", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cids", pa.list_(pa.int64())), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))])
+    shape = pa.schema([("bucket", pa.int64()), ("step", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("cids", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())), ("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -263,30 +266,40 @@ def _between(crowded: DataFrame, labels: DataFrame, classes: DataFrame, percent:
 
 
 def _verified_blocks(blocks: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) within the blocks whose full sets reach the threshold. A text comes to a block once, however many
-    pairs it is in."""
+    """(a, b): the components that pairs within the blocks join, on full sets, each with the smallest one it comes together with in its
+    block. A text comes to a block once, however many pairs it is in; a pair that found links already join isn't verified."""
     keys = ["bucket", "step", "i", "j"]
     members = blocks.select(*keys, F.explode("cids").alias("cid")).join(classes.select("cid", "doc_id", "h"), "cid")
     texts = rows.select("doc_id", "h", "text").join(members.hint("shuffle_hash"), ["doc_id", "h"])
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("cids", "array<bigint>"), ("left", "array<int>"), ("right", "array<int>"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cids", "array<bigint>"), ("families", "array<bigint>"), ("left", "array<int>"), ("right", "array<int>"))]
     every = texts.select(*keys, F.lit(1).alias("role"), "cid", "text", *none).unionByName(
-        blocks.select(*keys, F.lit(0).alias("role"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("string").alias("text"), "cids", "left", "right"))
+        blocks.select(*keys, F.lit(0).alias("role"), F.lit(None).cast("long").alias("cid"), F.lit(None).cast("string").alias("text"), "cids", "families", "left", "right"))
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = every.repartition(parts, *keys).sortWithinPartitions(*keys, "role")
 
     def linked(plan, sets) -> list[tuple[int, int]]:
-        cids, left, right = plan
-        out = []
+        cids, families, left, right = plan
+        up: dict[int, int] = {}
+
+        def least(x: int) -> int:
+            while x in up:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
         for x, y in zip(left, right, strict=True):
+            a, b = least(families[x]), least(families[y])
+            if a == b:
+                continue
             one, two = sets[cids[x]], sets[cids[y]]
             both = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
             if 100 * both >= percent * (len(one) + len(two) - both):
-                out.append((cids[x], cids[y]))
-        return out
+                up[max(a, b)] = min(a, b)
+        return [(x, least(x)) for x in list(up)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, sets = None, {}
-        names = ("role", "cid", "text", "cids", "left", "right")
+        names = ("role", "cid", "text", "cids", "families", "left", "right")
         for batch in batches:
             out = []
             for role, cid, text, *new in zip(*(batch.column(c).to_pylist() for c in names), strict=True):

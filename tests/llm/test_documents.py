@@ -549,3 +549,23 @@ def test_near_copies_get_one_star_link_a_class(spark):
     crowded = spark.createDataFrame(rows, "cid long, pivot long, band int")
     stars = near_dedup._stars(crowded).collect()
     assert len(stars) == 39 and {r["a"]: r["b"] for r in stars} == dict.fromkeys(range(1, 40), 0) | {3: 1}
+
+
+def test_a_block_gives_one_link_for_each_component_it_joins(spark):
+    """Every two components of a group of near copies made a link: 435 of 30 copies."""
+    rnd = random.Random(21)
+    words = prose(rnd, 200)
+    texts = [" ".join([*words[:4 * i], f"c{i}", *words[4 * i + 1:]]) for i in range(30)]
+    texts += [" ".join(prose(rnd, 200, "f")) for _ in range(2)]
+    sets = [near_dedup.shingles(t) for t in texts]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, h long, text string")
+    classes = spark.createDataFrame(
+        [(i, i, i, len(s), bytearray(near_dedup.registers(s).tobytes())) for i, s in enumerate(sets)], "cid long, doc_id long, h long, n long, regs binary")
+    # two bands of the blocks' plans: all pairs of one, and a pair that only looks alike
+    pairs = list(itertools.combinations(range(30), 2))
+    plan = lambda k, some, ids: (k, 0, 0, 0, ids, ids, [ids.index(a) for a, _ in some], [ids.index(b) for _, b in some])
+    blocks = spark.createDataFrame([plan(1, pairs, list(range(30))), plan(2, pairs[::-1] + [(30, 31)], list(range(32)))], near_dedup.BLOCKS)
+    got = [tuple(r) for r in near_dedup._verified_blocks(blocks, classes, rows, 75).collect()]
+    assert len(got) == 2 * 29 and set(got) == {(i, 0) for i in range(1, 30)}
+    found = [tuple(r) for r in near_dedup.components(spark.createDataFrame(got, "a long, b long")).collect()]
+    assert sorted(found) == [(i, 0) for i in range(30)]
