@@ -314,16 +314,21 @@ def _sides(rows: DataFrame, *sides: tuple[Column, dict[str, Column]]) -> DataFra
     return rows.select(F.explode(F.array_compact(F.array(*made))).alias("e")).select("e.*")
 
 
-def edges(mm: DataFrame, va: DataFrame, aa: DataFrame, vault_node: Column) -> DataFrame:
-    """The seven edge types of every snapshot in one table; each snapshot table is read once and, as its rows name their nodes, moved nowhere."""
-    c, always = F.col, F.lit(True)
+def market_edges(mm: DataFrame) -> DataFrame:
+    """Collateral, supply and borrow edges of every market snapshot."""
+    c = F.col
     own = {k: c(k) for k in ("t", "lltv", "oracle_class", "flag")}
-    market = _sides(
+    return _sides(
         mm,
         (F.coalesce("collateral", F.lit("")) != "", own | {"etype": F.lit("collateral"), "src": token_node("collateral"), "dst": c("m_node"),
                                                            "usd": c("collateralAssetsUsd"), "tokens": c("collateralAssets")}),
-        (always, own | {"etype": F.lit("supply"), "src": token_node("loan"), "dst": c("m_node"), "usd": c("supplyAssetsUsd")}),
-        (always, own | {"etype": F.lit("borrow"), "src": c("m_node"), "dst": token_node("loan"), "usd": c("borrowAssetsUsd")}))
+        (F.lit(True), own | {"etype": F.lit("supply"), "src": token_node("loan"), "dst": c("m_node"), "usd": c("supplyAssetsUsd")}),
+        (F.lit(True), own | {"etype": F.lit("borrow"), "src": c("m_node"), "dst": token_node("loan"), "usd": c("borrowAssetsUsd")}))
+
+
+def edges(mm: DataFrame, va: DataFrame, aa: DataFrame, vault_node: Column) -> DataFrame:
+    """The seven edge types of every snapshot in one table; each snapshot table is read once and, as its rows name their nodes, moved nowhere."""
+    c, always = F.col, F.lit(True)
     value = {"t": c("t"), "usd": c("value")}
     vault = _sides(
         va,
@@ -336,7 +341,7 @@ def edges(mm: DataFrame, va: DataFrame, aa: DataFrame, vault_node: Column) -> Da
         (always, held | {"etype": F.lit("pool_supply"), "src": token, "dst": at, "usd": c("supply_usd"), "tokens": c("supply"),
                          **{k: c(k) for k in ("ltv", "liq_threshold", "emode_ltv")}}),
         (always, held | {"etype": F.lit("pool_borrow"), "src": at, "dst": token, "usd": c("debt_usd")}))
-    return market.unionByName(vault).unionByName(pool)
+    return market_edges(mm).unionByName(vault).unionByName(pool)
 
 
 def nodes(registry: DataFrame, markets: DataFrame, vaults: DataFrame, pools: DataFrame) -> DataFrame:

@@ -142,3 +142,19 @@ def test_transfers_are_moved_by_block_once(spark):
 
     plan = T.trades.build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(l_orderkey" in plan
+
+
+def test_market_tokens_and_edge_counts_write_no_more_than_they_read(spark):
+    """The market tokens had every vault's allocations and all edges written first, the edge counts all edges."""
+    from pegwatch import session
+    from pegwatch.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    written = lambda: {name for _, folder, name in session._STAGES if folder == data}
+    session.forget_stages()
+    catalog.QUERIES["d16_market_mode"](spark, data).count()
+    assert "cleaned" in written() and not written() & {"allocations", "held_allocations", "edges"}
+    catalog.QUERIES["a12_edge_counts"](spark, data).count()
+    catalog.QUERIES["a12_edge_sink"](spark, data).count()
+    assert "held_allocations" in written() and "edges" not in written()
+    session.forget_stages()
