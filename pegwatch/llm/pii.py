@@ -1,20 +1,19 @@
 """Personal data: fixed rules, and a character-level bidirectional LSTM with CRF transitions.
 
 Rules (half-open code point ranges, leftmost and without overlap for each kind): e-mail addresses, IPv4 addresses, card numbers
-(Luhn), phone numbers. The network reads the surroundings of every trigger (a digit, ``@`` or ``+``, also in full width; "at" and "dot" where they may
-stand for signs of an address): triggers nearer than ``2 * AROUND`` form one segment, grown to whole runs of
-other than blanks and to whole rule spans, so that neither is ever cut, and read whole in windows of ``WINDOW`` characters that overlap by half.
-Each window is decoded by itself (Viterbi, with the certainty of its tags); the windows' spans are then reconciled over the whole segment: spans
+(Luhn), phone numbers. The network reads every text whole, in windows of ``WINDOW`` characters that overlap by half.
+Each window is decoded by itself (Viterbi, with the certainty of its tags); the windows' spans are then reconciled over the whole text: spans
 of one kind that overlap are one, and of spans of different kinds that overlap the set with the greatest certain length stays. Spans of ``LEAST`` characters or
 more whose tags are certain enough (``SURE``) and that touch no rule span are added as ``kind`` + ``_net``.
 
-The network is trained in one task on a bounded sample of segments (``SAMPLE`` with rule spans of each kind and without any, by hash, those of at most
-``LONGEST`` characters), with the rule spans as labels, and on ``DISGUISES`` copies of each: its spans written as the rules can't read them
+The network is trained in one task on a bounded sample of segments: the surroundings of triggers (a digit, ``@`` or ``+``, also in full width; "at" and
+"dot" where they may stand for signs of an address), joined if nearer than ``2 * AROUND`` and grown to whole runs of other than blanks and to whole rule
+spans (``SAMPLE`` with rule spans of each kind and without any, by hash, those of at most ``LONGEST`` characters), and as many stretches between them, with the rule spans as labels, and on ``DISGUISES`` copies of each: its spans written as the rules can't read them
 (spelt-out signs, other separators, full-width digits) and still labelled, or replaced by harmless numbers, dates and versions. A quarter of the segments with all
 copies is held back; ``recall`` (disguised spans found there) and ``clean`` (share of segments without a span left alone) stay with the network. With fewer
 than ``ENOUGH`` labelled segments none is fitted and nothing is added.
 
-Every text is read once, whole. A null or empty text has no spans; repeated rows give repeated results; long segments are as
+Every text is read twice, whole: for the sample, then for the spans. A null or empty text has no spans; repeated rows give repeated results; long texts are as
 many windows as they need; an empty table gives an empty table.
 """
 
@@ -46,7 +45,7 @@ WORDY = re.compile(r"[(\[{<]\x20*(?:at|dot)\x20*[)\]}>]|(?<![^\W_])(?:dot|at(?=\
 TRIGGER = re.compile(rf"[0-9@+\uff10-\uff19\uff20\uff0b]|{WORDY.pattern}", re.IGNORECASE)
 
 AROUND, WINDOW = 20, 64
-SAMPLE, LONGEST, ENOUGH, DISGUISES = 150, 4096, 20, 2
+SAMPLE, LONGEST, ENOUGH, DISGUISES, PLAIN = 150, 4096, 20, 2, 256
 EPOCHS, STEPS = 10, 120  # passes over the sample, and steps at least
 HIDDEN, EMBED = 16, 12
 LEAST, SURE = 6, 0.95
@@ -116,26 +115,32 @@ def segments(text: str, spans: list[tuple[int, int, int]] = ()) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
+def stretch(text: str, parts: list[tuple[int, int]]) -> str:
+    """The longest part of a text between its segments, ``PLAIN`` characters of it at most: what a network that reads whole texts mostly sees."""
+    edges = [0, *(x for p in parts for x in p), len(text)]
+    a, b = max(zip(edges[::2], edges[1::2], strict=True), key=lambda p: p[1] - p[0])
+    return text[a:min(b, a + PLAIN)]
+
+
 def scan(rows: DataFrame) -> DataFrame:
-    """doc_id, base (rule spans), seen (start and text of each segment with the rule spans in it)."""
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    """For training: seen (start and text of each segment with the rule spans in it; last, a stretch without any)."""
     seen = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string()), ("kinds", pa.list_(pa.int32())), ("marks", pa.list_(pa.int32()))]))
 
-    def one(text: str) -> tuple[list, list]:
+    def one(text: str) -> list:
         base, out = rule_spans(text), []
-        for a, b in segments(text, base):
+        parts = segments(text, base)
+        for a, b in parts:
             inside = [(k, s - a, e - a) for k, s, e in base if a <= s and e <= b]
             out.append({"start": a, "text": text[a:b], "kinds": [k for k, _, _ in inside], "marks": [x for _, s, e in inside for x in (s, e)]})
-        return [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in base], out
+        plain = stretch(text, parts)
+        return out + ([{"start": None, "text": plain, "kinds": [], "marks": []}] if plain else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                both = [one(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b for b, _ in both], pa.list_(span)), pa.array([s for _, s in both], seen)], names=["doc_id", "base", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([one(t) for t in part.column("text").to_pylist()], seen)], names=["seen"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, base {SPAN}, seen array<struct<start:int,text:string,kinds:array<int>,marks:array<int>>>")
+    return rows.mapInArrow(run, "seen array<struct<start:int,text:string,kinds:array<int>,marks:array<int>>>")
 
 
 def tags_of(size: int, kinds: list[int], marks: list[int]) -> np.ndarray:
@@ -336,19 +341,63 @@ class Tagger:
         grads["emb"] = demb
         return grads
 
+    def scores(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The emissions, for reading only: inputs by table, all four gates by one tanh, nothing kept."""
+        half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)  # a sigmoid is half a tanh of the half
+        turn = self._reversed(codes, sizes)
+        out = []
+        for d, seen, part in (("f", codes, self.w["out"][:HIDDEN]), ("b", np.take_along_axis(codes, turn, 1), self.w["out"][HIDDEN:])):
+            table, own = (self.w["emb"] @ self.w[f"{d}x"] + self.w[f"{d}c"]) * half, self.w[f"{d}h"] * half
+            h, c = np.zeros((len(seen), HIDDEN), np.float32), np.zeros((len(seen), HIDDEN), np.float32)
+            e = np.zeros((*seen.shape, TAGS), np.float32)
+            for t, now in enumerate(np.ascontiguousarray(seen.T)):
+                z = table.take(now, 0)
+                z += h @ own
+                np.tanh(z, out=z)
+                gates = z[:, :3 * HIDDEN] * np.float32(0.5) + np.float32(0.5)
+                c = gates[:, HIDDEN:2 * HIDDEN] * c + gates[:, :HIDDEN] * z[:, 3 * HIDDEN:]
+                h = gates[:, 2 * HIDDEN:] * np.tanh(c)
+                e[:, t] = h @ part
+            out.append(e)
+        return out[0] + np.take_along_axis(out[1], turn[..., None], 1) + self.w["ob"]
+
+    def plain(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Windows whose best tags are surely all outside: no place gains anything by another tag, whatever the transitions into, inside and
+        out of a span give."""
+        trans = self.w["trans"] + self.banned
+        trans = trans - trans[0, 0]
+        gain = max(0.0, float(trans[1:, 1:].max()), max(0.0, float(trans[0, 1:].max())) + max(0.0, float(trans[1:, 0].max()))) + 1e-3
+        more = e[..., 1:].max(2) - e[..., 0] + gain >= 0
+        return ~(more & (np.arange(e.shape[1])[None, :] < sizes[:, None])).any(1)
+
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(kind, start, end) of the sure spans of each segment: its windows decoded, then reconciled."""
+        """(kind, start, end) of the sure spans of each text: its windows decoded, then reconciled. Every window is read; tags are only
+        sought where some may be, and certainties where some are."""
         step = WINDOW // 2
-        pieces = [(i, lo) for i, t in enumerate(texts) for lo in range(0, max(1, len(t) - step), step)]
         found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        for at in range(0, len(pieces), 512):
-            some = pieces[at:at + 512]
-            parts = [texts[i][lo:lo + WINDOW] for i, lo in some]
-            sizes = np.array([len(p) for p in parts])
-            e = self.emissions(codes_of(parts), sizes).astype(np.float64)
-            tags, sure = self.viterbi(e, sizes), self.certainty(e, sizes)
-            for (i, lo), size, row, p in zip(some, sizes.tolist(), tags, sure, strict=True):
-                found[i] += [(k, lo + a, lo + b, c) for k, a, b, c in self.spans_of(row[:size], p[:size])]
+
+        def read(owner: list[int], at: list[int], sizes: np.ndarray, codes: np.ndarray) -> None:
+            e = self.scores(codes, sizes)
+            some = np.flatnonzero(~self.plain(e, sizes))
+            e = e[some].astype(np.float64)
+            tags = self.viterbi(e, sizes[some])
+            tagged = np.flatnonzero(tags.any(1))
+            some, tags = some[tagged], tags[tagged]
+            for w, row, p in zip(some.tolist(), tags, self.certainty(e[tagged], sizes[some]), strict=True):
+                found[owner[w]] += [(k, at[w] + a, at[w] + b, c) for k, a, b, c in self.spans_of(row[:sizes[w]], p[:sizes[w]])]
+
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        for i, t in enumerate(texts):
+            starts = range(0, max(1, len(t) - step), step)
+            codes = char_codes([t if t.isascii() else t.translate(NARROW)], starts[-1] + WINDOW)[0]
+            windows = np.lib.stride_tricks.sliding_window_view(codes, WINDOW)[::step]
+            for lo in range(0, len(starts), 512):
+                part = starts[lo:lo + 512]
+                for to, new in zip(held, ([i] * len(part), list(part), [min(WINDOW, len(t) - a) for a in part], list(windows[lo:lo + 512])), strict=True):
+                    to += new
+                if len(held[0]) >= 512 or (i == len(texts) - 1 and lo + 512 >= len(starts)):
+                    read(held[0], held[1], np.array(held[2]), np.stack(held[3]))
+                    held = ([], [], [], [])
         return [[s for s in reconciled([f for f in spans if f[3] >= SURE]) if s[2] - s[1] >= LEAST] for spans in found]
 
     def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -404,12 +453,12 @@ def codes_of(texts: list[str]) -> np.ndarray:
 
 def fit(scanned: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     """A tagger from a bounded sample of segments; None if too few hold a rule span."""
-    each = scanned.select(F.explode("seen").alias("s")).select("s.text", "s.kinds", "s.marks").where(F.length("text") <= LONGEST)
+    each = scanned.select(F.explode("seen").alias("s")).select("s.text", "s.kinds", "s.marks", F.col("s.start").isNull().alias("plain")).where(F.length("text") <= LONGEST)
     rows, labelled = {}, 0
-    for k in (*range(len(KINDS)), None):
-        mine = each.where(F.size("kinds") == 0) if k is None else each.where(F.array_contains("kinds", k))
-        got = mine.distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-        labelled += len(got) if k is not None else 0
+    for k in (*range(len(KINDS)), None, "plain"):
+        mine = each.where("plain") if k == "plain" else each.where(F.size("kinds") == 0).where("not plain") if k is None else each.where(F.array_contains("kinds", k))
+        got = mine.drop("plain").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
+        labelled += len(got) if isinstance(k, int) else 0
         rows |= {(r["text"], tuple(r["kinds"]), tuple(r["marks"])): r for r in got}
     if labelled < ENOUGH:
         return None
@@ -435,26 +484,21 @@ def trained(rows: list[tuple[str, list[int], list[int]]], seed: int = 5, copies:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (rule spans by kind as listed, then start), spans (all spans in that order, added ones after)."""
-    spark = docs.sparkSession
-    scanned = cut(scan(keyed_text(docs, id_col, text_col)), "personal_segments")
-    made, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(fit(scanned))
+    spark, rows = docs.sparkSession, keyed_text(docs, id_col, text_col)
+    made, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(fit(cut(scan(rows), "personal_segments")))
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    named = lambda found, end="": [{"kind": KINDS[k] + end, "start": s, "end": e} for k, s, e in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = per_worker("personal", made, lambda: shared.value)
         for batch in batches:
-            base, seen = batch.column("base").to_pylist(), batch.column("seen").to_pylist()
-            added = [[] for _ in base]
-            asked = [(i, s) for i, row in enumerate(seen) for s in row] if tagger is not None else []
-            for at in range(0, len(asked), 2048):
-                some = asked[at:at + 2048]
-                for (i, s), got in zip(some, tagger.decode([s["text"] for _, s in some]), strict=True):
-                    for k, a, b in got:
-                        a, b = a + s["start"], b + s["start"]
-                        if not any(x["start"] < b and a < x["end"] for x in base[i]):
-                            added[i].append((k, a, b))
-            every = [b + [{"kind": f"{KINDS[k]}_net", "start": s, "end": e} for k, s, e in sorted(a)] for b, a in zip(base, added, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(every, spans)], names=["doc_id", "base", "spans"])
-
-    kind = scanned.schema["doc_id"].dataType.simpleString()
-    return scanned.mapInArrow(run, f"doc_id {kind}, base {SPAN}, spans {SPAN}")
+            for part in slices(batch, 1 << 20):
+                texts = part.column("text").to_pylist()
+                base = [rule_spans(t) for t in texts]
+                added = tagger.decode(texts) if tagger is not None else [[] for _ in texts]
+                added = [sorted(f for f in new if not any(s < f[2] and f[1] < e for _, s, e in old)) for old, new in zip(base, added, strict=True)]
+                every = [named(old) + named(new, "_net") for old, new in zip(base, added, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(named, base), spans), pa.array(every, spans)], names=["doc_id", "base", "spans"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, base {SPAN}, spans {SPAN}")

@@ -569,3 +569,22 @@ def test_a_block_gives_one_link_for_each_component_it_joins(spark):
     assert len(got) == 2 * 29 and set(got) == {(i, 0) for i in range(1, 30)}
     found = [tuple(r) for r in near_dedup.components(spark.createDataFrame(got, "a long, b long")).collect()]
     assert sorted(found) == [(i, 0) for i in range(30)]
+
+
+def test_the_tagger_reads_whole_texts(spark, monkeypatch):
+    """Only the surroundings of digits and signs came to the network."""
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choice("abcdeghil") for _ in range(6))
+    made = [(" ".join(word() for _ in range(3)) + " ", " " + word()) for _ in range(120)]
+    texts = [a + "qzqzqzqzqz" + b if i % 2 else a + word() + b for i, (a, b) in enumerate(made)]
+    tags = [pii.tags_of(len(t), [0] * (i % 2), [len(a), len(a) + 10] * (i % 2)) for i, (t, (a, _)) in enumerate(zip(texts, made, strict=True))]
+    tagger = pii.Tagger(texts, tags)
+    codes, sizes = pii.codes_of(texts), np.array([len(t) for t in texts])
+    exact = tagger.emissions(codes, sizes)
+    assert np.abs((exact - tagger.scores(codes, sizes))[np.arange(pii.WINDOW) < sizes[:, None]]).max() < 1e-3
+    assert not tagger.viterbi(exact.astype(float), sizes)[tagger.plain(exact, sizes)].any() and tagger.plain(exact, sizes).sum() < 120
+    monkeypatch.setattr(pii, "fit", lambda scanned: tagger)
+    body = " ".join(word() for _ in range(300))
+    rows = [(1, f"{body} qzqzqzqzqz {body}", "en"), (2, body, "en"), (3, None, "en")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    assert any(k == "email_net" and s < len(body) + 11 and e > len(body) + 1 for k, s, e in got[1]) and got[3] == []
