@@ -77,18 +77,22 @@ def asof(left: DataFrame, right: DataFrame, values: Sequence[str], keys: Sequenc
 
 
 def asof_grid(obs: DataFrame, by: Sequence[str], max_stale: int, start: int, step: int, end: Column | int,
-              avail: str = "avail_ts") -> DataFrame:
+              avail: str = "avail_ts", rank: Sequence[str] = ()) -> DataFrame:
     """Each observation on every grid time it holds for: from its availability until the next one of its key
-    becomes available or it is older than ``max_stale``. No join: the interval is expanded to its grid times."""
+    becomes available or it is older than ``max_stale``. No join: the interval is expanded to its grid times. ``rank``: of several
+    observations of a key at one time only the greatest by these columns counts; the sort that finds the next one finds it too."""
     by = list(by)
     last = F.lit(end) if isinstance(end, int) else end
-    nxt = F.lead(avail).over(Window.partitionBy(*by).orderBy(avail))
+    nxt = F.lead(avail).over(Window.partitionBy(*by).orderBy(avail, *rank))
+    if rank:
+        obs = obs.withColumn("_next", nxt).filter(~F.coalesce(F.col("_next") == F.col(avail), F.lit(False)))
+        nxt = F.col("_next")
     until = F.least(nxt - 1, F.col(avail) + max_stale, last)
     first_grid = F.ceil((F.col(avail) - start) / step) * step + start
     last_grid = F.floor((until - start) / step) * step + start
     grid = F.when(first_grid <= last_grid,
                   F.sequence(first_grid.cast("bigint"), last_grid.cast("bigint"), F.lit(step).cast("bigint")))
-    return obs.withColumn("_grid", grid).withColumn("t", F.explode("_grid")).drop("_grid", avail)
+    return obs.withColumn("_grid", grid).withColumn("t", F.explode("_grid")).drop("_grid", "_next", avail)
 
 
 def price_lookup(rows: DataFrame, prices: DataFrame, keys: Sequence[str] = ("symbol",), tolerance: int = 6 * HOUR,

@@ -158,3 +158,56 @@ def test_market_tokens_and_edge_counts_write_no_more_than_they_read(spark):
     catalog.QUERIES["a12_edge_sink"](spark, data).count()
     assert "held_allocations" in written() and "edges" not in written()
     session.forget_stages()
+
+
+def test_links_from_snapshots_equal_those_from_edges(spark):
+    """Links had the allocations and edges of every snapshot judged and written, though only those of the asked snapshots enter them."""
+    d, markets = 86400, spark.createDataFrame([("m", "mm:m", "A", "B"), ("f", "mm:f", "A", "B"), ("k", "mm:k", "B", "A")], "market_id string, node string, collateral string, loan string")
+    row = lambda t, m, c, x, flag="", began=None: (t * d, m, f"mm:{m}", c, x, 0.5, "feed", 1.0, 9e4, 2e4, 9e4, flag, began)
+    mm = spark.createDataFrame([row(t, "m", "A", "B") for t in (1, 2, 3)] + [row(1, "f", "A", "B"), row(2, "f", "A", "B"), row(3, "f", "A", "B", "bad_debt_freeze", d)]
+                               + [row(t, "k", "B", "A", "unverifiable" if t == 2 else "") for t in (1, 2, 3)],
+                               "t bigint, market_id string, m_node string, collateral string, loan string, lltv double, oracle_class string, collateralAssets double, "
+                               "supplyAssetsUsd double, borrowAssetsUsd double, collateralAssetsUsd double, flag string, frozen_from bigint")
+    va = spark.createDataFrame([(t * d, v, m, "Usd", "B", 1e4 * t + i) for t in (1, 2, 3, 5, 6) for i, (v, m) in enumerate([("v", "m"), ("v", "f"), ("v", "k"), ("w", "f"), ("w", "k"), ("v", ""), ("w", "")])
+                                if t < 5 or (t, m) in ((5, "m"),)] + [(6 * d, "v", "unknown", "Usd", "B", 5.0)], "t bigint, vault string, market_id string, field string, asset string, value double")
+    aa = spark.createDataFrame([(t * d, "p", x, 10.0 * t, 5.0, 4.0, 0.5, 0.6, 0.0, 0) for t in (1, 3) for x in "AB"],
+                               "t bigint, pool string, asset string, supply_usd double, supply double, debt_usd double, ltv double, liq_threshold double, emode_ltv double, frozen_any int")
+    fam = spark.createDataFrame([(f"tok:{x}", f"tok:{x}") for x in "AB"], "node string, family string")
+    pairs = spark.createDataFrame([(f"tok:{a}", f"tok:{b}", t * d + 5) for a in "AB" for b in "AB" for t in (0, 2, 3, 5, 6)], "seed string, cand string, tau bigint")
+    node = F.concat(F.lit("mv:"), "vault")
+    held = G.clean_vaults(va, mm, markets)
+    want = G.pair_links(G.edges(mm, held, aa, node), fam, pairs)
+    got = G.snapshot_links(mm, va, aa, markets, node, fam, pairs)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(got) == rows(want) and any(r.log_vault_overlap > 0 for r in got.collect())
+    asked = spark.createDataFrame([(3 * d,)], "t bigint")
+    assert rows(G.asked_allocations(va, mm, asked, markets).select("t", "vault", "market_id", "flag", "value")) == rows(
+        held.filter((F.col("t") == 3 * d) & (F.col("market_id") != "")).select("t", "vault", "market_id", "flag", "value"))
+
+
+def test_pair_links_write_no_whole_edges(spark):
+    from pegwatch import session
+    from pegwatch.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    session.forget_stages()
+    catalog.QUERIES["h6_h9_pair_links"](spark, data).count()
+    assert not {name for _, folder, name in session._STAGES if folder == data} & {"edges", "held_allocations"}
+    session.forget_stages()
+
+
+def test_allocations_are_sorted_once_by_vault(spark):
+    from pegwatch.plans import q_graph as Q
+
+    plan = Q.allocations.build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [_key") == 1 and "Sort [vault" not in plan
+
+
+def test_the_greatest_of_one_time_holds_on_the_grid(spark):
+    from pegwatch.operators.series import asof_grid
+
+    rows = [("a", 1, 0, 5.0), ("a", 1, 1, 2.0), ("a", 1, 1, 3.0), ("a", 4, 0, 7.0), ("a", 4, 0, 7.0), ("b", 2, 0, 1.0), ("b", 2, 1, None)]
+    obs = spark.createDataFrame(rows, "k string, avail_ts bigint, prio int, value double")
+    want = asof_grid(G.finest(obs, ["k"]), ["k"], 3, 0, 1, 6)
+    got = asof_grid(obs, ["k"], 3, 0, 1, 6, rank=G.FINEST).select("k", "value", "t")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("k", "value", "t").collect())) and got.count() == 10
