@@ -588,3 +588,36 @@ def test_the_tagger_reads_whole_texts(spark, monkeypatch):
     rows = [(1, f"{body} qzqzqzqzqz {body}", "en"), (2, body, "en"), (3, None, "en")]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(frame(spark, rows)).collect()}
     assert any(k == "email_net" and s < len(body) + 11 and e > len(body) + 1 for k, s, e in got[1]) and got[3] == []
+
+
+def test_the_secret_network_is_trained_on_every_candidate(spark, monkeypatch):
+    """At most 800 candidates of a class, and none with surroundings of more than 4096 characters, came to the training and the threshold."""
+    rnd = random.Random(12)
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some words token = {hexes(20)} then id {rnd.randrange(10**9, 10**10)} more", "en") for i in range(900)]
+    rows.append((5000, "some words " + "aB3" * 3000 + " more", "en"))
+    scanned = secret_scan.scan(secret_scan.keyed_text(frame(spark, rows)))
+    shown = {}
+
+    def spy(ready, *args, **named):
+        shown.update({r["inside"]: (r["n"], r["longest"]) for r in ready.where("not made").groupBy("inside").agg(
+            F.count_distinct("seen").alias("n"), F.max(F.length("seen")).alias("longest")).collect()})
+        shown["parts"] = ready.select("part").distinct().count()
+        return real(ready, 1)
+
+    real = secret_scan.trained
+    monkeypatch.setattr(secret_scan, "trained", spy)
+    monkeypatch.setattr(secret_scan, "PART", 2000)
+    net = secret_scan.fit(scanned)
+    assert shown[True][0] == 2 * 900 and shown[False][0] == 2 * 901 and shown[False][1] > 9000  # each with and without its surroundings
+    assert shown["parts"] > 2 and net.recall >= secret_scan.RECALL - 0.02
+
+
+def test_long_candidates_are_pooled_whole(monkeypatch):
+    net, _ = small_net()
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcdefXYZ0123456789+/") for _ in range(9000))
+    some = [(f"pwd: {text} and", 5, 9005), ("pwd: Zk39vQ1m8Lw2 and", 5, 17)]
+    blocks = net.raw(some)
+    monkeypatch.setattr(secret_scan, "LONGEST", 10**9)
+    assert np.allclose(blocks, net.raw(some), atol=1e-5)
