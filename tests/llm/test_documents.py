@@ -590,6 +590,35 @@ def test_the_tagger_reads_whole_texts(spark, monkeypatch):
     assert any(k == "email_net" and s < len(body) + 11 and e > len(body) + 1 for k, s, e in got[1]) and got[3] == []
 
 
+def test_whole_texts_are_read_once_and_searched_where_tags_are(monkeypatch):
+    """Every character was read in two windows, and the best path sought in nearly all of them."""
+    model, texts, _ = small_tagger()
+    rnd = random.Random(8)
+    body = " ".join("".join(rnd.choice("abcdeghil") for _ in range(6)) for _ in range(2000))
+    cases = [body, "", "x", body[:288], body[:289], body[:544] + "\u00e9\uff20\ud800\U0001f600", *texts]
+    owner, at, sizes, codes = pii.windows_of(cases)
+    for i, t in enumerate(cases):
+        whole = pii.char_codes([t.translate(pii.NARROW)], len(t))[0]
+        covered = np.zeros(len(t), bool)
+        for w in np.flatnonzero(owner == i):
+            assert (codes[w, :sizes[w]] == whole[at[w]:at[w] + sizes[w]]).all() and not codes[w, sizes[w]:].any()
+            covered[at[w]:at[w] + sizes[w]] = True
+        assert covered.all()
+    read, sought, scores, viterbi = [], [], model.scores, model.viterbi
+    monkeypatch.setattr(model, "scores", lambda c, n, *room: (read.append(int(n.sum())), scores(c, n, *room))[1])
+    monkeypatch.setattr(model, "viterbi", lambda e, n: (sought.append(viterbi(e, n).any(1)), viterbi(e, n))[1])
+    model.decode([body])
+    assert sum(read) < 1.2 * len(body) and all(x.all() for x in sought)
+    assert model.decode([]) == [] and model.decode(["", ""]) == [[], []]
+    noise = np.random.default_rng(4)
+    for _ in range(30):  # the screen beside the search
+        n = noise.integers(0, 13, 40)
+        e = noise.normal(size=(40, 12, pii.TAGS)) * 2 + np.r_[4, np.zeros(pii.TAGS - 1)]
+        model.w["trans"] = noise.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32)
+        tagged = np.array([bool(k) and viterbi(e[i:i + 1], n[i:i + 1]).any() for i, k in enumerate(n)])
+        assert (model.plain(e, n) == ~tagged).mean() > 0.95 and not (model.plain(e, n) & tagged).any()
+
+
 def test_the_secret_network_is_trained_on_every_candidate(spark, monkeypatch):
     """At most 800 candidates of a class, and none with surroundings of more than 4096 characters, came to the training and the threshold."""
     rnd = random.Random(12)
