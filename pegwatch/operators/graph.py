@@ -411,10 +411,8 @@ def components(static: DataFrame, node_ids: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ token measures
-def token_measures(mm: DataFrame, va: DataFrame, aa: DataFrame, pegs: DataFrame, prices: DataFrame, family: DataFrame,
-                   min_usd: float = 1e4) -> DataFrame:
-    """The exposure measures per (token, snapshot). One aggregation per side, joined on (symbol, t)."""
-    keys = ["symbol", "t"]
+def collateral_measures(mm: DataFrame, pegs: DataFrame, min_usd: float = 1e4) -> DataFrame:
+    """The measures per (token, snapshot) of the markets that take the token as collateral; they need no allocations and no pools."""
     c, b = F.col("collateralAssetsUsd"), F.col("borrowAssetsUsd")
     peg_c = pegs.select(F.col("symbol").alias("collateral"), F.col("peg").alias("_pc"))
     peg_l = pegs.select(F.col("symbol").alias("loan"), F.col("peg").alias("_pl"))
@@ -422,12 +420,20 @@ def token_measures(mm: DataFrame, va: DataFrame, aa: DataFrame, pegs: DataFrame,
     total = F.sum(c)
     share = lambda x: F.when(total >= min_usd, F.try_divide(F.sum(x), total))
     listed = (c >= min_usd) | (c.isNull() & (b >= min_usd))
-    col = usable.groupBy(F.col("collateral").alias("symbol"), "t").agg(
+    return usable.groupBy(F.col("collateral").alias("symbol"), "t").agg(
         F.count(F.when(listed, 1)).alias("mm_n_markets"), total.alias("mm_collateral_usd"), F.sum(b).alias("mm_borrow_against_usd"),
         share(F.col("lltv") * c).alias("mm_lltv_wavg"),
         share(c * F.col("oracle_class").isin(*BLIND).cast("int")).alias("mm_blind_oracle_share"),
         share(c * (F.col("oracle_class") == "custom").cast("int")).alias("mm_custom_oracle_share"),
         F.sum(F.when(F.col("_pc") == F.col("_pl"), b)).alias("mm_pegged_loop_usd"))
+
+
+def token_measures(mm: DataFrame, va: DataFrame, aa: DataFrame, pegs: DataFrame, prices: DataFrame, family: DataFrame,
+                   min_usd: float = 1e4) -> DataFrame:
+    """The exposure measures per (token, snapshot). One aggregation per side, joined on (symbol, t)."""
+    keys = ["symbol", "t"]
+    b = F.col("borrowAssetsUsd")
+    col = collateral_measures(mm, pegs, min_usd)
     loan = mm.groupBy(F.col("loan").alias("symbol"), "t").agg(
         F.sum("supplyAssetsUsd").alias("mm_supply_usd"), F.sum(b).alias("mm_borrowed_usd"))
     alloc = va.filter("market_id <> '' and collateral is not null").withColumn("symbol", F.col("collateral"))

@@ -211,3 +211,18 @@ def test_the_greatest_of_one_time_holds_on_the_grid(spark):
     want = asof_grid(G.finest(obs, ["k"]), ["k"], 3, 0, 1, 6)
     got = asof_grid(obs, ["k"], 3, 0, 1, 6, rank=G.FINEST).select("k", "value", "t")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select("k", "value", "t").collect())) and got.count() == 10
+
+
+def test_the_blind_share_needs_no_allocations(spark, monkeypatch):
+    """All measures with the vaults' allocations were made and written for the one share of the collateral side."""
+    from pegwatch import session
+    from pegwatch.plans import q_graph
+
+    def never(*_):
+        raise AssertionError("not needed")
+
+    for name in ("allocations", "held_allocations", "pools", "measures"):
+        monkeypatch.setattr(q_graph, name, never)
+    session.forget_stages()
+    got = q_graph.d13(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["symbol", "t", "share"] and got.filter("share between 0 and 1").count() == got.count() > 0
